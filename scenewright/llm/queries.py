@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm import jump_hash
-from scenewright.llm.common import table
+from scenewright.llm import jump_hash, mixing
+from scenewright.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,13 @@ def op3_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", jump_hash.jump_hash(F.col("doc_id"), 17).alias("grown_shard")
     )
+
+
+@query
+def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of the sources at 5, 2, 1 takes from each document, by Pareto order sampling."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")
+    )
+    mixed = mixing.mix(cut(docs), ["doc_id", "crc"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
