@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm import jump_hash, mixing
+from scenewright.llm import jump_hash, mixing, packing
 from scenewright.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,18 @@ def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     mixed = mixing.mix(cut(docs), ["doc_id", "crc"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> bytes:
+    """A public tokenizer's file, read where the driver runs; it is sent along with the tasks."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+@query
+def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens by harmonic packing."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(cut(packing.pieces(docs, ["doc_id"], "text", tokenizer_file(), 1024)), 1024)
