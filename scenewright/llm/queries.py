@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm import jump_hash, mixing, packing
+from scenewright.llm import jump_hash, mixing, packing, url_rules
 from scenewright.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,14 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens by harmonic packing."""
     docs = table(spark, sf_dir, "documents")
     return packing.pack(cut(packing.pieces(docs, ["doc_id"], "text", tokenizer_file(), 1024)), 1024)
+
+
+@query
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url by host rules and pattern rules indexed by their rarest token."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = url_rules.HOST_RULES + url_rules.PATTERN_RULES
+    return url_rules.judge(pages, "url", rules).select("page_id", "host", "path", "rule", "pattern", "verdict")
+
+
+ORACLES["op6_url_rules"] = url_rules.brute_force_sql(url_rules.HOST_RULES + url_rules.PATTERN_RULES)
