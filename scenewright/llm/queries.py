@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm import jump_hash, mixing, packing, url_rules
+from scenewright.llm import jump_hash, mixing, packing, secrets, url_rules
 from scenewright.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,14 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_url_rules"] = url_rules.brute_force_sql(url_rules.HOST_RULES + url_rules.PATTERN_RULES)
+
+
+@query
+def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in every document: three known forms, and runs that a Markov model of random strings explains."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.model_of(docs))
+    kinds = [secrets.n_of(F.col("base_spans"), kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
+    return found.select(
+        "doc_id", *kinds, F.sha2(secrets.listed(F.col("base_spans")), 256).alias("base_sha256"), secrets.listed(F.col("secret_spans")).alias("spans")
+    )
