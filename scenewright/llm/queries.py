@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm import jump_hash, mixing, packing, secrets, url_rules
+from scenewright.llm import jump_hash, kneser_ney, mixing, packing, secrets, url_rules
 from scenewright.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,12 @@ def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *kinds, F.sha2(secrets.listed(F.col("base_spans")), 256).alias("base_sha256"), secrets.listed(F.col("secret_spans")).alias("spans")
     )
+
+
+@query
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of every document, and whether it stays within its language's perplexity band."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    measured = cut(kneser_ney.measure(docs, kneser_ney.train(docs)).drop("text"))
+    judged = kneser_ney.judge(measured, cut(kneser_ney.bands(measured)))
+    return judged.select("doc_id", *kneser_ney.MEASURES, "base_failed", "kept", "nats_per_byte", "lower", "upper")

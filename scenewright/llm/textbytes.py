@@ -101,3 +101,93 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def per_text(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     """The sum of values for each of n texts."""
     return np.bincount(text, weights=values, minlength=n)
+
+
+def grams(raw: np.ndarray, offsets: np.ndarray, order: int, pad: int, *, end: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The `order` bytes up to each byte of each text, as one number with the last byte lowest, and where each text's
+    begin. Before its start a text has `pad` bytes; with `end`, one more pad byte ends it and counts as its last."""
+    n, last = len(offsets) - 1, int(end)
+    sizes = np.diff(offsets) + last
+    ends = np.cumsum(sizes + order - 1)
+    padded = np.full(int(ends[-1]) if n else 0, pad, np.uint8)
+    begins = ends - sizes
+    if len(raw):
+        shift = begins - offsets[:-1]
+        padded[np.arange(len(raw)) + np.repeat(shift, np.diff(offsets))] = raw
+    total = max(0, len(padded) - order + 1)
+    key = np.zeros(total, np.uint64)
+    for i in range(order):
+        key <<= np.uint64(8)
+        key |= padded[i : i + total]
+    # a gram that ends in a text's padding is none of its own
+    own = np.ones(len(padded), bool)
+    own[(begins[:, None] - np.arange(1, order)[None, :]).ravel()] = False
+    at = np.zeros(n + 1, np.int64)
+    np.cumsum(sizes, out=at[1:])
+    return key[own[order - 1 :]], at
+
+
+class Counts:
+    """Counts of 64-bit keys, given out and begun anew when there are many, so that memory is bounded."""
+
+    def __init__(self, most: int = 4_000_000):
+        self.most, self.held, self.kept = most, 0, []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if counts is None:
+            keys, counts = np.unique(keys, return_counts=True)
+        self.kept.append((keys, counts))
+        self.held += len(keys)
+        if self.held > self.most:
+            self._merge()
+            if self.held > self.most // 2:
+                yield from self.rest()
+
+    def _merge(self) -> None:
+        keys = np.concatenate([k for k, _ in self.kept]) if self.kept else np.zeros(0, np.uint64)
+        counts = np.concatenate([c for _, c in self.kept]) if self.kept else np.zeros(0, np.int64)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        self.kept = [(keys[first], np.add.reduceat(counts, first) if len(keys) else counts)]
+        self.held = len(first)
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self._merge()
+        (keys, counts), = self.kept
+        self.kept, self.held = [], 0
+        for i in range(0, len(keys), 100_000):
+            yield keys[i : i + 100_000], counts[i : i + 100_000]
+
+
+class Memo:
+    """Remembers a function of 64-bit keys in a table of fixed size; what it can't hold is worked out again."""
+
+    def __init__(self, f, bits: int = 20):
+        self.f, self.shift = f, np.uint64(64 - bits)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float64)
+        self.full = np.zeros(1 << bits, bool)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = (keys * np.uint64(BASE)) >> self.shift
+        out = self.values[slot]
+        miss = np.flatnonzero((self.keys[slot] != keys) | ~self.full[slot])
+        if len(miss):
+            some, back = np.unique(keys[miss], return_inverse=True)
+            found = self.f(some)
+            out[miss] = found[back]
+            at = (some * np.uint64(BASE)) >> self.shift
+            self.keys[at], self.values[at], self.full[at] = some, found, True
+            # where two keys met in one slot, key and value must be of the same one
+            lost = self.keys[at] != some
+            good = ~lost
+            self.values[at[good]] = found[good]
+        return out
+
+
+def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each key in a sorted array."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
