@@ -29,6 +29,16 @@ def test_ids_equal_those_of_the_whole_text():
         assert np.frombuffer(ids.of(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+def test_the_ids_of_every_plain_character_and_of_real_words():
+    plain, ids = Tokenizer.from_file(FILE), packing.Ids(RAW)
+    assert ids.ranks is not None
+    draw = random.Random(8)
+    chars = [chr(i) for i in range(0x250)]
+    texts = ["".join(draw.choices(chars, k=12)) for _ in range(3000)] + [f"x {a}{b} y" for a in chars for b in ("a", " ", "1", "!")]
+    for t, e in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids.of(t), "<u4").tolist() == e.ids, repr(t)
+
+
 def test_packing_by_brute_force(spark):
     draw = random.Random(2)
     rows = [(i, " ".join(draw.choices(["alpha", "beta", "gamma,", "delta"], k=int(draw.paretovariate(0.7)) % 6000)), "x") for i in range(300)]
