@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm import jump_hash, kneser_ney, mixing, packing, secrets, url_rules
+from scenewright.llm import jump_hash, kneser_ney, mixing, ngram_join, packing, secrets, url_rules
 from scenewright.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,33 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = cut(kneser_ney.measure(docs, kneser_ney.train(docs)).drop("text"))
     judged = kneser_ney.judge(measured, cut(kneser_ney.bands(measured)))
     return judged.select("doc_id", *kneser_ney.MEASURES, "base_failed", "kept", "nats_per_byte", "lower", "upper")
+
+
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of at least 90 % common 3-word shingles."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.join(docs, words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLES["op7_ngram_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(x) = 0 THEN [] WHEN len(x) < 3 THEN [x]
+    ELSE list_transform(range(1, len(x) - 1), i -> x[i:i + 2]) END) AS g FROM w),
+h AS (SELECT doc_id, hash(g) AS g FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM h a JOIN h b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY ALL),
+e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+both AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT both.b, r.c FROM r JOIN both ON both.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+FROM documents d JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

@@ -191,3 +191,41 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
     return at, sorted_keys[at] == keys
+
+
+#: Bits of a shingle's hash, below those for the place of its text in a piece.
+TOKEN_BITS = 52
+
+
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of `size` words of up to 4,096 texts: hashes of TOKEN_BITS bits, in order within each
+    text, and where each text's begin. A text of fewer words has one shingle, of all of them; one without has none."""
+    n = len(offsets) - 1
+    if n > 1 << (64 - TOKEN_BITS):
+        raise ValueError("too many texts at once")
+    starts, ends, text = words(raw, offsets)
+    per = np.bincount(text, minlength=n)
+    h = span_hashes(prefix_hashes(LOWER[raw]), starts, ends)
+    first = np.r_[0, np.cumsum(per)]
+    take = np.minimum(per, size)
+    begins = np.repeat(first[:-1], np.where(per > 0, np.maximum(per - size + 1, 1), 0))
+    owner = np.repeat(np.arange(n), np.where(per > 0, np.maximum(per - size + 1, 1), 0))
+    begins = begins + np.arange(len(begins)) - np.searchsorted(owner, owner)
+    token = mixed(take[owner].astype(np.uint64))
+    for k in range(size):
+        inside = k < take[owner]
+        more = mixed(token + h[np.minimum(begins + k, max(0, len(h) - 1))]) if len(h) else token
+        token = np.where(inside, more, token)
+    key = (owner.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (token >> np.uint64(64 - TOKEN_BITS))
+    key = np.unique(key)
+    at = np.searchsorted(key, np.arange(n + 1).astype(np.uint64) << np.uint64(TOKEN_BITS)) if n < 1 << (64 - TOKEN_BITS) else None
+    if at is None:
+        at = np.r_[np.searchsorted(key, np.arange(n).astype(np.uint64) << np.uint64(TOKEN_BITS)), len(key)]
+    return key & np.uint64((1 << TOKEN_BITS) - 1), at
+
+
+def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of values between each two places of at, modulo 2**64."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return total[at[1:]] - total[at[:-1]]
