@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm import jump_hash, kneser_ney, mixing, ngram_join, packing, secrets, url_rules
+from scenewright.llm import jump_hash, kneser_ney, mixing, ngram_join, nn_descent, packing, secrets, url_rules
 from scenewright.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,10 +111,17 @@ p AS (
   GROUP BY ALL),
 e AS (
   SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
-both AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(doc_id, c) AS (
   SELECT doc_id, doc_id FROM documents
-  UNION SELECT both.b, r.c FROM r JOIN both ON both.a = r.doc_id)
+  UNION SELECT ways.b, r.c FROM r JOIN ways ON ways.a = r.doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
 FROM documents d JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+
+@query
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings of equal labels at a cosine of 0.93 by NN-descent."""
+    found = nn_descent.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return found.select("vec_id", "n_links", "component_id", "kept", "recall")
