@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm import jump_hash, kneser_ney, mixing, ngram_join, nn_descent, packing, secrets, url_rules
+from scenewright.llm import ctw, jump_hash, kneser_ney, mixing, ngram_join, nn_descent, packing, secrets, url_rules
 from scenewright.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,9 @@ def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate embeddings of equal labels at a cosine of 0.93 by NN-descent."""
     found = nn_descent.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     return found.select("vec_id", "n_links", "component_id", "kept", "recall")
+
+
+@query
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability by context-tree weighting over bytes, and by the unigram baseline."""
+    return ctw.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
