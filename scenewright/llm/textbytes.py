@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once. A longer text is a piece of its own.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 #: A-Z lower-cased, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -130,7 +130,7 @@ def grams(raw: np.ndarray, offsets: np.ndarray, order: int, pad: int, *, end: bo
 class Counts:
     """Counts of 64-bit keys, given out and begun anew when there are many, so that memory is bounded."""
 
-    def __init__(self, most: int = 4_000_000):
+    def __init__(self, most: int = 1_500_000):
         self.most, self.held, self.kept = most, 0, []
 
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
