@@ -1,10 +1,72 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline over documents: quality rules, near-duplicate removal, secret redaction, mixing, packing.
+
+Each stage works on all that its predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scenewright.llm import kneser_ney, mixing, ngram_join, packing, secrets
+from scenewright.llm.common import cut
+from scenewright.llm.queries import tokenizer_file
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: No SQL expresses the perplexity model, the hashed draw or the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie within their language's perplexity band."""
+    model = kneser_ney.train(docs)
+    bands = cut(kneser_ney.bands(cut(kneser_ney.measure(docs, model, carry=["lang"]))))
+    return kneser_ney.judge(kneser_ney.measure(docs, model), bands).where("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links of at least 80 % common five-word shingles connect, the one of the
+    smallest doc_id. Documents without an id stay."""
+    found = ngram_join.join(docs.select("doc_id", "text"), words=5, percent=80)
+    gone = cut(found.where("doc_id != component_id").select("doc_id").distinct())
+    few = gone.count() <= ngram_join.BROADCAST_ROWS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets replaced."""
+    found = secrets.scan(docs, secrets.model_of(docs)).withColumn("text", secrets.redacted(F.col("text"), F.col("secret_spans")))
+    chars = F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", chars).select(*COLUMNS)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources mixed at 5, 2, 1: each document as often as the mix takes it."""
+    sized = docs.withColumn("size", mixing.n_words(F.col("text")))
+    mixed = mixing.mix(sized, ["doc_id"])
+    return mixed.withColumn("copy", F.explode(F.expr("array_repeat(0, copies)"))).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    return packing.pack(cut(packing.pieces(docs, ["doc_id"], "text", tokenizer_file(), 1024)), 1024)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("source_mix", source_mix),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
+    return docs

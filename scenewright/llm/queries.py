@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm import ctw, jump_hash, kneser_ney, mixing, ngram_join, nn_descent, packing, secrets, url_rules
+from scenewright.llm import ctw, jump_hash, kneser_ney, merkle, mixing, ngram_join, nn_descent, packing, secrets, url_rules
 from scenewright.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,38 @@ def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability by context-tree weighting over bytes, and by the unigram baseline."""
     return ctw.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op4_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records with file and offset, audited against a replica in which the records whose html's
+    digest begins with 00 have lost their first character and those with 01 are gone."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    digest = F.sha2(F.coalesce("html", F.lit("")), 256)
+    rotten = F.when(F.startswith(digest, F.lit("00")), F.expr("substring(html, 2)")).otherwise(F.col("html"))
+    copy = pages.where(~F.startswith(digest, F.lit("01"))).withColumn("html", rotten)
+    record = merkle.warc_record(F.col("page_id"), F.col("url"), F.col("html"))
+    a = merkle.replica(pages, "page_id", record)
+    found = merkle.audit(a, merkle.replica(copy, "page_id", record)).where("status != 'extra'")
+    found = found.select(F.col("key").alias("k"), F.col("digest").alias("d"), "status")
+    out = a.records.join(found, F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left")
+    return out.select(
+        F.col("key").alias("page_id"), F.col("file").alias("file_id"), "offset", "length", F.col("digest").alias("record_sha256"),
+        F.coalesce("status", F.lit("intact")).alias("status"),
+    )
+
+
+ORACLES["op4_merkle_fixity"] = """
+WITH r AS (
+  SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+    || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+    || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+    || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record,
+    left(sha256(coalesce(html, '')), 2) AS fate
+  FROM pages)
+SELECT page_id, CAST(floor(page_id / 1000) AS BIGINT) AS file_id,
+  CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY floor(page_id / 1000) ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+  strlen(record) AS length, sha256(record) AS record_sha256,
+  CASE fate WHEN '00' THEN 'damaged' WHEN '01' THEN 'missing' ELSE 'intact' END AS status
+FROM r
+"""
