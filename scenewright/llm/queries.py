@@ -103,7 +103,7 @@ WITH RECURSIVE w AS (
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(x) = 0 THEN [] WHEN len(x) < 3 THEN [x]
-    ELSE list_transform(range(1, len(x) - 1), i -> x[i:i + 2]) END) AS g FROM w),
+    ELSE list_transform(range(1, len(x) - 1), lambda i: x[i:i + 2]) END) AS g FROM w),
 h AS (SELECT doc_id, hash(g) AS g FROM s),
 n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
 p AS (
