@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scenewright.functions import text as T
-from scenewright.operators import cache, merge, rollup, scenes, search, weights
+from scenewright.operators import cache, extract, hubs, merge, rollup, scenes, search, weights
 from scenewright.sources import atlas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -336,6 +336,87 @@ def g6_louvain_nations(spark, d):
     return scenes.louvain(told)
 
 
+# --- extraction and hubs ----------------------------------------------------------------------------------------------
+
+TRACKS = "{lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey"
+
+
+def tracks(spark, d):
+    """Line items as tracks of their customers."""
+    return atlas.run(spark, d, f"""SELECT concat('user:', o_custkey) AS urn, p_type AS genre, concat(p_brand, ' "', p_name, '"') AS tag_list,
+      CAST(l_quantity AS BIGINT) AS playback_count, CASE WHEN l_returnflag = 'R' THEN NULL ELSE CAST(l_linenumber AS BIGINT) END AS likes_count,
+      CAST(1 AS BIGINT) AS comment_count, date_format(l_shipdate, "yyyy/MM/dd HH:mm:ss '+0000'") AS created_at FROM {TRACKS}""")
+
+
+@query("""SELECT 'user:' || o_custkey AS src, 'user:' || l_suppkey AS dst, 'repost' AS type, CAST(count(*) AS DOUBLE) AS weight
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> l_suppkey AND l_suppkey <> 0 GROUP BY 1, 2""")
+def u17_repost_edges(spark, d):
+    return extract.repost_edges(atlas.run(spark, d, "SELECT concat('user:', o_custkey) AS src, l_suppkey AS owner FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"))
+
+
+@query("""SELECT 'user:' || user_id AS src, 'user:' || (user_id + event_id % 3) AS dst, 'follow' AS type, CAST(1.0 AS DOUBLE) AS weight FROM events WHERE event_id % 3 <> 0 AND user_id + event_id % 3 <> 0""")
+def u16_follow_edges(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return extract.follow_edges(e.select(F.concat(F.lit("user:"), "user_id").alias("src"), (F.col("user_id") + F.col("event_id") % 3).alias("id")))
+
+
+@query("""WITH t AS (SELECT 'user:' || o_custkey AS urn, lower(p_type) AS genre, lower(p_brand) AS brand, lower(p_name) AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)
+    SELECT urn, term, kind, count(*) AS evidence FROM (SELECT urn, genre AS term, 'genre' AS kind FROM t UNION ALL SELECT urn, brand, 'tag' FROM t UNION ALL SELECT urn, name, 'tag' FROM t) GROUP BY ALL""")
+def u18_track_terms(spark, d):
+    return extract.track_terms(tracks(spark, d))
+
+
+@query("""SELECT 'user:' || o_custkey AS urn, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS plays, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_linenumber END) AS BIGINT) AS likes, count(*) AS comments,
+    CAST(date_trunc('second', max(l_shipdate)) AS VARCHAR) AS last_upload_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+def u21_engagement(spark, d):
+    return extract.engagement(tracks(spark, d)).withColumn("last_upload_at", F.date_format("last_upload_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""WITH RECURSIVE a AS (SELECT c_nationkey AS s, s_nationkey AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity = 50 AND l_discount > 0.09 GROUP BY 1, 2),
+    r AS (SELECT 3 AS n, 0 AS depth UNION SELECT t, depth + 1 FROM r JOIN a ON s = n WHERE depth < 3)
+    SELECT CAST(n AS VARCHAR) AS urn, min(depth) AS depth FROM r GROUP BY n""")
+def u23_bounded_crawl(spark, d):
+    ways = atlas.run(spark, d, """SELECT CAST(c_nationkey AS STRING) AS src, CAST(s_nationkey AS STRING) AS dst FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+      JOIN {customer} ON c_custkey = o_custkey JOIN {supplier} ON s_suppkey = l_suppkey WHERE l_quantity = 50 AND l_discount > 0.09 GROUP BY 1, 2""")
+    all_ = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("urn"), F.lit(1).alias("track_count"))
+    return extract.crawl(ways, all_, ["3"], 3)
+
+
+@query(r"""SELECT doc_id, regexp_matches(left(text, 200), '(?i)(?:records|recordings|recs|label|tapes|podcast|radio|radioshow|magazine|collective|festival|soundsystem|distribution|premieres|events|series|media)$') AS hub FROM documents""")
+def h3_permalink_rule(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", hubs.permalink_of_hub(F.substring("text", 1, 200)).alias("hub"))
+
+
+@query(r"""SELECT urn FROM (SELECT source AS urn, lower(trim(regexp_extract(left(text, 60), '^(.{2,40}?)\s+[a-z]+\s+', 1))) AS p FROM documents) WHERE p <> '' GROUP BY urn
+    HAVING count(*) >= 10 AND count(DISTINCT p) >= 15 AND count(DISTINCT p) / count(*) >= 0.7""".replace("\\\\", "\\"))
+def h4_title_shapes(spark, d):
+    title = F.regexp_replace(F.substring("text", 1, 60), r"^(.{2,40}?)\s+[a-z]+\s+", "$1 - ")
+    return hubs.channels_by_titles(spark.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("urn"), title.alias("title")))
+
+
+# --- more browse and read-side queries --------------------------------------------------------------------------------
+
+same_sql("a6_scenes_per_genre", "SELECT a.segment, count(*) AS n FROM {terms} t JOIN {artists} a ON a.urn = t.urn WHERE t.term = 'Brand#17' AND a.segment IS NOT NULL GROUP BY a.segment ORDER BY n DESC, a.segment LIMIT 6")
+same_sql("a8_located_members", "SELECT count(*) AS n FROM {artists} WHERE city_raw IS NOT NULL AND segment IS NOT NULL")
+same_sql("a11_term_support", "SELECT a.segment, t.term, count(DISTINCT t.urn) AS support FROM {terms} t JOIN {artists} a ON a.urn = t.urn WHERE a.segment IS NOT NULL GROUP BY a.segment, t.term")
+same_sql("a15_scene_counts", "SELECT segment, count(CASE WHEN last_upload_at IS NOT NULL THEN 1 END) AS crawled, count(CASE WHEN account_kind = 'hub' THEN 1 END) AS hubs FROM {artists} GROUP BY segment")
+same_sql("a17_document_frequency", "SELECT term, count(DISTINCT a.segment) AS df FROM {terms} t JOIN {artists} a ON a.urn = t.urn WHERE evidence > 0 GROUP BY term")
+same_sql("w3_top_hubs", "SELECT segment, urn, followers FROM (SELECT segment, urn, followers, row_number() OVER (PARTITION BY segment ORDER BY followers DESC, urn) AS place FROM {artists} WHERE account_kind = 'hub') x WHERE place <= 12")
+same_sql("w8_display_rank", "SELECT urn, lpad(CAST(row_number() OVER (ORDER BY followers DESC, urn) AS STRING), 2, '0') AS place FROM {artists} ORDER BY followers DESC, urn LIMIT 24", "SELECT urn, lpad(CAST(row_number() OVER (ORDER BY followers DESC, urn) AS VARCHAR), 2, '0') AS place FROM {artists} ORDER BY followers DESC, urn LIMIT 24")
+same_sql("k9_most_played", "SELECT urn, plays FROM (SELECT urn, plays FROM {artists} ORDER BY plays DESC, urn LIMIT 3) x WHERE plays > 0")
+same_sql("k2_scenes_by_size", "SELECT segment, count(*) AS member_count FROM {artists} WHERE segment IS NOT NULL GROUP BY segment ORDER BY member_count DESC, segment")
+same_sql("j1_membership_join", "SELECT t.term, count(*) AS members, sum(a.followers) AS reach FROM {terms} t JOIN {artists} a ON a.urn = t.urn WHERE t.kind = 'genre' GROUP BY t.term", "SELECT t.term, count(*) AS members, CAST(sum(a.followers) AS BIGINT) AS reach FROM {terms} t JOIN {artists} a ON a.urn = t.urn WHERE t.kind = 'genre' GROUP BY t.term")
+same_sql("j9_terms_without_hubs", "SELECT t.term, count(*) AS n FROM {terms} t WHERE NOT EXISTS (SELECT 1 FROM {artists} a WHERE a.urn = t.urn AND a.account_kind = 'hub') GROUP BY t.term")
+same_sql("j11_either_end", "SELECT urn, count(*) AS ties FROM (SELECT src AS urn FROM {edges} UNION ALL SELECT dst FROM {edges} WHERE src <> dst) x GROUP BY urn")
+same_sql("j13_name_or_slug", "SELECT a.urn, coalesce(b.permalink, a.urn) AS name FROM {artists} a LEFT JOIN (SELECT urn, permalink FROM {artists} WHERE followers > 5000) b ON b.urn = a.urn")
+same_sql("x3_first_source_wins", "SELECT urn, place FROM (SELECT urn, place, row_number() OVER (PARTITION BY urn ORDER BY place) AS n FROM (SELECT src AS urn, 1 AS place FROM {edges} UNION ALL SELECT urn, 2 FROM {artists}) x) y WHERE n = 1")
+same_sql("g18_scene_home", """SELECT segment, CASE WHEN located < 5 OR CAST(located AS DOUBLE) / members < 0.12 THEN 'global' WHEN CAST(top AS DOUBLE) / located >= 0.33 THEN 'place'
+    WHEN CAST(top AS DOUBLE) / located >= 0.18 THEN 'tinted' ELSE 'global' END AS home FROM (SELECT segment, sum(n) AS members, sum(n) AS located, max(n) AS top
+      FROM (SELECT segment, country, count(*) AS n FROM {artists} WHERE segment IS NOT NULL GROUP BY segment, country) c GROUP BY segment) x""")
+same_sql("q18_roster_resolve", "SELECT urn, coalesce(nullif(plays, 0), followers) AS shown FROM {artists}")
+same_sql("st5_recent_windows", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM {events} GROUP BY 1, 2")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From typed edges to symmetric weighted ties."""
     return g3_symmetric_edges(spark, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -22,8 +23,22 @@ class Config:
     preview_genres: int = 2
 
 
-#: Terms that name a format and no sound.
-FORMAT_TERMS = ["mix", "podcast", "liveset", "djset", "remix", "bootleg", "promo", "free", "freedownload", "radio", "album", "ep", "single", "set", "live"]
+# Terms that name a format and no sound, and bare function words.
+FORMATS = [
+    "podcast", "mix", "dj mix", "dj set", "live", "live set", "radio", "radio show", "premiere", "music", "free download", "promo", "demo", "snippet", "preview", "exclusive",
+    "mixtape", "mastering", "recording", "interview", "talk", "talkshow", "audiobooks", "business", "comedy", "entertainment", "learning", "news & politics", "religion & spirituality",
+    "science", "sports", "storytelling", "technology",
+]
+STOP_WORDS = ["the", "a", "an", "and", "or", "of", "in", "on", "at", "to", "for", "with", "by", "from"]
+FORMAT_TERMS = [re.sub("[^a-z0-9]", "", x) for x in FORMATS] + STOP_WORDS
+
+# What people give for a place and is none, and other names of cities, both as folded.
+NON_PLACES = [re.sub(" ", "", x) for x in ("worldwide", "world", "earth", "planet earth", "everywhere", "nowhere", "somewhere", "global", "internet", "the internet", "online", "cyberspace", "space", "outer space", "moon", "universe", "milky way")]
+CITY_ALIASES = {
+    "nyc": "New York", "newyorkcity": "New York", "ny": "New York", "la": "Los Angeles", "sf": "San Francisco", "philly": "Philadelphia", "atl": "Atlanta", "cdmx": "Mexico City",
+    "ciudaddemexico": "Mexico City", "koln": "Cologne", "munchen": "Munich", "wien": "Vienna", "stpetersburg": "Saint Petersburg", "stpete": "Saint Petersburg", "bombay": "Mumbai",
+    "bsas": "Buenos Aires", "caba": "Buenos Aires",
+}
 
 
 def memberships(terms: DataFrame, config: Config = Config()) -> DataFrame:
@@ -53,9 +68,13 @@ def below_threshold(terms: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def city_of(artists: DataFrame) -> DataFrame:
-    """(urn, city, country): the part before the first comma, folded."""
-    city = fold_term(F.element_at(F.split("city_raw", ","), 1))
-    return artists.where("city_raw is not null").select("urn", city.alias("city"), F.trim(F.element_at(F.split("city_raw", ","), 1)).alias("spelling"), "country")
+    """(urn, city, spelling, country): the part before the first comma, by its alias if it has one, folded. What is no
+    place is left out."""
+    given = F.trim(F.element_at(F.split("city_raw", ","), 1))
+    folded = fold_term(given)
+    alias = F.create_map(*[F.lit(x) for pair in CITY_ALIASES.items() for x in pair])[folded]
+    told = artists.where("city_raw is not null").select("urn", F.coalesce(alias, given).alias("spelling"), "country", folded.alias("given"))
+    return told.where(~F.col("given").isin(NON_PLACES) & (F.col("given") != "")).select("urn", fold_term(F.col("spelling")).alias("city"), "spelling", "country")
 
 
 def cities(artists: DataFrame, config: Config = Config()) -> DataFrame:
