@@ -290,10 +290,14 @@ def neighbours(nodes: DataFrame, theta: float) -> tuple[DataFrame, float]:
     return lists, recall
 
 
-def _members_compared(pairs: DataFrame, members: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
-    """(a, b, node, links) of cell pairs whose radii don't tell: how many vectors of the other cell each node links."""
-    part = F.floor((F.row_number().over(Window.partitionBy("pivot").orderBy("node")) - 1) / BLOCK)
-    own = members.join(nodes.select("node", "vec", "m"), "node").withColumn("part", part)
+def _members_compared(pairs: DataFrame, members: DataFrame, nodes: DataFrame, pivots: DataFrame, cosine: float) -> DataFrame:
+    """(a, b, node, links) of cell pairs whose radii don't tell: how many vectors of the other cell each node links.
+
+    A cell's members are dealt by a hash into blocks of about BLOCK, so no task holds a whole cell."""
+    asked = pairs.select(F.col("a").alias("pivot")).unionByName(pairs.select(F.col("b").alias("pivot"))).distinct()
+    blocks = pivots.select(F.col("node").alias("pivot"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).join(asked, "pivot", "left_semi")
+    part = F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("blocks"))
+    own = members.join(blocks, "pivot").join(nodes.select("node", "vec", "m"), "node").withColumn("part", part)
     parts = own.groupBy("pivot", "part").agg(F.collect_list(F.struct("node", "m", "vec")).alias("own"))
     both = pairs.select("a", "b").join(parts.toDF("a", "pa", "xs"), "a").join(parts.toDF("b", "pb", "ys"), "b")
 
@@ -331,7 +335,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     exact = (F.col("ra") == 0) & (F.col("rb") == 0)
     sure = near.where((exact & (F.col("s") >= cosine)) | (~exact & (F.col("angle") + F.col("ra") + F.col("rb") <= theta - EPS)))
     open_ = near.where(~exact & (F.col("angle") + F.col("ra") + F.col("rb") > theta - EPS))
-    compared = cut(_members_compared(open_, members, nodes, cosine))
+    compared = cut(_members_compared(open_, members, nodes, pivots, cosine))
     size = pivots.select("node", "size")
     whole = sure.select("a", F.col("b").alias("o")).unionByName(sure.select(F.col("b").alias("a"), F.col("a").alias("o")))
     of_cell = whole.join(size.toDF("o", "size"), "o").groupBy("a").agg(F.sum("size").alias("cell_links"))
