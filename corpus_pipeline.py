@@ -26,13 +26,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links of at least 80 % common five-word shingles connect, the one of the
-    smallest doc_id. Documents without an id stay."""
+    smallest doc_id. Documents without an id stay; of rows with equal ids those with equal texts are copies."""
     found = ngram_join.join(docs.select("doc_id", "text"), words=5, percent=80)
     gone = cut(found.where("doc_id != component_id").select("doc_id").distinct())
     few = gone.count() <= ngram_join.BROADCAST_ROWS
     kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    if not repeated:
+        return kept
+    named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(kept.where("doc_id is null"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
