@@ -129,8 +129,8 @@ def required(n: Column, percent: int) -> Column:
 
 
 def _candidates(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The shared shingles of the sets that may link, (node, n, tokens), and the index of the first order's prefixes,
-    (token, node, n, first, second, third), the last three being the prefixes under each order."""
+    """The shared shingles of the sets that may link and their prefixes under the hashed orders, (node, n, tokens,
+    second, third), and the index of the first order's prefixes, (token, node, n)."""
     # more shingles that no other set has than a link allows: gone. Those of the others are counted once more.
     shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     own = rows.join(shared, "token").groupBy("node", "n").agg(F.collect_set(F.struct("df", "token")).alias("own"))
@@ -150,33 +150,22 @@ def _candidates(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             hashed(3).alias("third"),
         )
     )
-    index = own.select(F.explode("first").alias("token"), "node", "n", "first", "second", "third")
+    # the index has no arrays: a long text has as many rows there as its prefix is long
+    index = own.select(F.explode("first").alias("token"), "node", "n")
     repeated = index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").drop("df")
-    return own.select("node", "n", "tokens"), cut(index.join(repeated, "token"))
+    return own.drop("first"), cut(index.join(repeated, "token"))
 
 
 def _size_fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _agree(a: str, b: str, percent: int) -> Column:
-    """Whether two rows of the index can link by their sizes and under the other orders, and this is the first place
-    where they meet: `a` and `b` stand before and after their columns' names."""
-    one = lambda c: F.col(a.format(c))
-    two = lambda c: F.col(b.format(c))
-    once = F.array_min(F.array_intersect(one("first"), two("first"))) == F.col("token")
-    return (
-        _size_fits(one("n"), two("n"), percent)
-        & F.arrays_overlap(one("second"), two("second"))
-        & F.arrays_overlap(one("third"), two("third"))
-        & once
-    )
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    of = lambda x: sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "tokens")])
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    """The pairs (a, b) that link: those whose prefixes meet under the other orders too are verified on whole sets."""
+    of = lambda x, *names: sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in names])
+    both = pairs.join(of("a", "second", "third"), "a").join(of("b", "n", "tokens", "second", "third"), "b")
+    both = both.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third"))
+    both = both.select("a", "b", "b_n", "b_tokens").join(of("a", "n", "tokens"), "a")
     inter = F.size(F.array_intersect("a_tokens", "b_tokens"))
     return both.where(100 * inter >= percent * (F.col("a_n") + F.col("b_n") - inter)).select("a", "b")
 
@@ -189,18 +178,21 @@ def link(sets: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     for turn in range(ROUNDS + 1):
         known = index.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # tokens whose sets are all connected are done
-        told = known.groupBy("token").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "component", "first", "second", "third")).alias("lead")
-        ).where("low < high")
+        lead = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "component")).alias("lead")
+        told = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), lead).where("low < high")
         if turn < ROUNDS:
-            pairs = known.join(told.select("token", "lead"), "token").where(
-                (F.col("component") != F.col("lead.component")) & _agree("{}", "lead.{}", percent)
-            ).select(F.col("lead.node").alias("x"), F.col("node").alias("y"))
+            pairs = known.join(told.select("token", "lead"), "token").select(
+                F.col("lead.node").alias("x"), F.col("node").alias("y"), F.col("lead.n").alias("x_n"), F.col("n").alias("y_n"),
+                (F.col("component") != F.col("lead.component")).alias("apart"),
+            )
         else:
-            left = known.join(told.select("token"), "token").select("token", "node", "n", "component", "first", "second", "third")
+            left = known.join(told.select("token"), "token").select("token", "node", "n", "component")
             other = left.select("token", *[F.col(c).alias(f"{c}_2") for c in left.columns[1:]])
-            apart = (F.col("node") < F.col("node_2")) & (F.col("component") != F.col("component_2"))
-            pairs = left.join(other, "token").where(apart & _agree("{}", "{}_2", percent)).select(F.col("node").alias("x"), F.col("node_2").alias("y"))
+            pairs = left.join(other, "token").where("node < node_2").select(
+                F.col("node").alias("x"), F.col("node_2").alias("y"), F.col("n").alias("x_n"), F.col("n_2").alias("y_n"),
+                (F.col("component") != F.col("component_2")).alias("apart"),
+            )
+        pairs = pairs.where(F.col("apart") & _size_fits(F.col("x_n"), F.col("y_n"), percent))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found = cut(_verified(pairs, sets, percent))
         if found.isEmpty():
