@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from scenewright.llm.common import cut, sliced
 from scenewright.llm.graph import components
-from scenewright.llm.textbytes import mixed, pieces, shingle_sets, sums
+from scenewright.llm.textbytes import mixed, pieces, releasing, shingle_sets, sums
 
 #: The part of all hashes that the first clearing looks at; above 1 - PERCENT, so that new texts can't pass.
 PART = 4
@@ -62,7 +62,7 @@ def signatures(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 h1, h2 = _hashes(tokens, at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(h1), pa.array(h2)], names=["key", "n", "h1", "h2"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n long, h1 long, h2 long")
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(releasing(run), f"key {kind}, n long, h1 long, h2 long")
 
 
 def _cleared(texts: DataFrame, size: int, shingles: int) -> DataFrame:
@@ -105,7 +105,7 @@ def _cleared(texts: DataFrame, size: int, shingles: int) -> DataFrame:
         some, alone = np.unique(low[low == high], return_counts=True)
         return pa.table({"node": some, "alone": alone.astype(np.int64)})
 
-    dealt = texts.select("text").mapInArrow(deal, "bucket int, nodes binary, place binary, tokens binary")
+    dealt = texts.select("text").mapInArrow(releasing(deal), "bucket int, nodes binary, place binary, tokens binary")
     return dealt.groupBy("bucket").applyInArrow(count, "node long, alone long").groupBy("node").agg(F.sum("alone").alias("alone"))
 
 
@@ -120,7 +120,7 @@ def _rows(texts: DataFrame, size: int) -> DataFrame:
                 columns = [np.repeat(h1[a:b], n), np.repeat(n, n), tokens[np.repeat(n > 0, np.diff(at))].view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["node", "n", "token"])
 
-    return texts.select("h1", "text").mapInArrow(run, "node long, n long, token long")
+    return texts.select("h1", "text").mapInArrow(releasing(run), "node long, n long, token long")
 
 
 def required(n: Column, percent: int) -> Column:

@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scenewright.llm.common import cut, gapless
+from scenewright.llm.textbytes import releasing
 
 #: A piece stays whole if it has so much of its class's share.
 FILL = 0.99
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: The id that ends each document.
 END = 0
 
@@ -129,7 +130,7 @@ def pieces(df: DataFrame, keys: list[str], text: str, tokenizer: bytes, capacity
     kept = df.select(*[F.col(k) for k in keys], F.col(text).alias("_pack_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), PIECES])
     end = np.array([END], "<u4").tobytes()
-    step = 4096
+    step = 512
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Ids(tokenizer)
@@ -153,7 +154,7 @@ def pieces(df: DataFrame, keys: list[str], text: str, tokenizer: bytes, capacity
                 cols += [pa.array(x, pa.int64()) for x in (start, length, crc, total)] + [pa.array(got, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keys, "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
-    out = kept.mapInArrow(run, schema)
+    out = kept.mapInArrow(releasing(run), schema)
     return out if ids else out.drop("ids")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,32 @@ BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def release() -> None:
+    """Hand freed memory back to the system: Spark's Python workers live on between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A task's work on batches, with memory handed back before and after."""
+
+    @functools.wraps(run)
+    def released(batches: Batches) -> Batches:
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return released
+
+
 def pieces(texts: pa.Array, piece: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of whole texts with about `piece` bytes. Null is empty."""
     texts = texts.cast(pa.large_string())
