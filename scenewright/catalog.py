@@ -203,10 +203,9 @@ same_sql("x5_new_and_removed", """SELECT (SELECT count(*) FROM (SELECT p_name FR
 # --- functions --------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, {FOLD.format('left(text, 80)')} AS fold, regexp_replace(regexp_replace(lower(strip_accents(left(text, 80))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
+@query(f"SELECT doc_id, {FOLD.format('text')} AS fold, regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
 def f1_fold_and_slug(spark, d):
-    head = F.substring("text", 1, 80)
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.fold_term(head).alias("fold"), T.slugify(head).alias("slug"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.fold_term(F.col("text")).alias("fold"), T.slugify(F.col("text")).alias("slug"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN s >= 3600 THEN s // 3600 || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0')
@@ -282,11 +281,11 @@ def w4_interleaved_queue(spark, d):
     return search.interleaved(t)
 
 
-SCENE_DOCS = "d AS (SELECT a.segment AS scene, t.term, CAST(sum(t.evidence) AS DOUBLE) AS weight FROM terms t JOIN artists a ON a.urn = t.urn WHERE a.segment IS NOT NULL AND a.followers > 9000 GROUP BY 1, 2)"
+SCENE_DOCS = "d AS (SELECT a.segment AS scene, t.term, CAST(sum(t.evidence) AS DOUBLE) AS weight FROM terms t JOIN artists a ON a.urn = t.urn WHERE a.segment IS NOT NULL GROUP BY 1, 2)"
 
 
 def scene_docs(spark, d):
-    a = v(spark, d, "artists").where("segment is not null and followers > 9000").select("urn", "segment")
+    a = v(spark, d, "artists").where("segment is not null").select("urn", "segment")
     return v(spark, d, "terms").join(a, "urn").groupBy(F.col("segment").alias("scene"), "term").agg(F.sum("evidence").cast("double").alias("weight"))
 
 
@@ -372,25 +371,25 @@ def u21_engagement(spark, d):
     return extract.engagement(tracks(spark, d)).withColumn("last_upload_at", F.date_format("last_upload_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("""WITH RECURSIVE a AS (SELECT c_nationkey AS s, s_nationkey AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity = 50 AND l_discount > 0.09 GROUP BY 1, 2),
+@query("""WITH RECURSIVE a AS (SELECT c_nationkey AS s, s_nationkey AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2),
     r AS (SELECT 3 AS n, 0 AS depth UNION SELECT t, depth + 1 FROM r JOIN a ON s = n WHERE depth < 3)
     SELECT CAST(n AS VARCHAR) AS urn, min(depth) AS depth FROM r GROUP BY n""")
 def u23_bounded_crawl(spark, d):
     ways = atlas.run(spark, d, """SELECT CAST(c_nationkey AS STRING) AS src, CAST(s_nationkey AS STRING) AS dst FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-      JOIN {customer} ON c_custkey = o_custkey JOIN {supplier} ON s_suppkey = l_suppkey WHERE l_quantity = 50 AND l_discount > 0.09 GROUP BY 1, 2""")
+      JOIN {customer} ON c_custkey = o_custkey JOIN {supplier} ON s_suppkey = l_suppkey GROUP BY 1, 2""")
     all_ = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("urn"), F.lit(1).alias("track_count"))
     return extract.crawl(ways, all_, ["3"], 3)
 
 
-@query(r"""SELECT doc_id, regexp_matches(left(text, 200), '(?i)(?:records|recordings|recs|label|tapes|podcast|radio|radioshow|magazine|collective|festival|soundsystem|distribution|premieres|events|series|media)$') AS hub FROM documents""")
+@query(r"""SELECT doc_id, regexp_matches(text, '(?i)(?:records|recordings|recs|label|tapes|podcast|radio|radioshow|magazine|collective|festival|soundsystem|distribution|premieres|events|series|media)$') AS hub FROM documents""")
 def h3_permalink_rule(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", hubs.permalink_of_hub(F.substring("text", 1, 200)).alias("hub"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", hubs.permalink_of_hub(F.col("text")).alias("hub"))
 
 
-@query(r"""SELECT urn FROM (SELECT source AS urn, lower(trim(regexp_extract(left(text, 60), '^(.{2,40}?)\s+[a-z]+\s+', 1))) AS p FROM documents) WHERE p <> '' GROUP BY urn
+@query(r"""SELECT urn FROM (SELECT source AS urn, lower(trim(regexp_extract(text, '^(.{2,40}?)\s+[a-z]+\s+', 1))) AS p FROM documents) WHERE p <> '' GROUP BY urn
     HAVING count(*) >= 10 AND count(DISTINCT p) >= 15 AND count(DISTINCT p) / count(*) >= 0.7""".replace("\\\\", "\\"))
 def h4_title_shapes(spark, d):
-    title = F.regexp_replace(F.substring("text", 1, 60), r"^(.{2,40}?)\s+[a-z]+\s+", "$1 - ")
+    title = F.regexp_replace("text", r"^(.{2,40}?)\s+[a-z]+\s+", "$1 - ")
     return hubs.channels_by_titles(spark.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("urn"), title.alias("title")))
 
 
