@@ -6,12 +6,11 @@ all training texts, and grouping those level by level gives every node's counts
 probability: half its own estimate, half the product of its children's. What a node then predicts is its own estimate
 and its child's on the path, mixed by their posterior weights: all depths take part in each decision.
 
-A node stays in the tree if it has at least the share of all training bytes that least_share() tells; children below
-that are one common child, so each decision's probabilities still add up to one. The share falls with the cube root of
-the bytes, so the tree grows with the corpus, but slowly enough for a broadcast: at most GROWTH x bytes ** (1 / 3)
-nodes stay for each depth and bit, 250,000 of 0.16 GB of text and 21 million of 100 TB, and in practice a small part of
-that, as most bytes are in few contexts. Texts are scored by walking each gram's path; grams that come again are
-remembered.
+Every counted node is in the tree, whatever the size of the corpus. A context's nodes lie below those of its last SPLIT
+bytes, so the distinct grams of all texts are dealt by those bytes, and each task works out the levels from DEPTH to
+SPLIT of its own; the levels above have at most 255 x 256 ** SPLIT nodes whatever the corpus, and the driver does them.
+Going down again gives each distinct gram its bits. Those of the HEAD most frequent grams, at most, are broadcast; the
+others, which are few of a text's, are joined. Grams that only held-out texts have count 0.
 
 The baseline is the add-a-tenth unigram of whole words. Words that make up at least WORD_SHARE of all tokens, at most
 1 / WORD_SHARE of them, are broadcast; the rest, which no text has many of, are joined with their counts.
@@ -27,16 +26,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenewright.llm.common import cut
+from scenewright.llm.common import cut, sliced
 from scenewright.llm.textbytes import LOWER, Counts, Memo, find, grams, pieces, prefix_hashes, releasing, span_hashes, words
 
 DEPTH = 5
-#: Nodes that stay for each depth and bit, at most, for a corpus of one byte; they grow with the cube root of the bytes.
-GROWTH = 460
+#: Bytes of context that grams are dealt by.
+SPLIT = 2
+#: Grams whose bits are broadcast, at most.
+HEAD = 1 << 21
+#: Distinct grams that one task works on, about.
+GRAMS_PER_TASK = 200_000
+#: least_share() is a share of so many bytes at most: by itself it's less than one occurrence, so it drops no node.
+GROWTH, SHARED = 460, 4096
 WORD_SHARE = 2.5e-7
 #: No UTF-8 text has this byte: it stands before each text and ends it.
 EDGE = 255
@@ -46,10 +52,15 @@ GRAM, WORD = 0, 1
 
 
 def least_share(total: int) -> float:
-    """The share of `total` training bytes that a node in the tree has at least."""
+    """The share of `total` training bytes, SHARED of them at most, that a node in the tree has at least."""
     return 1 / (GROWTH * max(1, total) ** (1 / 3))
 
 
+def least_count(total: int) -> float:
+    """The occurrences that a node in the tree has at least: one, for any number of training bytes."""
+    return max(1.0, least_share(total) * min(total, SHARED))
+
+
 def held_out(key: Column) -> Column:
     """Whether a document is held out: the CRC-32 of its key as text is divisible by 10. A null key is the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
@@ -63,7 +74,8 @@ def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def count(texts: DataFrame) -> DataFrame:
-    """(kind, key, n): grams of DEPTH + 1 bytes and words of texts (text)."""
+    """(kind, key, n): grams of DEPTH + 1 bytes and words of texts (text) or (text, held_out). A held-out text's grams
+    count 0, its words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {GRAM: Counts(), WORD: Counts()}
@@ -71,11 +83,17 @@ def count(texts: DataFrame) -> DataFrame:
             [pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(n)], names=["kind", "key", "n"]
         )
         for batch in batches:
-            for a, b, raw, offsets in pieces(batch.column(0)):
+            told = batch.column(0)
+            apart = batch.column(1) if batch.num_columns > 1 else pa.array(np.zeros(len(told), bool))
+            for a, b, raw, offsets in pieces(told.filter(pc.invert(apart))):
                 low = LOWER[raw]
                 for kind, keys in ((GRAM, grams(low, offsets, DEPTH + 1, EDGE, end=True)[0]), (WORD, np.r_[_words(low, offsets)[0], np.full(b - a, END)])):
                     for k, n in held[kind].add(keys):
                         yield out(kind, k, n)
+            for _, _, raw, offsets in pieces(told.filter(apart)):
+                keys = np.unique(grams(LOWER[raw], offsets, DEPTH + 1, EDGE, end=True)[0])
+                for k, n in held[GRAM].add(keys, np.zeros(len(keys), np.int64)):
+                    yield out(GRAM, k, n)
         for kind, counts in held.items():
             for k, n in counts.rest():
                 yield out(kind, k, n)
@@ -84,95 +102,157 @@ def count(texts: DataFrame) -> DataFrame:
     return part.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _log_gamma(x: Column) -> Column:
+def _log_gamma(x: np.ndarray) -> np.ndarray:
     """ln of the gamma function for x >= 1/2, by Stirling's series eight places on."""
     s = x + 8
-    product = x
+    product = x.copy()
     for k in range(1, 8):
-        product = product * (x + k)
+        product *= x + k
     series = 1 / (12 * s) - 1 / (360 * s * s * s) + 1 / (1260 * s * s * s * s * s)
-    return (s - 0.5) * F.log(s) - s + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+    return (s - 0.5) * np.log(s) - s + 0.5 * math.log(2 * math.pi) + series - np.log(product)
 
 
-def _kt(n0: Column, n1: Column) -> Column:
+def _kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of so many zeros and ones."""
     return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1.0) - math.log(math.pi)
 
 
+@dataclass
+class Level:
+    """The nodes of one depth (context above an eight-bit prefix of the byte, with a leading one) in order, their counts
+    and weighted probability, the weight of a node's own estimate, the estimate of the children that aren't in the
+    tree, and the place in this level of each node of the level below, or of each gram below the deepest."""
+
+    nodes: np.ndarray
+    n0: np.ndarray
+    n1: np.ndarray
+    weighted: np.ndarray
+    own: np.ndarray
+    other: np.ndarray
+    of: np.ndarray
+
+    def down(self, sure: np.ndarray, left: np.ndarray, other: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each node the part of a one's probability that the path to it settles, and the weight that is left for
+        the nodes below it, from those of its parent and the parent's other. A node not in the tree ends the path."""
+        kept, estimate = self.n0 + self.n1 >= least, (self.n1 + 0.5) / (self.n0 + self.n1 + 1)
+        return sure + left * np.where(kept, self.own * estimate, other), np.where(kept, left * (1 - self.own), 0.0)
+
+
+def _leaves(keys: np.ndarray, n: np.ndarray, bit: int) -> Level:
+    """The deepest nodes for a bit of the grams' last bytes."""
+    prefix, one = _split(keys, bit)
+    nodes, of = np.unique(((keys >> np.uint64(8)) << np.uint64(8)) | prefix, return_inverse=True)
+    n1 = np.bincount(of, weights=n * one, minlength=len(nodes))
+    n0 = np.bincount(of, weights=n * ~one, minlength=len(nodes))
+    return Level(nodes, n0, n1, _kt(n0, n1), np.ones(len(nodes)), np.full(len(nodes), 0.5), of)
+
+
+def _split(keys: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix before a bit of the grams' last bytes, and whether the bit is one."""
+    byte = keys & np.uint64(255)
+    return (np.uint64(1) << np.uint64(bit)) | (byte >> np.uint64(8 - bit)), ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+
+
+def _above(level: Level, depth: int, least: float) -> Level:
+    """The nodes at that depth, of those one deeper."""
+    nodes, of = np.unique(level.nodes & np.uint64((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+    added = lambda x: np.bincount(of, weights=x, minlength=len(nodes))
+    kept = level.n0 + level.n1 >= least
+    n0, n1, o0, o1 = added(level.n0), added(level.n1), added(np.where(kept, 0, level.n0)), added(np.where(kept, 0, level.n1))
+    a = math.log(0.5) + _kt(n0, n1)
+    weighted = np.logaddexp(a, math.log(0.5) + added(np.where(kept, level.weighted, 0)) + _kt(o0, o1))
+    return Level(nodes, n0, n1, weighted, np.exp(a - weighted), (o1 + 0.5) / (o0 + o1 + 1), of)
+
+
+def _levels(keys: np.ndarray, n: np.ndarray, bit: int, depth: int, top: int, least: float) -> list[Level]:
+    """The levels of a bit from `depth` up to `top`."""
+    found = [_leaves(keys, n, bit)]
+    for d in range(depth - 1, top - 1, -1):
+        found.append(_above(found[-1], d, least))
+    return found
+
+
+def costs(found: DataFrame) -> DataFrame:
+    """(key, n, bits): log2 of the probability of the last byte after the bytes before it of all grams of found (key, n),
+    whose counts make the tree. Without any count, each decision is even."""
+    total, rows = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    least, depth, top = least_count(total), DEPTH, min(SPLIT, DEPTH)
+    suffix = F.shiftright("key", 8).bitwiseAND((1 << 8 * top) - 1)
+    dealt = found.select("key", "n").repartition(sliced(rows, GRAMS_PER_TASK), suffix)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        read = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
+        if not read:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.concatenate([k for k, _ in read]), np.concatenate([n for _, n in read])
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = own(batches)
+        for bit in range(8 if len(keys) else 0):
+            x = _levels(keys, n, bit, depth, top, least)[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x.nodes.view(np.int64)), *map(pa.array, (x.n0, x.n1, x.weighted))], names=["node", "n0", "n1", "weighted"])
+
+    told = dealt.mapInArrow(releasing(up), "node long, n0 double, n1 double, weighted double").toArrow()  # 255 x 256 ** SPLIT rows at most
+    node, n0, n1, weighted = (told.column(i).to_numpy() for i in range(4))
+    order = np.argsort(node)
+    none = np.zeros(0)
+    levels = [Level(node[order].view(np.uint64), n0[order], n1[order], weighted[order], np.ones(len(node)) if top == depth else none, none, none)]
+    for d in range(top - 1, -1, -1):
+        levels.append(_above(levels[-1], d, least))
+    sure, left, other = np.zeros(len(levels[-1].nodes)), np.ones(len(levels[-1].nodes)), np.full(len(levels[-1].nodes), 0.5)
+    for level in levels[:0:-1]:
+        sure, left = level.down(sure, left, other, least)
+        sure, left, other = sure[level.of], left[level.of], level.other[level.of]
+    shared = found.sparkSession.sparkContext.broadcast((levels[0].nodes, sure, left, other))
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = own(batches)
+        nodes, *before = shared.value
+        bits = np.zeros(len(keys))
+        for bit in range(8 if len(keys) else 0):
+            levels = _levels(keys, n, bit, depth, top, least)
+            at = find(nodes, levels[-1].nodes)[0]
+            sure, left, other = (x[at] for x in before)
+            for level in levels[::-1]:
+                sure, left = level.down(sure, left, other, least)
+                sure, left, other = sure[level.of], left[level.of], level.other[level.of]
+            bits += np.log2(np.where(_split(keys, bit)[1], sure, 1 - sure))
+        for i in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000]), pa.array(bits[i : i + 100_000])], names=["key", "n", "bits"])
+
+    return cut(dealt.mapInArrow(releasing(down), "key long, n long, bits double"))
+
+
 @dataclass
 class Tree:
-    """For each depth the sorted nodes (context above an eight-bit prefix of the byte, with a leading one), the weight
-    of the node's own estimate, that estimate of a one, and the estimate of the children that aren't in the tree."""
+    """The tree of counted grams (key, n)."""
 
-    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    found: DataFrame
 
     def log2(self, keys: np.ndarray) -> np.ndarray:
         """log2 of the probability of each gram's last byte after the bytes before it."""
-        byte, context = keys & np.uint64(255), keys >> np.uint64(8)
-        out = np.zeros(len(keys))
-        for bit in range(8):
-            prefix = (np.uint64(1) << np.uint64(bit)) | (byte >> np.uint64(8 - bit))
-            one = ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
-            q, deeper = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
-            for depth in range(len(self.levels) - 1, -1, -1):
-                nodes, own, estimate, other = self.levels[depth]
-                if len(nodes):
-                    mask = np.uint64((1 << 8 * depth) - 1)
-                    at, there = find(nodes, ((context & mask) << np.uint64(8)) | prefix)
-                    below = np.where(deeper, q, other[at])
-                    q = np.where(there, own[at] * estimate[at] + (1 - own[at]) * below, q)
-                    deeper = there
-            out += np.log2(np.where(one, q, 1 - q))
-        return out
+        asked = self.found.sparkSession.createDataFrame([(k,) for k in keys.view(np.int64).tolist()], "key long").distinct()
+        whole = self.found.unionByName(asked.withColumn("n", F.lit(0).cast("long"))).groupBy("key").agg(F.sum("n").alias("n"))
+        bits = dict(costs(whole).join(asked, "key").select("key", "bits").collect())
+        return np.array([bits[k] for k in keys.view(np.int64).tolist()])
 
 
 def grow(counts: DataFrame) -> Tree:
-    """The tree of the grams in counts, a table. Without any, each decision is even."""
-    found = counts.where(F.col("kind") == GRAM).select("key", "n")
-    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1.0, least_share(total) * total)
-    byte, context = F.col("key").bitwiseAND(255), F.shiftright("key", 8)
-    bits = F.array(
-        *[
-            F.struct(
-                (F.shiftright(byte, 8 - j) + (1 << j)).alias("prefix"), F.shiftright(byte, 7 - j).bitwiseAND(1).alias("bit")
-            )
-            for j in range(8)
-        ]
-    )
-    each = found.select(context.alias("context"), "n", F.explode(bits).alias("b"))
-    node = F.shiftleft("context", 8) + F.col("b.prefix")
-    zero, one = F.when(F.col("b.bit") == 0, F.col("n")).otherwise(0), F.when(F.col("b.bit") == 1, F.col("n")).otherwise(0)
-    level = each.groupBy(node.alias("node")).agg(F.sum(zero).cast("double").alias("n0"), F.sum(one).cast("double").alias("n1"))
-    level = level.withColumn("weighted", _kt(F.col("n0"), F.col("n1"))).withColumns({"own": F.lit(1.0), "other": F.lit(0.5)})
-    levels = []
-    half = F.lit(math.log(0.5))
-    for depth in range(DEPTH, -1, -1):
-        level = cut(level)
-        rows = level.where(F.col("n0") + F.col("n1") >= least).select(
-            "node", "own", ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).alias("estimate"), "other"
-        )
-        told = rows.toArrow()  # at most 8 x GROWTH x total ** (1 / 3) rows
-        key, *values = (told.column(i).to_numpy() for i in range(4))
-        order = np.argsort(key)
-        levels.append((key[order].view(np.uint64), *[v[order].astype(np.float32) for v in values]))
-        if depth:
-            kept = F.col("n0") + F.col("n1") >= least
-            up = level.groupBy(F.col("node").bitwiseAND((1 << 8 * depth) - 1).alias("node")).agg(
-                F.sum("n0").alias("n0"),
-                F.sum("n1").alias("n1"),
-                F.coalesce(F.sum(F.when(kept, F.col("weighted"))), F.lit(0.0)).alias("below"),
-                F.coalesce(F.sum(F.when(~kept, F.col("n0"))), F.lit(0.0)).alias("o0"),
-                F.coalesce(F.sum(F.when(~kept, F.col("n1"))), F.lit(0.0)).alias("o1"),
-            )
-            a = half + _kt(F.col("n0"), F.col("n1"))
-            b = half + F.col("below") + _kt(F.col("o0"), F.col("o1"))
-            up = up.withColumn("a", a).withColumn("b", b)
-            weighted = F.greatest("a", "b") + F.log1p(F.exp(-F.abs(F.col("a") - F.col("b"))))
-            up = up.withColumn("weighted", weighted)
-            other = (F.col("o1") + 0.5) / (F.col("o0") + F.col("o1") + 1)
-            level = up.select("node", "n0", "n1", "weighted", F.exp(F.col("a") - F.col("weighted")).alias("own"), other.alias("other"))
-    return Tree(levels[::-1])
+    """The tree of the grams in counts, a table."""
+    return Tree(counts.where(F.col("kind") == GRAM).select("key", "n"))
+
+
+def _head(told: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent grams of told (key, n, bits), at most HEAD, and the others, None if there are none."""
+    size = F.floor(8 * F.log2(F.greatest("n", F.lit(0.5)))).cast("int")
+    least, room = None, HEAD
+    for of, n in sorted(told.groupBy(size.alias("size")).agg(F.count("*")).collect(), reverse=True):  # 8 x 63 rows at most
+        if n > room:
+            break
+        least, room = of, room - n
+    else:
+        return told, None
+    return (told.limit(0), told) if least is None else (told.where(size >= least), told.where(size < least))
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,19 +262,27 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     one that ends it. Rows that repeat a key are scored, and learned from, each. An empty table gives an empty one; if
     nothing is learned, scores are those of the even model. Memory is in proportion to the longest text."""
     given = df.select(F.col(key).alias("key"), F.col(text).alias("text"), held_out(F.col(key)).alias("held_out"))
-    counts = cut(count(given.where(~F.col("held_out")).select("text")))
-    tree = grow(counts)
+    counts = cut(count(given.select("text", "held_out")))
+    head, others = _head(costs(counts.where(F.col("kind") == GRAM)))
+    often = head.select("key", "bits").toArrow()  # at most HEAD rows
+    keys, bits = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
+    by = np.argsort(keys)
     vocabulary = counts.where(F.col("kind") == WORD).select("key", "n")
     n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = vocabulary.where(F.col("n") >= max(1.0, WORD_SHARE * n)).toArrow()  # at most 1 / WORD_SHARE rows
     hashes, times = common.column(0).to_numpy().view(np.uint64), common.column(1).to_numpy()
     order = np.argsort(hashes)
-    shared = df.sparkSession.sparkContext.broadcast((tree, hashes[order], times[order]))
+    shared = df.sparkSession.sparkContext.broadcast((keys[by], bits[by], hashes[order], times[order]))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, hashes, times = shared.value
-        cost = Memo(tree.log2, bits=21)
+        often_keys, often_bits, hashes, times = shared.value
+
+        def told(keys: np.ndarray) -> np.ndarray:
+            at, there = find(often_keys, keys)
+            return np.where(there, often_bits[at], np.nan) if len(often_keys) else np.full(len(keys), np.nan)
+
+        cost = Memo(told, bits=21)
 
         def known(h: np.ndarray) -> np.ndarray:
             at, there = find(hashes, h)
@@ -206,7 +294,10 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             for a, b, raw, offsets in pieces(batch.column(1)):
                 m, low = b - a, LOWER[raw]
                 keys, at = grams(low, offsets, DEPTH + 1, EDGE, end=True)
-                bits = np.add.reduceat(cost(keys), at[:-1])  # each text has its end at least
+                each = cost(keys)
+                other = np.flatnonzero(np.isnan(each))
+                upto = np.searchsorted(other, at).astype(np.int32)
+                bits = np.add.reduceat(np.nan_to_num(each), at[:-1])  # each text has its end at least
                 h, of = _words(low, offsets)
                 h, of = np.r_[h, np.full(m, END)], np.r_[of, np.arange(m)]
                 c = often(h)
@@ -218,17 +309,23 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                     pa.array(row + np.arange(m)), batch.column(0).slice(a, m), batch.column(2).slice(a, m),
                     pa.array(np.bincount(of, minlength=m)), pa.array(np.bincount(of[c > 0], minlength=m)), pa.array(base),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rare].view(np.int64))), pa.array(bits), pa.array(np.diff(at)),
+                    pa.ListArray.from_arrays(pa.array(upto), pa.array(keys[other].view(np.int64))),
                 ]
                 row += m
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "key", "held_out", "n_tokens", "known", "base", "rare", "bits", "n_bytes"])
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "key", "held_out", "n_tokens", "known", "base", "rare", "bits", "n_bytes", "grams"])
 
-    schema = f"row long, key {kind}, held_out boolean, n_tokens long, known long, base double, rare array<long>, bits double, n_bytes long"
+    schema = f"row long, key {kind}, held_out boolean, n_tokens long, known long, base double, rare array<long>, bits double, n_bytes long, grams array<long>"
     rows = cut(given.mapInArrow(releasing(run), schema))
     rare = rows.select("row", F.explode("rare").alias("word"))
     rare = rare.join(vocabulary.toDF("word", "n"), "word", "left").groupBy("row").agg(
         F.count("n").alias("rare_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_base")
     )
-    out = rows.drop("rare").join(rare, "row", "left")
+    out = rows.drop("rare", "grams").join(rare, "row", "left")
+    if others is not None:
+        more = rows.select("row", F.explode("grams").alias("gram")).groupBy("row", "gram").agg(F.count("*").alias("times"))
+        more = more.join(others.select(F.col("key").alias("gram"), F.col("bits").alias("each")), "gram")
+        out = out.join(more.groupBy("row").agg(F.sum(F.col("times") * F.col("each")).alias("more")), "row", "left")
+        out = out.withColumn("bits", F.col("bits") + F.coalesce("more", F.lit(0.0)))
     each = math.log10(n + 0.1 * (v + 1))
     return out.select(
         F.col("key").alias(key),

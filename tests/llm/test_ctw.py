@@ -120,3 +120,24 @@ def test_nothing_to_learn_from(spark):
 def test_the_tree_grows_with_the_corpus():
     nodes = [1 / ctw.least_share(n) for n in (10**8, 10**9, 10**14)]
     assert nodes[0] < nodes[1] < nodes[2] < 3e7 and ctw.least_share(0) > 0
+
+
+def test_rare_contexts_of_a_larger_corpus_count(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "DEPTH", 2)
+    draw = random.Random(5)
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    own = {i: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz 0123456789", k=1500)) for i in range(40)}
+    log2 = brute_tree([t for i, t in own.items() if not held(i)], 2, 1.0)
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ctw.score(df).collect()}
+    for i in [i for i in own if held(i)]:
+        b = b"\xff\xff" + own[i].encode() + b"\xff"
+        assert math.isclose(got[i], sum(log2(b[k - 2 : k + 1]) for k in range(2, len(b))) * math.log10(2), rel_tol=1e-9)
+    monkeypatch.setattr(ctw, "HEAD", 3_000)  # most grams are joined, in several tasks
+    monkeypatch.setattr(ctw, "GRAMS_PER_TASK", 5_000)
+    for r in ctw.score(df).collect():
+        assert math.isclose(r.score, got[r.doc_id], rel_tol=1e-9)
+
+
+def test_no_node_is_dropped_at_any_size():
+    assert {ctw.least_count(n) for n in (0, 1, 4096, 10**8, 10**14)} == {1.0}
