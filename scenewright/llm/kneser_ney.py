@@ -2,8 +2,8 @@
 
 The grams are of bytes, ORDER long, as their number is bounded by the writing systems and not by the vocabulary. Spark
 counts them over all documents, each language its own; continuation counts of the shorter orders, the discounts and
-the contexts' sums come from those counts by grouping. The model keeps the grams that have at least SHARE of all bytes,
-so at most ORDER / SHARE of them whatever the corpus; the weight of those left out goes to the shorter context, so
+the contexts' sums come from those counts by grouping. The model keeps the grams that have at least SHARE of their
+language's bytes, so at most ORDER / SHARE of each language whatever the corpus; the weight of those left out goes to the shorter context, so
 each context's probabilities still add up to one. It is stored as sorted arrays of packed grams, which fit a broadcast.
 
 A document's verdict is its mean log-perplexity a byte against its language's band: the median of all documents that
@@ -26,13 +26,14 @@ from scenewright.llm.common import cut
 from scenewright.llm.textbytes import LOWER, SPACE, Counts, Memo, find, grams, mixed, per_text, pieces, prefix_hashes, releasing, span_hashes, words
 
 ORDER = 5
-#: The least share of all bytes that a gram in the model has.
+#: The least share of its language's bytes that a gram in the model has.
 SHARE = 1e-6
 #: Languages with a smaller share of the documents have one model in common.
 LEAST_LANGUAGE = 1 / 200
-#: The band's reach below and above the median, in distances to the lower and the upper quartile, and the least distance.
-BELOW, ABOVE, LEAST_SPREAD = 8.0, 8.0, 0.05
-BIN = 0.01
+#: The band's reach below and above the median, in distances to the lower and the upper quartile, and the bins' width,
+#: in which the quartiles are told: a distance is one bin at least.
+BELOW, ABOVE = 8.0, 8.0
+BIN = 1e-4
 #: Fixed values of the query's contract.
 SYMBOLS, LEAST_WORDS, MOST_REPEATED = b"#*$%&|<>", 50, 50
 
@@ -99,9 +100,9 @@ def train(df: DataFrame, text: str = "text", language: str = "lang") -> Model:
     common = per.withColumn("share", share).where(F.col("language").isNotNull() & (F.col("share") >= LEAST_LANGUAGE))
     languages = {r[0]: i + 1 for i, r in enumerate(sorted(common.select("language").collect()))}
     top = cut(count_grams(df, text, language, languages).select("key", F.col("n").alias("a"), F.col("n").alias("raw")))
-    total = top.agg(F.coalesce(F.sum("raw"), F.lit(0))).first()[0]
-    least = max(1.0, SHARE * total)
     above = F.col("key") - F.col("key").bitwiseAND((1 << 8 * ORDER) - 1)  # the language alone
+    least = top.groupBy(above.alias("language")).agg(F.greatest(F.lit(1.0), SHARE * F.sum("raw")).alias("least"))
+    least = F.broadcast(cut(least))  # at most 1 / LEAST_LANGUAGE + 1 rows
     found_grams, found_contexts = [], []
     level = top
     for k in range(ORDER, 0, -1):
@@ -122,10 +123,10 @@ def train(df: DataFrame, text: str = "text", language: str = "lang") -> Model:
             "key", "a", "raw", above.alias("language"), (above + F.shiftright(bytes_, 8)).alias("context")
         )
         sums = told.groupBy("context").agg(F.sum("a").alias("all"))
-        kept = told.where(F.col("raw") >= least).join(sums, "context").join(discounts, "language")
+        kept = told.join(least, "language").where("raw >= least").join(sums, "context").join(discounts, "language")
         d = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
         kept = kept.select("key", "context", ((F.col("a") - d) / F.col("all")).alias("u"))
-        rows = kept.toArrow()  # at most 1 / SHARE rows
+        rows = kept.toArrow()  # at most 1 / SHARE rows of each language
         key, context, u = (rows.column(i).to_numpy() for i in range(3))
         found_grams.append(_sorted(key, u))
         some, back = np.unique(context, return_inverse=True)
@@ -224,7 +225,7 @@ def bands(measured: DataFrame, language: str = "lang") -> DataFrame:
     ranked = good.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(all_))
     at = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) + 0.5) * BIN
     quarters = ranked.groupBy("language").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
-    reach = lambda d: F.greatest(d, F.lit(LEAST_SPREAD))
+    reach = lambda d: F.greatest(d, F.lit(BIN))
     return quarters.select(
         "language",
         (F.col("q2") - BELOW * reach(F.col("q2") - F.col("q1"))).alias("lower"),

@@ -125,6 +125,24 @@ def test_bands_reject_outliers_of_their_language_only(spark, monkeypatch):
     assert K.judge(measured, K.bands(measured)).count() == 0
 
 
+def test_each_side_of_the_band_follows_its_language(spark):
+    rows = [(f"{lang}{i}", lang, 100, 0, 1000, 1000 * (1.5 + wide * (i - 100) / 50)) for lang, wide in (("en", 0.02), ("es", 0.05)) for i in range(201)]
+    rows += [(f"{lang}{v}", lang, 100, 0, 1000, 1000 * v) for lang in ("en", "es") for v in (1.25, 1.75)]
+    df = spark.createDataFrame(rows, "doc_id string, lang string, n_words long, n_repeat_words long, n_bytes long, nats double")
+    assert {r.doc_id for r in K.judge(df, K.bands(df)).where("not kept").collect()} == {"en1.25", "en1.75"}
+    same = df.where("doc_id = 'en7'")
+    assert K.judge(same, K.bands(same)).where("kept").count() == 1
+
+
+def test_the_least_share_is_of_the_languages_own_bytes(spark, monkeypatch):
+    monkeypatch.setattr(K, "SHARE", 2e-3)
+    rows = [(i, t, "de") for i, t in enumerate(texts(20))] + [(1000 + i, t, "en") for i, t in enumerate(texts(200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = df.where("lang = 'de'")
+    alone, both = ({r.doc_id: r.nats for r in K.measure(own, K.train(x)).collect()} for x in (own, df))
+    assert all(math.isclose(both[i], alone[i], rel_tol=1e-9) for i in alone)
+
+
 def test_memo_forgets_but_never_errs():
     memo = B.Memo(lambda k: (k % np.uint64(97)).astype(float), bits=4)
     draw = np.random.default_rng(0)
