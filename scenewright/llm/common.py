@@ -104,6 +104,22 @@ def gapless(df: DataFrame, group: list[str], order: list[str], name: str, rows:
     return out.drop("_gapless_slice", "_gapless_s", "_gapless_in", "_gapless_first", *[f"_gapless_{i}" for i in range(len(group))])
 
 
+#: Keys with so many rows that their one row of the other side goes to all tasks instead; at most 1 / HOT_SHARE of them.
+HOT_SHARE, HOT_ROWS = 1e-4, 128
+
+
+def join_hot(rows: DataFrame, one: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with `one`, which has a row for each of its keys and in n how many of rows have that key (dropped).
+
+    A key may hold any share of the rows: what belongs to keys of at least HOT_SHARE of them is never shuffled."""
+    hot = F.col(n) >= max(HOT_ROWS, HOT_SHARE * total)
+    mark = F.lit(True).alias("_hot")
+    often, seldom = one.where(hot).drop(n), one.where(~hot).drop(n)
+    marked = rows.join(F.broadcast(often.select(key, mark)), key, "left")  # at most 1 / HOT_SHARE rows
+    cold = marked.where("_hot is null").drop("_hot").join(seldom, key)
+    return cold.unionByName(rows.join(F.broadcast(often), key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,12 +6,15 @@ Documents are sets of word shingles, hashed; two link when the sets' intersectio
 2. A document that links with another shares at least PERCENT of its shingles with it. So nodes are dropped that have
    more shingles than that which no other node has: first by a part of all hashes, counted in buckets, which clears
    away most of a corpus at little cost, then by all shingles of what is left.
-3. For any order of all shingles, two sets that link share one among their first |A| - ceil(PERCENT x |A|) + 1. The
-   first order goes by document frequency, rare ones first; its prefixes are joined. Two more orders, by hashes, must
-   agree, and so must the sizes, before a pair is verified on the whole sets.
+3. For any order of all shingles, the first one that two linking sets share has as many before it in either set, at
+   most, as the set is larger than the least intersection of the two. The first order goes by document frequency, rare
+   ones first; its prefixes are the index, with each shingle's place. So sets that share an index token are candidates
+   only if both places fit both sizes: near copies whose own changes alone are too many never meet. Two more orders, by
+   hashes, must agree before a pair is verified on the whole sets.
 4. Only components are wanted, so pairs that are connected already needn't be verified. First every document of a
-   prefix token is compared with one of them, in several rounds with another one each; then all pairs that share a
-   prefix token and aren't connected. So no link is lost, and a group of thousands of near copies costs as many
+   prefix token is compared with the one that has least before that token, which of near copies is the one with the
+   fewest changes of its own. What of a token's documents isn't in its largest component then is compared with all
+   of the token's outside its own component. So no link is lost, and a group of thousands of near copies costs as many
    comparisons as it has documents, not pairs.
 """
 
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenewright.llm.common import cut, sliced
+from scenewright.llm.common import cut, join_hot, sliced
 from scenewright.llm.graph import components
 from scenewright.llm.textbytes import mixed, pieces, releasing, shingle_sets, sums
 
@@ -35,7 +38,9 @@ BUCKET = 2_000_000
 #: Rows (of two numbers) up to which the documents to look at again are sent to all tasks instead of shuffling texts.
 BROADCAST_ROWS = 1_000_000
 #: Rounds in which a prefix token's documents are compared with one of them.
-ROUNDS = 4
+ROUNDS = 1
+#: Rows of one token that one task compares others with, in expectation.
+SIDE = 4096
 
 
 def _sets(batch: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -128,12 +133,19 @@ def required(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / F.lit(100) - F.lit(1e-9)).cast("long")
 
 
+def least_common(n: Column, m: Column, percent: int) -> Column:
+    """The least size of an intersection with which sets of n and m shingles link."""
+    return F.ceil((n + m) * percent / F.lit(100 + percent) - F.lit(1e-9)).cast("long")
+
+
 def _candidates(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The shared shingles of the sets that may link and their prefixes under the hashed orders, (node, n, tokens,
-    second, third), and the index of the first order's prefixes, (token, node, n)."""
+    second, third), and the index of the first order's prefixes, (token, node, n, pos); pos counts from 1 in the order
+    of all the set's shingles, those that no other set has coming first."""
     # more shingles that no other set has than a link allows: gone. Those of the others are counted once more.
     shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    own = rows.join(shared, "token").groupBy("node", "n").agg(F.collect_set(F.struct("df", "token")).alias("own"))
+    shared = shared.withColumn("times", F.col("df"))
+    own = join_hot(rows, shared, "token", "times", rows.count()).groupBy("node", "n").agg(F.collect_set(F.struct("df", "token")).alias("own"))
     spare = F.size("own") - required(F.col("n"), percent) + 1  # the prefix of any order
     own = own.withColumn("spare", spare.cast("int")).where("spare > 0")
     hashed = lambda seed: F.transform(
@@ -151,55 +163,76 @@ def _candidates(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         )
     )
     # the index has no arrays: a long text has as many rows there as its prefix is long
-    index = own.select(F.explode("first").alias("token"), "node", "n")
-    repeated = index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").drop("df")
-    return own.drop("first"), cut(index.join(repeated, "token"))
+    index = own.select(F.posexplode("first").alias("at", "token"), "node", "n", (F.col("n") - F.size("tokens")).alias("alone"))
+    index = cut(index.select("token", "node", "n", (F.col("alone") + F.col("at") + 1).cast("long").alias("pos")))
+    repeated = index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    return own.drop("first"), cut(join_hot(index, repeated, "token", "df", index.count()))
 
 
-def _size_fits(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _may_link(percent: int) -> Column:
+    """Whether the sets x and y of an index token can still link: it is the first that both have, so each has as many
+    shingles before it as the intersection leaves over, at most. That settles their sizes too."""
+    least = least_common(F.col("x.n"), F.col("y.n"), percent)
+    fits = lambda s: F.col(f"{s}.pos") <= F.col(f"{s}.n") - least + 1
+    return fits("x") & fits("y") & (F.col("x.component") != F.col("y.component"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: those whose prefixes meet under the other orders too are verified on whole sets."""
+    """The pairs (a, b, ca, cb) that link: those whose prefixes meet under the other orders too are verified on whole
+    sets."""
     of = lambda x, *names: sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in names])
     both = pairs.join(of("a", "second", "third"), "a").join(of("b", "n", "tokens", "second", "third"), "b")
     both = both.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third"))
-    both = both.select("a", "b", "b_n", "b_tokens").join(of("a", "n", "tokens"), "a")
+    both = both.select("a", "b", "ca", "cb", "b_n", "b_tokens").join(of("a", "n", "tokens"), "a")
     inter = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return both.where(100 * inter >= percent * (F.col("a_n") + F.col("b_n") - inter)).select("a", "b")
+    return both.where(100 * inter >= percent * (F.col("a_n") + F.col("b_n") - inter)).select("a", "b", "ca", "cb")
+
+
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb): each two sets x and y, index rows of one token with components, that may link, once."""
+    met = met.where(_may_link(percent))
+    first = F.col("x.node") < F.col("y.node")
+    either = lambda c: (F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
+    (a, b), (ca, cb) = either("node"), either("component")
+    return met.select(a.alias("a"), b.alias("b"), ca.alias("ca"), cb.alias("cb")).distinct()
+
+
+def _merged(label: DataFrame, found: DataFrame) -> DataFrame:
+    """label (node, component) after links between components."""
+    new = cut(components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("c", "to"))
+    moved = label.join(new.withColumnRenamed("c", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    # a component of one set that had no link so far
+    fresh = new.select(F.col("c").alias("node"), F.col("to").alias("component")).join(label.select("node"), "node", "left_anti")
+    return cut(moved.unionByName(fresh))
 
 
 def link(sets: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the sets that link with another one."""
-    spark = sets.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
+    spark, total = sets.sparkSession, index.count()
     label = spark.createDataFrame([], "node long, component long")
-    for turn in range(ROUNDS + 1):
-        known = index.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # tokens whose sets are all connected are done
-        lead = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "component")).alias("lead")
-        told = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), lead).where("low < high")
-        if turn < ROUNDS:
-            pairs = known.join(told.select("token", "lead"), "token").select(
-                F.col("lead.node").alias("x"), F.col("node").alias("y"), F.col("lead.n").alias("x_n"), F.col("n").alias("y_n"),
-                (F.col("component") != F.col("lead.component")).alias("apart"),
-            )
-        else:
-            left = known.join(told.select("token"), "token").select("token", "node", "n", "component")
-            other = left.select("token", *[F.col(c).alias(f"{c}_2") for c in left.columns[1:]])
-            pairs = left.join(other, "token").where("node < node_2").select(
-                F.col("node").alias("x"), F.col("node_2").alias("y"), F.col("n").alias("x_n"), F.col("n_2").alias("y_n"),
-                (F.col("component") != F.col("component_2")).alias("apart"),
-            )
-        pairs = pairs.where(F.col("apart") & _size_fits(F.col("x_n"), F.col("y_n"), percent))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found = cut(_verified(pairs, sets, percent))
-        if found.isEmpty():
-            continue
-        links = links.unionByName(found)
-        label = cut(components(links))
-    return label
+    told = lambda: cut(index.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    y = F.struct("node", "n", "pos", "component").alias("y")
+    for turn in range(ROUNDS):
+        known = told()
+        row = F.struct("pos", F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "component")
+        lead = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(row).alias("x"), F.count("*").alias("times"))
+        lead = lead.where("low < high").select("token", "x", "times")  # a token whose sets are all connected is done
+        found = cut(_verified(_pairs(join_hot(known.select("token", y), lead, "token", "times", total), percent), sets, percent))
+        if not found.isEmpty():
+            label = _merged(label, found)
+    known = told()
+    part = known.groupBy("token", "component").agg(F.count("*").alias("size"))
+    main = part.groupBy("token").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
+    main = main.where("parts > 1").select("token", F.col("main.component").alias("main"))
+    # sets outside the component that has most of a token's sets, with all of that token's. A token that many sets have
+    # is dealt by a hash of the larger side
+    open_ = cut(known.join(main, "token"))
+    few, times = open_.where("component != main"), F.greatest(F.lit(1), F.ceil(F.col("times") / SIDE)).cast("int")
+    per = open_.groupBy("token").agg(F.count("*").alias("times")).select("token", times.alias("sides"))
+    few = few.join(per, "token").select("token", F.struct("node", "n", "pos", "component").alias("x"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"))
+    open_ = open_.join(per, "token").select("token", y, F.pmod(F.xxhash64("node"), F.col("sides")).cast("int").alias("side"))
+    found = cut(_verified(_pairs(few.join(open_, ["token", "side"]), percent), sets, percent))
+    return label if found.isEmpty() else _merged(label, found)
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5, percent: int = 80) -> DataFrame:

@@ -74,6 +74,27 @@ def test_no_link_is_lost_without_rounds_or_with_one_bucket(spark, monkeypatch):
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+def test_many_near_copies_with_changes_of_their_own(spark):
+    draw = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for g in range(300):  # most are too far from each other to link, and hang together by the least changed
+        x = list(base)
+        for _ in range(draw.choice([0, 1, 1, 2, 2, 3])):
+            x[draw.randrange(120)] = f"c{draw.randrange(400)}"
+        rows.append((g, " ".join(x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.join(df, words=3, percent=90).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 3, 90))
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"v{i % 70_000}" for i in range(150_000))
+    rows = [(1, long), (2, long + " end"), (3, "v1 v2 v3 v4 v5 v6"), (4, long[: len(long) // 3])]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=90).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
 def test_nulls_repeated_keys_and_empty_tables(spark):
     long = " ".join(f"v{i}" for i in range(50))
     rows = [(None, long), (5, long), (4, long + " z"), (4, "another text that is quite different from it"), (None, None), (9, None), (None, "alone it stands here")]

@@ -55,6 +55,16 @@ def test_each_stage_takes_effect(spark):
     assert sum(r.length for r in pieces) == tokens
 
 
+def test_near_duplicates_tells_rows_of_one_id_apart(spark):
+    one = " ".join(f"a{i}" for i in range(100))
+    other = " ".join(f"b{i}" for i in range(100))
+    rows = [(3, one), (7, one + " tail"), (7, other), (7, other), (None, one + " end"), (None, "stands alone"), (None, None), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t or ""), 5) for i, t in rows], SCHEMA + ", component_id long")
+    got = dict(P.STAGES)["near_duplicates"](spark, docs, "")
+    assert got.columns == P.COLUMNS
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(3, one), (7, other), (None, "stands alone"), (None, None), (9, None), (9, "")]))
+
+
 def test_empty_tables_pass(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in P.STAGES:
