@@ -26,16 +26,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links of at least 80 % common five-word shingles connect, the one of the
-    smallest doc_id. Documents without an id stay; of rows with equal ids those with equal texts are copies."""
-    found = ngram_join.join(docs.select("doc_id", "text"), words=5, percent=80)
-    gone = cut(found.where("doc_id != component_id").select("doc_id").distinct())
+    smallest doc_id, documents without an id last. A document is a doc_id with a text: rows of one id with different
+    texts are told apart, and of rows equal in both one stays. Null and wordless texts link with nothing. An empty
+    table stays empty; columns other than those of documents are dropped."""
+    whose = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("text"))
+    rows = docs.select(*COLUMNS).withColumn("_whose", whose)
+    found = cut(ngram_join.join(rows.select("_whose", "text"), "_whose", words=5, percent=80))
+    gone = cut(found.where("_whose != component_id").select("_whose").distinct())
     few = gone.count() <= ngram_join.BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").limit(1).count()
-    if not repeated:
-        return kept
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(kept.where("doc_id is null"))
+    kept = rows.join(F.broadcast(gone) if few else gone, "_whose", "left_anti")
+    again = found.groupBy("_whose").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return (kept.dropDuplicates(["_whose"]) if again else kept).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
