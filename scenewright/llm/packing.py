@@ -12,9 +12,11 @@ last sequence, fewer than j pieces of each class and so bounded by the capacity
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +33,7 @@ from scenewright.llm.textbytes import releasing
 #: A piece stays whole if it has so much of its class's share.
 FILL = 0.99
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 #: The id that ends each document.
 END = 0
 
@@ -52,6 +54,9 @@ def cuts(length: int, capacity: int, fill: float = FILL) -> list[int]:
 class Ids:
     """Token ids of texts as little-endian 32-bit bytes, by a tokenizers file.
 
+    A text of plain scripts is encoded whole, from the file's vocabulary. Others are cut into chunks, of which the plain
+    ones take the same way and the rest goes to the tokenizer itself.
+
     A byte-level tokenizer of this kind never joins a blank that stands before a letter, digit or sign with what
     stands before it. So a text may be cut before each such blank, and the ids of the chunks, mostly words that come
     again and again, are remembered. The cut needs a plain blank followed by something that is no white space; texts
@@ -61,40 +66,54 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.size, self.known = Tokenizer.from_str(file.decode()), remembered, {}
+        self.tokenizer, self.size = Tokenizer.from_str(file.decode()), remembered
+        self.known, self.older = {}, {}  # what was met lately, and before that
         self.odd, self.apart = re.compile(r" (?:\s|\Z)"), re.compile(r" (?=\S)")
         self.ranks = _ranked(json.loads(file))
 
     def of(self, text: str) -> bytes:
+        if self.ranks is not None and _plain(text):  # whole, by the quicker of two encoders of one file
+            return self.ranks.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
         odd = self.odd.search(text) is not None
         first, *rest = self.apart.split(text) if odd else text.split(" ")
-        known, out = self.known, [b"".join(self._new([first], ""))]
+        out = [self._new([first], "")[0]]
         try:
-            out.append(b"".join([known[x] for x in rest]))
+            out.append(b"".join([self.known[x] for x in rest]))
         except KeyError:
-            missing = list({x for x in rest if x not in known})
-            if len(known) + len(missing) > self.size:
-                known.clear()
-                missing = list(set(rest))
+            missing = {x for x in rest if x not in self.known}
+            if len(self.known) + len(missing) > self.size:  # words that come often pass over to the new table
+                self.known, self.older, missing = {}, self.known, set(rest)
+            known, older = self.known, self.older
+            known.update([(x, older[x]) for x in missing if x in older])
+            missing = [x for x in missing if x not in known]
             known.update(zip(missing, self._new(missing, " "), strict=True))
             out.append(b"".join([known[x] for x in rest]))
         return b"".join(out)
 
     def _new(self, chunks: list[str], before: str) -> list[bytes]:
-        """Plain chunks, in the scripts that both libraries see alike, go to the quicker of two encoders of one file."""
         out, slow = [b""] * len(chunks), []
         for i, x in enumerate(chunks):
-            if self.ranks is None or (x and max(x) >= PLAIN) or "<|" in x:
+            if self.ranks is None or not _plain(x):
                 slow.append(i)
             else:
-                out[i] = np.array(self.ranks.encode_ordinary(before + x), "<u4").tobytes()
+                out[i] = _little(self.ranks.encode_ordinary(before + x))
         if slow:
             found = self.tokenizer.encode_batch_fast([before + chunks[i] for i in slow], add_special_tokens=False)
             for i, x in zip(slow, found, strict=True):
-                out[i] = np.array(x.ids, "<u4").tobytes()
+                out[i] = _little(x.ids)
         return out
 
 
+def _plain(text: str) -> bool:
+    """Whether both libraries see the text alike: scripts whose letters and numbers they class alike, no special token."""
+    return (text.isascii() or max(text) < PLAIN) and "<|" not in text
+
+
+def _little(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 #: Fixed values of byte-level tokenizers: how they part a text, and the first character past the plain scripts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = "\u0250"
@@ -121,6 +140,13 @@ def _ranked(told: dict):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(file: bytes) -> Ids:
+    """The worker's encoder of this file: Spark's Python workers live on from task to task, and so does what it
+    remembers."""
+    return Ids(file)
+
+
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
@@ -133,7 +159,7 @@ def pieces(df: DataFrame, keys: list[str], text: str, tokenizer: bytes, capacity
     step = 512
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Ids(tokenizer)
+        find = encoder(tokenizer)
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)

@@ -1,9 +1,12 @@
+import os
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
 from tokenizers import Tokenizer
 
 from scenewright.llm import packing
@@ -11,6 +14,7 @@ from scenewright.llm.common import cut
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 RAW = open(FILE, "rb").read()
+DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
 
 
 def test_cuts_lose_nothing_and_nearly_fill_their_class():
@@ -39,6 +43,15 @@ def test_the_ids_of_every_plain_character_and_of_real_words():
         assert np.frombuffer(ids.of(t), "<u4").tolist() == e.ids, repr(t)
 
 
+def test_the_ids_of_the_drivers_documents():
+    if not os.path.isfile(DOCUMENTS):
+        pytest.skip("the tables are not here")
+    plain, ids = Tokenizer.from_file(FILE), packing.encoder(RAW)
+    texts = [t for t in pq.read_table(DOCUMENTS, columns=["text"]).column("text").to_pylist() if t]
+    for t, e in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids.of(t), "<u4").tolist() == e.ids
+
+
 def test_packing_by_brute_force(spark):
     draw = random.Random(2)
     rows = [(i, " ".join(draw.choices(["alpha", "beta", "gamma,", "delta"], k=int(draw.paretovariate(0.7)) % 6000)), "x") for i in range(300)]
