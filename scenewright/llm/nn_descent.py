@@ -34,8 +34,9 @@ BLOCK = 512
 TABLES = 4
 #: Rounds of refinement at most; a round that changes less than LITTLE of the lists is the last.
 ROUNDS, LITTLE = 5, 0.01
-#: Vectors of the audit (expected), the recall that it asks for, and further passes if it is missed.
-AUDIT, RECALL, PASSES = 256, 0.98, 3
+#: Cells of the audit (expected), the recall that it asks for, passes until it is met, each with twice the tables of
+#: the one before, and the recall below which the last one ends in an error.
+AUDIT, RECALL, PASSES, LEAST_RECALL = 256, 0.98, 6, 0.95
 #: Angles are known up to this.
 EPS = 1e-6
 PLANES = 24
@@ -56,10 +57,11 @@ def _angle(cosine: np.ndarray) -> np.ndarray:
 
 
 def valid(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(node, label, dim, vec, m): the vectors that may link, equal ones as one with their number and smallest key."""
+    """(node, label, dim, vec, m, least): the vectors that may link, equal ones as one with their number and smallest
+    key. A node is named by a 64-bit hash of its label and vector, as keys may repeat."""
     good = valid_rows(df, key, vector, label).where("vec is not null")
-    return good.groupBy("label", "vec").agg(F.min("key").alias("node"), F.count("*").alias("m")).select(
-        "node", "label", (F.length("vec") / 4).cast("int").alias("dim"), "vec", "m"
+    return good.groupBy("label", "vec").agg(F.min("key").alias("least"), F.count("*").alias("m")).select(
+        F.xxhash64("label", "vec").alias("node"), "label", (F.length("vec") / 4).cast("int").alias("dim"), "vec", "m", "least"
     )
 
 
@@ -114,7 +116,7 @@ def cells(nodes: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
                 pivot[own], least[own] = i, far[own]
         return pa.table({"node": node, "pivot": node[pivot], "far": least})
 
-    now = nodes.withColumn("radius", F.lit(0.0))
+    now = nodes.select("node", "label", "dim", "vec", "m", "least").withColumn("radius", F.lit(0.0))
     members = None
     for seed in (11, 12, 13):
         found = cut(_blocks(now, seed).groupBy(*BLOCKED).applyInArrow(gather, "node long, pivot long, far double"))
@@ -127,7 +129,7 @@ def cells(nodes: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
         members = cut(members)
         now = cut(now.drop("radius").join(radii, F.col("node") == F.col("pivot")).drop("pivot").withColumnRenamed("r", "radius"))
     sizes = members.join(nodes.select("node", "m"), "node").groupBy("pivot").agg(F.sum("m").alias("size"), F.count("*").alias("n"))
-    return cut(now.join(sizes, F.col("node") == F.col("pivot")).drop("pivot")), members
+    return cut(now.drop("m", "least").join(sizes, F.col("node") == F.col("pivot")).drop("pivot")), members
 
 
 def _top(lists: DataFrame) -> DataFrame:
@@ -228,7 +230,8 @@ def _near(lists: DataFrame, nodes: DataFrame, theta: float) -> DataFrame:
 
 
 def _audit(lists: DataFrame, nodes: DataFrame, theta: float, seed: int) -> tuple[float, DataFrame]:
-    """The share of a sample's near pairs that the lists have, and those that they lack, as (i, j, s)."""
+    """The share of a sample's near pairs that the lists have, and those that they lack, as (i, j, s). The sample is of
+    about AUDIT cells; a pair weighs as much as the pairs of vectors that it stands for."""
     n = nodes.count()
     drawn = nodes.where(F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, AUDIT / max(1, n))))
     sample = [tuple(r) for r in drawn.select("node", "label", "dim", "vec", "radius").collect()]  # about AUDIT rows
@@ -260,14 +263,16 @@ def _audit(lists: DataFrame, nodes: DataFrame, theta: float, seed: int) -> tuple
     true = cut(nodes.select("node", "label", "dim", "vec", "radius").mapInArrow(run, "i long, j long, s double"))
     ways = lists.select("i", "j").unionByName(lists.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
     lacking = cut(true.join(ways, ["i", "j"], "left_anti"))
-    total = true.count()
-    return (1.0 if not total else 1 - lacking.count() / total), lacking
+    size = nodes.select("node", F.col("size").cast("double").alias("size"))
+    weight = F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0.0))
+    weighed = lambda pairs: pairs.join(size.toDF("i", "x"), "i").join(size.toDF("j", "y"), "j").agg(weight).first()[0]
+    lost = 0.0 if lacking.isEmpty() else weighed(lacking)
+    return (1 - lost / weighed(true) if lost else 1.0), lacking
 
 
 def neighbours(nodes: DataFrame, theta: float) -> tuple[DataFrame, float]:
     """(lists, recall): the refined lists (i, j, s, k) of nodes with radii, and the audited recall of near pairs."""
     lists = _refine(cut(_top(_start(nodes, list(range(TABLES))))), nodes)
-    recall = 1.0
     for turn in range(PASSES):
         while True:  # lists full of near pairs are enlarged, and their surroundings refined
             near = _near(lists, nodes, theta)
@@ -283,11 +288,16 @@ def neighbours(nodes: DataFrame, theta: float) -> tuple[DataFrame, float]:
             if lists.count() == before:  # nothing further lies near them
                 break
         recall, lacking = _audit(lists, nodes, theta, 100 + turn)
-        if recall >= RECALL or turn == PASSES - 1:
+        wide = F.lit(1 << 30)  # what the audit has found stays, however full the list
+        lacking = lacking.select("i", "j", "s", wide.alias("k"))
+        if recall >= RECALL:
             break
-        more = _start(nodes, [1000 + TABLES * (turn + 1) + t for t in range(2 * TABLES)]).unionByName(lacking.withColumn("k", F.lit(2 * K)))
+        tables = TABLES << (turn + 1)
+        more = _start(nodes, [1000 * (turn + 1) + t for t in range(tables)]).unionByName(lacking.withColumn("k", F.lit(2 * K)))
         lists = _refine(cut(_top(lists.unionByName(more.select("i", "j", "s", "k")))), nodes)
-    return lists, recall
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"NN-descent found {recall:.3f} of the audited pairs after {PASSES} passes; {LEAST_RECALL} are asked for")
+    return lists.unionByName(lacking), recall
 
 
 def _members_compared(pairs: DataFrame, members: DataFrame, nodes: DataFrame, pivots: DataFrame, cosine: float) -> DataFrame:
@@ -325,8 +335,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     Rows link when their labels are equal and not null and their vectors' cosine, in double precision, is at least
     `cosine`; vectors of unequal length don't. A vector that is null, empty, all zeros, or holds a null or non-finite
     number, and a row without key or label, links with nothing and is its own component. Rows with equal vectors link
-    with each other like any others; rows that repeat a key are one vertex each with that key's component. An empty
-    table gives an empty one. recall is the audit's."""
+    with each other like any others; a row that repeats a key is a vertex of its own, whose vector decides. An empty
+    table gives an empty one. Columns of df other than the three play no part. Components of vectors are held in single
+    precision and compared in double. recall is the audit's, weighed by pairs of vectors; a recall below LEAST_RECALL
+    is an error."""
     theta = math.acos(cosine)
     nodes = cut(valid(df, key, vector, label))
     pivots, members = cells(nodes, theta / 2 - EPS)
@@ -348,9 +360,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         .join(label_of.toDF("pivot", "c"), "pivot", "left")
         .withColumn("c", F.coalesce("c", "pivot"))
     )
-    least = told.groupBy("c").agg(F.min("node").alias("component_id"))
+    told = cut(told.join(nodes.select("node", "label", "vec", "least"), "node"))
+    least = told.groupBy("c").agg(F.min("least").alias("component_id"))
     links = F.col("size") - 1 + F.coalesce("cell_links", F.lit(0)) + F.coalesce("node_links", F.lit(0))
-    told = cut(told.join(least, "c").select("node", "component_id", links.alias("n_links")).join(nodes.select("node", "label", "vec"), "node"))
+    told = cut(told.join(least, "c").select("label", "vec", "component_id", links.alias("n_links")))
     # each row finds its vector's node by the vector itself
     rows = valid_rows(df, key, vector, label)
     out = rows.join(told.select("label", "vec", "n_links", "component_id"), ["label", "vec"], "left")
@@ -368,13 +381,15 @@ def valid_rows(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for ok, x in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                v = x.values if ok and x.is_valid else None
-                good = v is not None and len(v) > 0 and v.null_count == 0
-                a = v.to_numpy(zero_copy_only=False).astype(np.float32) + np.float32(0) if good else None
-                out.append(a.tobytes() if good and np.isfinite(a).all() and (a != 0).any() else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["key", "label", "vec"])
+            given = batch.column(3)
+            length = given.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = given.flatten().cast(pa.float32()).fill_null(np.nan).to_numpy(zero_copy_only=False) + np.float32(0)  # -0 is 0
+            at = np.r_[0, np.cumsum(length)]
+            within = lambda marks, at=at: np.diff(np.r_[0, np.cumsum(marks)][at])
+            good = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool) & (within(~np.isfinite(x)) == 0) & (within(x != 0) > 0)
+            held = [pa.py_buffer(np.packbits(good, bitorder="little")), pa.py_buffer((4 * at).astype(np.int64)), pa.py_buffer(x)]
+            vec = pa.Array.from_buffers(pa.large_binary(), len(good), held).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vec], names=["key", "label", "vec"])
 
     kind = df.schema[label].dataType.simpleString()
     given = df.select(

@@ -78,3 +78,18 @@ def test_odd_vectors_link_with_nothing(spark):
     assert {i: r.n_links for i, r in got.items() if r.n_links} == {1: 2, 8: 2, 12: 2}
     assert [got[i].component_id for i in (1, 8, 12, 11, 5)] == [1, 1, 1, 11, 5]
     assert N.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_that_repeat_a_key(spark):
+    rng = np.random.default_rng(5)
+    one, other = ([float(np.float32(x)) for x in rng.normal(size=8)] for _ in range(2))
+    near = [float(np.float32(x * 1.001)) for x in one]
+    rows = [(7, one, 1, "x", 0), (7, other, 1, "x", 0), (3, near, 1, "y", 0), (8, one, 2, "z", 0), (7, one, 1, "x", 0)]
+    got = N.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(3, 2, 3, True), (7, 0, 7, True), (7, 2, 3, False), (7, 2, 3, False), (8, 0, 8, True)]
+
+
+def test_many_equal_vectors(spark):
+    rows = [(i, [1.0, 2.0], 1, "x", 0) for i in range(3000)] + [(9000, [2.0, -1.0], 1, "x", 0)]
+    got = N.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.n_links, r.component_id) for r in got if r.vec_id < 3000} == {(2999, 0)} and (0, 9000) in {(r.n_links, r.component_id) for r in got}
