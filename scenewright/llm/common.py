@@ -104,6 +104,20 @@ def gapless(df: DataFrame, group: list[str], order: list[str], name: str, rows:
     return out.drop("_gapless_slice", "_gapless_s", "_gapless_in", "_gapless_first", *[f"_gapless_{i}" for i in range(len(group))])
 
 
+def most_frequent(told: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of told (n, ...) with the greatest n, at most `most`, and the others, None if there are none. Counts
+    are told apart by eighths of their binary logarithm."""
+    size = F.floor(8 * F.log2(F.greatest("n", F.lit(0.5)))).cast("int")
+    least, room = None, most
+    for of, n in sorted(told.groupBy(size.alias("size")).agg(F.count("*")).collect(), reverse=True):  # 8 x 63 rows at most
+        if n > room:
+            break
+        least, room = of, room - n
+    else:
+        return told, None
+    return (told.limit(0), told) if least is None else (told.where(size >= least), told.where(size < least))
+
+
 #: Keys with so many rows that their one row of the other side goes to all tasks instead; at most 1 / HOT_SHARE of them.
 HOT_SHARE, HOT_ROWS = 1e-4, 128
 

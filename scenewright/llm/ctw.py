@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenewright.llm.common import cut, sliced
+from scenewright.llm.common import cut, most_frequent, sliced
 from scenewright.llm.textbytes import LOWER, Counts, Memo, find, grams, pieces, prefix_hashes, releasing, span_hashes, words
 
 DEPTH = 5
@@ -242,19 +242,6 @@ def grow(counts: DataFrame) -> Tree:
     return Tree(counts.where(F.col("kind") == GRAM).select("key", "n"))
 
 
-def _head(told: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The most frequent grams of told (key, n, bits), at most HEAD, and the others, None if there are none."""
-    size = F.floor(8 * F.log2(F.greatest("n", F.lit(0.5)))).cast("int")
-    least, room = None, HEAD
-    for of, n in sorted(told.groupBy(size.alias("size")).agg(F.count("*")).collect(), reverse=True):  # 8 x 63 rows at most
-        if n > room:
-            break
-        least, room = of, room - n
-    else:
-        return told, None
-    return (told.limit(0), told) if least is None else (told.where(size >= least), told.where(size < least))
-
-
 def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row of df.
 
@@ -263,7 +250,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     nothing is learned, scores are those of the even model. Memory is in proportion to the longest text."""
     given = df.select(F.col(key).alias("key"), F.col(text).alias("text"), held_out(F.col(key)).alias("held_out"))
     counts = cut(count(given.select("text", "held_out")))
-    head, others = _head(costs(counts.where(F.col("kind") == GRAM)))
+    head, others = most_frequent(costs(counts.where(F.col("kind") == GRAM)), HEAD)
     often = head.select("key", "bits").toArrow()  # at most HEAD rows
     keys, bits = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
     by = np.argsort(keys)

@@ -1,12 +1,15 @@
 """Quality rules: n-gram perplexity of a modified Kneser-Ney model, with bands for each language.
 
-The grams are of bytes, ORDER long, as their number is bounded by the writing systems and not by the vocabulary. Spark
-counts them over all documents, each language its own; continuation counts of the shorter orders, the discounts and
-the contexts' sums come from those counts by grouping. The model keeps the grams that have at least SHARE of their
-language's bytes, so at most ORDER / SHARE of each language whatever the corpus; the weight of those left out goes to the shorter context, so
-each context's probabilities still add up to one. It is stored as sorted arrays of packed grams, which fit a broadcast.
+The grams are of bytes, ORDER long. Spark counts them over all documents, each language its own; continuation counts of
+the shorter orders, the discounts and the contexts' sums come from those counts by grouping. Grams that occur less than
+LEAST times in their language tell of their document alone and give their weight to the shorter context, as usual with
+such models; LEAST is the same for any corpus. Each context's probabilities still add up to one.
 
-A document's verdict is its mean log-perplexity a byte against its language's band: the median of all documents that
+The model is a table for each order. Joining them gives the cost of every distinct gram of the texts. The HEAD most
+frequent grams, at most, are broadcast as sorted arrays; the others, which are few of a text's, are joined by text.
+
+A document's verdict is its mean log-perplexity a byte against its language's band. With labelled documents, the band
+leaves out the LOST lowest and the LOST highest of those labelled good; without, it is the median of all documents that
 pass the base rules, and so many times the distance from there to the quartiles. The bands come from exact counts in
 bins of equal width, so they are the same in every run.
 """
@@ -18,18 +21,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scenewright.llm.common import cut
+from scenewright.llm.common import cut, most_frequent
 from scenewright.llm.textbytes import LOWER, SPACE, Counts, Memo, find, grams, mixed, per_text, pieces, prefix_hashes, releasing, span_hashes, words
 
 ORDER = 5
-#: The least share of its language's bytes that a gram in the model has.
-SHARE = 1e-6
-#: Languages with a smaller share of the documents have one model in common.
-LEAST_LANGUAGE = 1 / 200
+#: The occurrences in its language that a gram in the model has at least.
+LEAST = 3
+#: Languages with fewer documents have one model in common.
+LEAST_LANGUAGE = 20
+#: Grams whose costs are broadcast, at most.
+HEAD = 1 << 21
+#: Labelled good documents that may lie below the band, and above it, and how many of them a language's band needs.
+LOST, LEAST_LABELLED = 0.01, 100
 #: The band's reach below and above the median, in distances to the lower and the upper quartile, and the bins' width,
 #: in which the quartiles are told: a distance is one bin at least.
 BELOW, ABOVE = 8.0, 8.0
@@ -43,29 +51,36 @@ _IS_SYMBOL[list(SYMBOLS)] = True
 _FOLD = np.where(SPACE, np.uint8(32), LOWER)
 
 
+def _low(k: int) -> Column:
+    return F.col("key").bitwiseAND((1 << 8 * k) - 1)
+
+
+def _above() -> Column:
+    """The language of a packed gram, above its bytes."""
+    return F.shiftleft(F.shiftright(F.col("key"), 8 * ORDER), 8 * ORDER)
+
+
 @dataclass
 class Model:
-    """Sorted arrays for each order from 1 on: grams with their discounted share, contexts with the weight of the
-    next shorter one. Languages have numbers from 1; 0 is for all others."""
+    """grams: (key, n) of all grams of the texts. orders, from 1 on: grams with their discounted share (key, u), and
+    contexts with the weight of the next shorter one (key, b). Languages have numbers from 1; 0 is for all others."""
 
     languages: dict[str, int]
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-
-    def nats(self, keys: np.ndarray) -> np.ndarray:
-        """-ln of the probability of the last byte of each gram; the language stands above the bytes."""
-        language = keys >> np.uint64(8 * ORDER)
-        p = np.full(len(keys), 1 / 256)
-        for k in range(1, ORDER + 1):
-            gram = (language << np.uint64(8 * ORDER)) | (keys & np.uint64((1 << 8 * k) - 1))
-            context = (language << np.uint64(8 * ORDER)) | ((keys & np.uint64((1 << 8 * k) - 1)) >> np.uint64(8))
-            at, there = find(self.contexts[k - 1][0], context)
-            if len(self.contexts[k - 1][0]):
-                p = np.where(there, self.contexts[k - 1][1][at], 1.0) * p
-            at, there = find(self.grams[k - 1][0], gram)
-            if len(self.grams[k - 1][0]):
-                p = p + np.where(there, self.grams[k - 1][1][at], 0.0)
-        return -np.log(p)
+    grams: DataFrame
+    orders: list[tuple[DataFrame, DataFrame]]
+
+    def costs(self, asked: DataFrame) -> DataFrame:
+        """(key, n, nats) of asked (key, n): -ln of the probability of each gram's last byte after those before it."""
+        out = asked.select("key", "n", F.lit(1 / 256).alias("p"))
+        few = len(self.languages) <= 1000
+        for k, (shares, weights) in enumerate(self.orders, 1):
+            # at most 256 rows of a language are sent to all tasks
+            shares = F.broadcast(shares) if few and k == 1 else shares
+            weights = F.broadcast(weights) if few and k <= 2 else weights
+            out = out.withColumn("gram", _above() + _low(k)).withColumn("context", _above() + F.shiftright(_low(k), 8))
+            out = out.join(shares.toDF("gram", "u"), "gram", "left").join(weights.toDF("context", "b"), "context", "left")
+            out = out.select("key", "n", (F.coalesce("b", F.lit(1.0)) * F.col("p") + F.coalesce("u", F.lit(0.0))).alias("p"))
+        return out.select("key", "n", (-F.ln("p")).alias("nats"))
 
 
 def _language_keys(column: pa.Array, languages: dict[str, int]) -> np.ndarray:
@@ -95,53 +110,35 @@ def count_grams(df: DataFrame, text: str, language: str, languages: dict[str, in
 def train(df: DataFrame, text: str = "text", language: str = "lang") -> Model:
     """The model of all documents of df. Documents of a null or rare language share one model."""
     per = df.groupBy(F.col(language).cast("string").alias("language")).agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy())
-    # at most 1 / LEAST_LANGUAGE rows
-    common = per.withColumn("share", share).where(F.col("language").isNotNull() & (F.col("share") >= LEAST_LANGUAGE))
-    languages = {r[0]: i + 1 for i, r in enumerate(sorted(common.select("language").collect()))}
-    top = cut(count_grams(df, text, language, languages).select("key", F.col("n").alias("a"), F.col("n").alias("raw")))
-    above = F.col("key") - F.col("key").bitwiseAND((1 << 8 * ORDER) - 1)  # the language alone
-    least = top.groupBy(above.alias("language")).agg(F.greatest(F.lit(1.0), SHARE * F.sum("raw")).alias("least"))
-    least = F.broadcast(cut(least))  # at most 1 / LEAST_LANGUAGE + 1 rows
-    found_grams, found_contexts = [], []
-    level = top
+    common = per.where(F.col("language").isNotNull() & (F.col("n") >= LEAST_LANGUAGE))
+    languages = {r[0]: i + 1 for i, r in enumerate(sorted(common.select("language").collect()))}  # one row a language
+    grams = cut(count_grams(df, text, language, languages))
+    level, orders = grams.select("key", F.col("n").alias("a"), F.col("n").alias("raw")), []
     for k in range(ORDER, 0, -1):
-        bytes_ = F.col("key").bitwiseAND((1 << 8 * k) - 1)
-        spread = level.groupBy(above.alias("language")).agg(*[F.count_if(F.col("a") == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
+        spread = level.groupBy(_above().alias("language")).agg(*[F.count_if(F.col("a") == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
         n1, n2, n3, n4 = (F.col(f"n{i}").cast("double") for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
         # the discounts of counts 1, 2 and 3 or more; without such counts in the corpus, the plain half
-        fall = lambda e, top: F.least(F.greatest(F.coalesce(e, F.lit(0.5)), F.lit(0.05)), F.lit(float(top)))
         over = lambda a, b: F.when(b > 0, a / b)
+        y = over(n1, n1 + 2 * n2)
+        fall = lambda e, top: F.least(F.greatest(F.coalesce(e, F.lit(0.5)), F.lit(0.05)), F.lit(float(top)))
         discounts = spread.select(
             "language",
             fall(1 - 2 * y * over(n2, n1), 0.95).alias("d1"),
             fall(2 - 3 * y * over(n3, n2), 1.95).alias("d2"),
             fall(3 - 4 * y * over(n4, n3), 2.95).alias("d3"),
         )
-        told = level.select(
-            "key", "a", "raw", above.alias("language"), (above + F.shiftright(bytes_, 8)).alias("context")
-        )
-        sums = told.groupBy("context").agg(F.sum("a").alias("all"))
-        kept = told.join(least, "language").where("raw >= least").join(sums, "context").join(discounts, "language")
+        context = (_above() + F.shiftright(_low(k), 8)).alias("context")
+        told = level.select("key", "a", "raw", _above().alias("language"), context).join(F.broadcast(discounts), "language")  # one row a language
         d = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
-        kept = kept.select("key", "context", ((F.col("a") - d) / F.col("all")).alias("u"))
-        rows = kept.toArrow()  # at most 1 / SHARE rows of each language
-        key, context, u = (rows.column(i).to_numpy() for i in range(3))
-        found_grams.append(_sorted(key, u))
-        some, back = np.unique(context, return_inverse=True)
-        left = 1.0 - np.bincount(back, weights=u, minlength=len(some)) if len(some) else np.zeros(0)
-        found_contexts.append(_sorted(some, np.maximum(left, 1e-9)))
-        shorter = above + F.col("key").bitwiseAND((1 << 8 * (k - 1)) - 1)
+        told = told.withColumn("u", F.when(F.col("raw") >= LEAST, F.col("a") - d))
+        sums = told.groupBy("context").agg(F.sum("a").alias("all"), F.sum("u").alias("held"))
+        weights = cut(sums.where("held is not null").select(F.col("context").alias("key"), "all", F.greatest(1 - F.col("held") / F.col("all"), F.lit(1e-9)).alias("b")))
+        per_context = weights.select(F.col("key").alias("context"), "all")
+        shares = told.where("u is not null").join(F.broadcast(per_context) if k == 1 else per_context, "context")
+        orders.append((cut(shares.select("key", (F.col("u") / F.col("all")).alias("u"))), weights.select("key", "b")))
         if k > 1:
-            level = cut(level.groupBy(shorter.alias("key")).agg(F.count("*").alias("a"), F.sum("raw").alias("raw")))
-    return Model(languages, found_grams[::-1], found_contexts[::-1])
-
-
-def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = keys.astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], values[order]
+            level = cut(level.groupBy((_above() + _low(k - 1)).alias("key")).agg(F.count("*").alias("a"), F.sum("raw").alias("raw")))
+    return Model(languages, grams, orders[::-1])
 
 
 def base_counts(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -187,50 +184,88 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def measure(df: DataFrame, model: Model, text: str = "text", language: str = "lang", carry: list[str] | None = None) -> DataFrame:
     """The columns of df named in carry (all, if None) with MEASURES, n_bytes and nats (the text's -ln probability).
-    Null is an empty text, whose nats are 0. Memory is in proportion to the longest text. Columns of df named like the
-    new ones are replaced."""
+    df is what the model was trained on, or a part of it.
+
+    Null is an empty text, whose nats are 0. Repeated rows are measured each; an empty table gives an empty one. Memory
+    is in proportion to the longest text. Columns of df named like the new ones are replaced."""
     df = df.drop(*[c for c in (*MEASURES, "n_bytes", "nats") if c not in (text, language)])
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    head, others = most_frequent(cut(model.costs(model.grams)), HEAD)
+    often = head.select("key", "nats").toArrow()  # at most HEAD rows
+    keys, nats = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
+    order = np.argsort(keys)
+    shared = df.sparkSession.sparkContext.broadcast((keys[order], nats[order], model.languages))
     names = df.columns if carry is None else carry
     schema = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
     given = df.select(*[F.col(f"`{n}`") for n in names], F.col(text).alias("_measured_text"), F.col(language).alias("_measured_language"))
     i, j = len(names), len(names) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        nats = Memo(held.nats)
+        often_keys, often_nats, languages = shared.value
+
+        def told(keys: np.ndarray) -> np.ndarray:
+            at, there = find(often_keys, keys)
+            return np.where(there, often_nats[at], np.nan) if len(often_keys) else np.full(len(keys), np.nan)
+
+        cost, row = Memo(told), TaskContext.get().partitionId() << 33
         for batch in batches:
-            of = _language_keys(batch.column(j), held.languages)
+            of = _language_keys(batch.column(j), languages)
             for a, b, raw, offsets in pieces(batch.column(i)):
+                m = b - a
                 keys, at = grams(_FOLD[raw], offsets, ORDER, 32)
-                cost = nats(keys | np.repeat(of[a:b], np.diff(at)))
-                total = per_text(cost, np.repeat(np.arange(b - a), np.diff(at)), b - a)
+                keys |= np.repeat(of[a:b], np.diff(at))
+                each = cost(keys)
+                other = np.flatnonzero(np.isnan(each))
+                total = per_text(np.nan_to_num(each), np.repeat(np.arange(m), np.diff(at)), m)
+                rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(other, at).astype(np.int32)), pa.array(keys[other].view(np.int64)))
                 added = [*base_counts(raw, offsets), np.diff(offsets), total]
-                columns = [batch.column(c).slice(a, b - a) for c in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, added)], names=[*names, *MEASURES, "n_bytes", "nats"])
+                columns = [*[batch.column(c).slice(a, m) for c in range(len(names))], *map(pa.array, added), pa.array(row + np.arange(m)), rest]
+                row += m
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *MEASURES, "n_bytes", "nats", "_row", "_rest"])
 
-    return given.mapInArrow(releasing(run), schema + ", " + ", ".join(f"{m} long" for m in MEASURES) + ", n_bytes long, nats double")
+    added = ", ".join(f"{m} long" for m in MEASURES) + ", n_bytes long, nats double, _row long, _rest array<long>"
+    out = given.mapInArrow(releasing(run), f"{schema}, {added}")
+    if others is None:
+        return out.drop("_row", "_rest")
+    out = cut(out)
+    rest = out.select("_row", F.explode("_rest").alias("key")).groupBy("_row", "key").agg(F.count("*").alias("_times"))
+    rest = rest.join(others.select("key", F.col("nats").alias("_each")), "key").groupBy("_row").agg(F.sum(F.col("_times") * F.col("_each")).alias("_more"))
+    out = out.drop("_rest").join(rest, "_row", "left").withColumn("nats", F.col("nats") + F.coalesce("_more", F.lit(0.0)))
+    return out.drop("_row", "_more")
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def bands(measured: DataFrame, language: str = "lang") -> DataFrame:
-    """(language, lower, upper) in nats a byte, of documents that pass the base rules; one row per language."""
+def bands(measured: DataFrame, language: str = "lang", good: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """(language, lower, upper) in nats a byte, of documents that pass the base rules; one row per language.
+
+    good: (key) of documents labelled good. A language with fewer than LEAST_LABELLED of them, or all if there are no
+    labels, has its band from the quartiles of all its documents. Keys that are null have no label."""
     bin_ = F.floor(F.col("nats") / F.col("n_bytes") / BIN).cast("int")
-    good = measured.where(~base_failed()).groupBy(F.col(language).alias("language"), bin_.alias("bin")).agg(F.count("*").alias("n"))
+    passed = measured.where(~base_failed())
+    counted = lambda df: df.groupBy(F.col(language).alias("language"), bin_.alias("bin")).agg(F.count("*").alias("n"))
     upto = Window.partitionBy("language").orderBy("bin")
     all_ = Window.partitionBy("language")
-    ranked = good.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(all_))
+
+    def ranked(df: DataFrame) -> DataFrame:
+        return counted(df).withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(all_))
+
     at = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) + 0.5) * BIN
-    quarters = ranked.groupBy("language").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    quarters = ranked(passed).groupBy("language").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
     reach = lambda d: F.greatest(d, F.lit(BIN))
-    return quarters.select(
+    found = quarters.select(
         "language",
         (F.col("q2") - BELOW * reach(F.col("q2") - F.col("q1"))).alias("lower"),
         (F.col("q2") + ABOVE * reach(F.col("q3") - F.col("q2"))).alias("upper"),
     )
+    if good is None:
+        return found
+    labelled = passed.join(good.select(F.col(key).alias(key)).distinct(), key, "left_semi")
+    edges = ranked(labelled).where(F.col("all") >= LEAST_LABELLED).groupBy(F.col("language").alias("of"))
+    edges = edges.agg((at(LOST) - BIN).alias("low"), (at(1 - LOST) + BIN).alias("high"))
+    out = found.join(edges, F.col("language").eqNullSafe(F.col("of")), "left")
+    return out.select("language", F.coalesce("low", "lower").alias("lower"), F.coalesce("high", "upper").alias("upper"))
 
 
 def judge(measured: DataFrame, found: DataFrame, language: str = "lang") -> DataFrame:

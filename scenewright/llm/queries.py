@@ -86,7 +86,8 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base counts of every document, and whether it stays within its language's perplexity band."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     measured = cut(kneser_ney.measure(docs, kneser_ney.train(docs), carry=["doc_id", "lang"]))
-    judged = kneser_ney.judge(measured, cut(kneser_ney.bands(measured)))
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    judged = kneser_ney.judge(measured, cut(kneser_ney.bands(measured, good=good)))
     return judged.select("doc_id", *kneser_ney.MEASURES, "base_failed", "kept", "nats_per_byte", "lower", "upper")
 
 

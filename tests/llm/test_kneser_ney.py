@@ -87,17 +87,20 @@ def brute_model(docs, least):
 
 
 def test_the_model_equals_the_textbook_and_adds_up_to_one(spark, monkeypatch):
-    monkeypatch.setattr(K, "SHARE", 2.5e-4)
+    monkeypatch.setattr(K, "LEAST", 2)
+    monkeypatch.setattr(K, "HEAD", 300)
     own = texts(60)
     df = spark.createDataFrame([(i, t, "en", "x") for i, t in enumerate(own)], "doc_id long, text string, lang string, nats string")
     model = K.train(df)
-    p = brute_model(own, 2.5e-4 * sum(len((t or "").encode()) for t in own))
+    p = brute_model(own, 2)
     keys, _ = B.grams(K._FOLD[np.frombuffer("the and é one\nzz".encode(), np.uint8)], np.array([0, 17]), K.ORDER, 32)
+    around = [(key >> 8 << 8) | c | (1 << 8 * K.ORDER) for key in keys.tolist() for c in range(256)]
+    asked = spark.createDataFrame([(k, 1) for k in set(around)], "key long, n long")
+    nats = {r.key: r.nats for r in model.costs(asked).collect()}
     for key in keys.tolist():
-        got = model.nats(np.array([key | (1 << 8 * K.ORDER)], np.uint64))[0]
-        assert math.isclose(got, -math.log(p(key.to_bytes(K.ORDER, "big"))), rel_tol=1e-9)
-        around = np.array([(key >> 8 << 8) | c | (1 << 8 * K.ORDER) for c in range(256)], np.uint64)
-        assert math.isclose(np.exp(-model.nats(around)).sum(), 1, rel_tol=1e-9)
+        assert math.isclose(nats[key | (1 << 8 * K.ORDER)], -math.log(p(key.to_bytes(K.ORDER, "big"))), rel_tol=1e-9)
+    for i in range(0, len(around), 256):
+        assert math.isclose(sum(math.exp(-nats[k]) for k in around[i : i + 256]), 1, rel_tol=1e-9)
     rows = K.measure(df, model).collect()
     for r in rows:
         b = b" " * (K.ORDER - 1) + bytes(K._FOLD[np.frombuffer((r.text or "").encode(), np.uint8)])
@@ -107,7 +110,7 @@ def test_the_model_equals_the_textbook_and_adds_up_to_one(spark, monkeypatch):
 
 
 def test_bands_reject_outliers_of_their_language_only(spark, monkeypatch):
-    monkeypatch.setattr(K, "SHARE", 1e-4)  # in so small a corpus one odd document must not teach the model
+    monkeypatch.setattr(K, "LEAST", 6)  # in so small a corpus one odd document must not teach the model
     draw = random.Random(1)
     parts = {"en": ["the", "ing", "er", "and", "ou", "ly", "sh"], "de": ["sch", "ein", "ung", "keit", "ver", "ö", "ich"]}
     vocabulary = {k: ["".join(draw.choices(v, k=draw.randrange(1, 5))) for _ in range(500)] for k, v in parts.items()}
@@ -134,8 +137,7 @@ def test_each_side_of_the_band_follows_its_language(spark):
     assert K.judge(same, K.bands(same)).where("kept").count() == 1
 
 
-def test_the_least_share_is_of_the_languages_own_bytes(spark, monkeypatch):
-    monkeypatch.setattr(K, "SHARE", 2e-3)
+def test_languages_do_not_teach_each_other(spark):
     rows = [(i, t, "de") for i, t in enumerate(texts(20))] + [(1000 + i, t, "en") for i, t in enumerate(texts(200))]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     own = df.where("lang = 'de'")
@@ -143,6 +145,15 @@ def test_the_least_share_is_of_the_languages_own_bytes(spark, monkeypatch):
     assert all(math.isclose(both[i], alone[i], rel_tol=1e-9) for i in alone)
 
 
+def test_labels_set_the_band(spark):
+    rows = [(i, "en", 100, 0, 1000, 1000 * (1.5 + (i % 200 - 100) / 5000)) for i in range(400)]
+    rows += [(1000 + i, "en", 100, 0, 1000, 1440.0) for i in range(50)] + [(None, "en", 100, 0, 1000, 1500.0), (2000, "fr", 100, 0, 1000, 1440.0)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, n_repeat_words long, n_bytes long, nats double")
+    good = df.where("doc_id < 400").select("doc_id", "lang")
+    kept = {r.doc_id for r in K.judge(df, K.bands(df, good=good)).where("kept").collect()}
+    assert len(kept & set(range(400))) >= 390 and not kept & set(range(1000, 1050)) and {None, 2000} <= kept
+
+
 def test_memo_forgets_but_never_errs():
     memo = B.Memo(lambda k: (k % np.uint64(97)).astype(float), bits=4)
     draw = np.random.default_rng(0)
