@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenewright.llm import kneser_ney, mixing, ngram_join, packing, secrets
-from scenewright.llm.common import cut
+from scenewright.llm.common import cut, table
 from scenewright.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,10 +18,14 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie within their language's perplexity band."""
-    model = kneser_ney.train(docs)
-    bands = cut(kneser_ney.bands(cut(kneser_ney.measure(docs, model, carry=["lang"]))))
-    return kneser_ney.judge(kneser_ney.measure(docs, model), bands).where("kept").select(*COLUMNS)
+    """Documents that pass the base rules and lie within their language's perplexity band, which the labels beside the
+    documents set (without a folder, the documents themselves). A null or empty text fails the base rules; a null
+    language is one of its own; rows that repeat an id are judged each by its text. An empty table stays empty; columns
+    other than those of documents are dropped."""
+    docs = docs.select(*COLUMNS)
+    good = table(spark, sf_dir, "labels").where("quality = 1") if sf_dir else None
+    measured = cut(kneser_ney.measure(docs, kneser_ney.train(docs)))
+    return kneser_ney.judge(measured, cut(kneser_ney.bands(measured, good=good))).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
