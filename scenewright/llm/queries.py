@@ -41,7 +41,7 @@ def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")
     )
     mixed = mixing.mix(cut(docs), ["doc_id", "crc"])
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "inclusion")
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> bytes:

@@ -72,3 +72,23 @@ def test_pareto_rank_orders_by_odds(spark):
 def test_words(spark):
     df = spark.createDataFrame([(None,), ("",), (" a\tb c\x1c d\n",)], "t string")
     assert [r[0] for r in df.select(mixing.n_words(F.col("t"))).collect()] == [0, 0, 3]
+
+
+def test_the_order_weighs_inclusion_and_not_the_draw_alone(spark, monkeypatch):
+    rows = [(i, "x" if i % 3 else None, 1 << (i % 11)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = {r.doc_id: r for r in mixing.mix(df, ["doc_id"]).collect()}
+    by_size = {}
+    for r in got.values():
+        by_size.setdefault((r.source, r["size"]), []).append(r)
+    for own in by_size.values():  # all of one length have one inclusion, and are taken about so often
+        assert len({r.inclusion for r in own}) == 1
+        whole = min(r.copies for r in own)
+        assert abs(sum(r.copies for r in own) / len(own) - whole - own[0].inclusion) < 0.15 or own[0].inclusion < 1e-9
+    assert len({r.inclusion for r in got.values() if r.source == "x"}) > 5
+    for source in ("x", None):
+        own = [r for r in got.values() if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1024 and all(r.taken <= 2 * r["size"] for r in own)
+    monkeypatch.setattr(mixing, "pareto_rank", lambda u, inclusion: u / (1 - u))
+    plain = {r.doc_id: r.copies for r in mixing.mix(df, ["doc_id"]).collect()}
+    assert sum(plain[i] != r.copies for i, r in got.items()) > 100
