@@ -1,7 +1,7 @@
 """Secret scans with DataFrame functions only.
 
 Three known kinds are found by their form. What else may be a secret is a run of at least MIN_RUN letters, digits and
-signs outside those; two first-order Markov models of characters, one of random strings and one of ordinary
+signs outside those, or what such spans leave of a longer run; two first-order Markov models of characters, one of random strings and one of ordinary
 identifiers, score it, and it is a secret if random strings explain it better by MARGIN nats. Both models are counted
 from labelled samples and come as one table of log-likelihood ratios, of fixed size.
 
@@ -25,7 +25,7 @@ QUICK = {"access": "AKIA[A-Z0-9]{14,}", "hex": "[0-9a-f]{16,}"}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: Place 0 is the start of a string and any other character.
 SIZE = len(ALPHABET) + 1
-MIN_RUN = 16
+MIN_RUN = 12
 RUN = f"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
 #: The log-odds that a random string must have over an identifier: secrets are rare among long runs.
 MARGIN = 10.0
@@ -34,12 +34,20 @@ SAMPLES, SAMPLE_DOCS = 20_000, 2_000
 
 #: Two private-use characters: one parts matches from the rest, the other stands in for it where a text has it.
 MARK, OTHER = "\ue000", "\ue001"
+#: Parts of a text that are summed up together; even, as every other one is a match.
+CHUNK = 512
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def spans(text: Column, pattern: str, kind: int) -> Column:
     """The leftmost non-overlapping matches as an array of (start, kind, end, value). Null and no match give none."""
     none = F.array().cast(SPAN)
+    # parts are summed up in chunks of even length, as arrays that grow part by part cost the square of their number
     parts = F.split(F.regexp_replace(F.translate(text, MARK, OTHER), F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK)
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), none.alias("out"))
 
@@ -49,10 +57,43 @@ def spans(text: Column, pattern: str, kind: int) -> Column:
         out = F.when(s["match"], F.concat(s["out"], one)).otherwise(s["out"])
         return F.struct(end.alias("at"), (~s["match"]).alias("match"), out.alias("out"))
 
-    found = F.aggregate(parts, start, step, lambda s: s["out"])
+    moved = lambda x, by: F.transform(
+        x["out"], lambda m: F.struct((m["start"] + by).alias("start"), m["kind"].alias("kind"), (m["end"] + by).alias("end"), m["value"].alias("value"))
+    )
+
+    def in_order(told: Column) -> Column:
+        before = F.aggregate(
+            F.transform(told, lambda x: x["at"]),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda s, at: F.struct((s["at"] + at).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+            lambda s: s["out"],
+        )
+        return F.flatten(F.zip_with(told, before, moved))
+
+    def summed(parts: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int")), lambda i: F.slice(parts, i * CHUNK + 1, F.lit(CHUNK)))
+        return let(F.transform(chunks, lambda c: F.aggregate(c, start, step)), in_order)
+
+    found = let(parts, summed)
     return F.when(F.rlike(F.coalesce(text, F.lit("")), F.lit(pattern)), found).otherwise(none)
 
 
+def left_of(run: Column, taken: Column) -> Column:
+    """What the spans in taken, in order of start, leave of a run: an array of spans, in order."""
+
+    def part(a: Column, b: Column) -> Column:
+        value = F.substring(run["value"], a - run["start"] + 1, b - a)
+        return F.struct(a.alias("start"), run["kind"].alias("kind"), b.alias("end"), value.alias("value"))
+
+    def parted(over: Column) -> Column:
+        ends = F.transform(over, lambda _, i: F.array_max(F.transform(F.slice(over, F.lit(1), i + 1), lambda b: b["end"])))
+        stops = F.concat(F.transform(over, lambda b: b["start"]), F.array(run["end"]))
+        left = F.filter(F.zip_with(F.concat(F.array(run["start"]), ends), stops, part), lambda s: s["end"] > s["start"])
+        return F.when(F.size(over) == 0, F.array(run)).otherwise(left)
+
+    return let(F.filter(taken, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])), parted)
+
+
 def _long_enough(pattern: str, group: int, least: int) -> Callable[[Column], Column]:
     return lambda s: F.length(F.regexp_extract(s["value"], pattern, group)) >= least
 
@@ -143,9 +184,8 @@ def scan(df: DataFrame, model: list[float], text: str = "text", margin: float =
     df = df.drop("base_spans", "secret_spans")
     value = F.coalesce(F.col(text), F.lit(""))
     found = df.withColumn("base_spans", F.array_sort(F.concat(*base_spans(value))))
-    runs = spans(value, RUN, len(BASE))
-    apart = lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    likely = F.filter(runs, lambda s: apart(s) & (log_odds(s["value"], model) >= margin))
+    runs = lambda base: F.flatten(F.transform(spans(value, RUN, len(BASE)), lambda r: left_of(r, base)))
+    likely = let(F.col("base_spans"), lambda base: F.filter(runs(base), lambda s: (F.length(s["value"]) >= MIN_RUN) & (log_odds(s["value"], model) >= margin)))
     found = found.withColumn("_random_spans", F.when(F.rlike(value, F.lit(RUN)), likely).otherwise(F.array().cast(SPAN)))
     return found.withColumn("secret_spans", F.array_sort(F.concat("base_spans", "_random_spans"))).drop("_random_spans")
 
