@@ -206,7 +206,7 @@ def measure(df: DataFrame, model: Model, text: str = "text", language: str = "la
             at, there = find(often_keys, keys)
             return np.where(there, often_nats[at], np.nan) if len(often_keys) else np.full(len(keys), np.nan)
 
-        cost, row = Memo(told), TaskContext.get().partitionId() << 33
+        cost, row = Memo(told, bits=19), TaskContext.get().partitionId() << 33
         for batch in batches:
             of = _language_keys(batch.column(j), languages)
             for a, b, raw, offsets in pieces(batch.column(i)):

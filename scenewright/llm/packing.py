@@ -63,14 +63,19 @@ class Ids:
     where a blank is followed by other white space are cut with a pattern instead."""
 
     def __init__(self, file: bytes, remembered: int = REMEMBERED):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.size = Tokenizer.from_str(file.decode()), remembered
+        self.file, self.size = file, remembered
         self.known, self.older = {}, {}  # what was met lately, and before that
         self.odd, self.apart = re.compile(r" (?:\s|\Z)"), re.compile(r" (?=\S)")
         self.ranks = _ranked(json.loads(file))
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The file's own tokenizer, made when the first text needs it: it takes much memory."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.file.decode())
+
     def of(self, text: str) -> bytes:
         if self.ranks is not None and _plain(text):  # whole, by the quicker of two encoders of one file
             return self.ranks.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
