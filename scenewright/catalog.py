@@ -170,7 +170,7 @@ def w1_top_terms_per_artist(spark, d):
 
 same_sql("k1_cities_by_size", "SELECT city_raw, count(*) AS artist_count FROM {artists} GROUP BY city_raw ORDER BY artist_count DESC, city_raw")
 same_sql("a19_status_counts", "SELECT count(*) AS artists, count(DISTINCT city_raw) AS cities, count(CASE WHEN account_kind = 'hub' THEN 1 END) AS hubs FROM {artists}")
-same_sql("k4_reach_order", "SELECT urn, followers, likes + comments AS impact, plays FROM {artists} ORDER BY coalesce(followers, 0) DESC, coalesce(likes + comments, 0) DESC, coalesce(plays, 0) DESC, urn LIMIT 50")
+same_sql("k4_reach_order", "SELECT urn, followers, likes + comments AS impact, plays FROM {artists} ORDER BY coalesce(followers, 0) DESC, coalesce(likes + comments, 0) DESC, coalesce(plays, 0) DESC, urn")
 same_sql(
     "q5_sound_in_place",
     """SELECT a.urn, a.followers, a.account_kind FROM {terms} t JOIN {artists} a ON a.urn = t.urn
@@ -413,7 +413,6 @@ same_sql("g18_scene_home", """SELECT segment, CASE WHEN located < 5 OR CAST(loca
     WHEN CAST(top AS DOUBLE) / located >= 0.18 THEN 'tinted' ELSE 'global' END AS home FROM (SELECT segment, sum(n) AS members, sum(n) AS located, max(n) AS top
       FROM (SELECT segment, country, count(*) AS n FROM {artists} WHERE segment IS NOT NULL GROUP BY segment, country) c GROUP BY segment) x""")
 same_sql("q18_roster_resolve", "SELECT urn, coalesce(nullif(plays, 0), followers) AS shown FROM {artists}")
-same_sql("st5_recent_windows", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM {events} GROUP BY 1, 2")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,3 +24,19 @@ def state(now: int) -> Column:
 def stats(reads: DataFrame) -> DataFrame:
     """(type, hits, misses, last_access) of reads (type, hit, at)."""
     return reads.groupBy("type").agg(F.count_if(F.col("hit")).alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.max("at").alias("last_access"))
+
+
+def retained(entries: DataFrame, now: int) -> DataFrame:
+    """Entries that are still held, fresh or not."""
+    return entries.where(F.col("expires_at") > now)
+
+
+def without(entries: DataFrame, keys: DataFrame | None = None, kind: str | None = None) -> DataFrame:
+    """Entries that are left when those of some keys (key), or of one type, are deleted."""
+    left = entries if keys is None else entries.join(keys.select("key"), "key", "left_anti")
+    return left if kind is None else left.where(~F.col("type").eqNullSafe(F.lit(kind)))
+
+
+def due(urns: DataFrame, failures: DataFrame, now: int, hours: int = 6) -> DataFrame:
+    """Urns without a failure (urn, at) in the hours before now."""
+    return urns.join(failures.where(F.col("at") > now - hours * 3_600_000).select("urn"), "urn", "left_anti")

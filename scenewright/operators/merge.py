@@ -64,3 +64,23 @@ def reprioritized(queue: DataFrame, edges: DataFrame) -> DataFrame:
 def claim(queue: DataFrame, k: int) -> DataFrame:
     """The next k pending entries: priority first, then the lesser depth, then the earlier."""
     return queue.where("status = 'pending'").orderBy(F.desc("priority"), "depth", "enqueued_at", "urn").limit(k)
+
+MAX_ATTEMPTS = 3
+
+
+def mark_failed(queue: DataFrame, failed: DataFrame) -> DataFrame:
+    """Entries (urn, status, attempts) after one failure of each urn in failed: one attempt more, given up at the third."""
+    told = queue.join(failed.select("urn", F.lit(True).alias("_failed")).distinct(), "urn", "left")
+    tried = F.col("attempts") + F.when(F.col("_failed"), 1).otherwise(0)
+    status = F.when(F.col("_failed") & (tried >= MAX_ATTEMPTS), "failed").when(F.col("_failed"), "pending").otherwise(F.col("status"))
+    return told.withColumn("status", status).withColumn("attempts", tried).drop("_failed")
+
+
+def reset_in_progress(queue: DataFrame) -> DataFrame:
+    """After a crash, what was in progress is pending again."""
+    return queue.withColumn("status", F.when(F.col("status") == "in_progress", "pending").otherwise(F.col("status")))
+
+
+def merge_links(sightings: DataFrame) -> DataFrame:
+    """(urn, url, first_seen)."""
+    return sightings.groupBy("urn", "url").agg(F.min("seen").alias("first_seen"))

@@ -32,13 +32,14 @@ FORMATS = [
 STOP_WORDS = ["the", "a", "an", "and", "or", "of", "in", "on", "at", "to", "for", "with", "by", "from"]
 FORMAT_TERMS = [re.sub("[^a-z0-9]", "", x) for x in FORMATS] + STOP_WORDS
 
-# What people give for a place and is none, and other names of cities, both as folded.
+# What people give for a place and is none, and other names of cities; both are folded when used.
 NON_PLACES = [re.sub(" ", "", x) for x in ("worldwide", "world", "earth", "planet earth", "everywhere", "nowhere", "somewhere", "global", "internet", "the internet", "online", "cyberspace", "space", "outer space", "moon", "universe", "milky way")]
-CITY_ALIASES = {
-    "nyc": "New York", "newyorkcity": "New York", "ny": "New York", "la": "Los Angeles", "sf": "San Francisco", "philly": "Philadelphia", "atl": "Atlanta", "cdmx": "Mexico City",
-    "ciudaddemexico": "Mexico City", "koln": "Cologne", "munchen": "Munich", "wien": "Vienna", "stpetersburg": "Saint Petersburg", "stpete": "Saint Petersburg", "bombay": "Mumbai",
+ALIASES = {
+    "nyc": "New York", "new york city": "New York", "ny": "New York", "la": "Los Angeles", "sf": "San Francisco", "philly": "Philadelphia", "atl": "Atlanta", "cdmx": "Mexico City",
+    "ciudad de mexico": "Mexico City", "koln": "Cologne", "munchen": "Munich", "wien": "Vienna", "st petersburg": "Saint Petersburg", "st pete": "Saint Petersburg", "bombay": "Mumbai",
     "bsas": "Buenos Aires", "caba": "Buenos Aires",
 }
+CITY_ALIASES = {re.sub("[^a-z0-9]", "", x): city for x, city in ALIASES.items()}
 
 
 def memberships(terms: DataFrame, config: Config = Config()) -> DataFrame:

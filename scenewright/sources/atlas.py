@@ -26,14 +26,13 @@ FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_re
 """
 
 EDGES = """
-SELECT concat('customer:', o_custkey) AS src, concat('supplier:', l_suppkey) AS dst, 'repost' AS type, CAST(count(*) AS DOUBLE) AS weight
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey
-UNION ALL
-SELECT concat('customer:', o_custkey), concat('supplier:', l_suppkey), 'follow', CAST(1 AS DOUBLE)
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_quantity >= 40 GROUP BY o_custkey, l_suppkey
-UNION ALL
-SELECT concat('supplier:', l_suppkey), concat('customer:', o_custkey), 'follow', CAST(1 AS DOUBLE)
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY o_custkey, l_suppkey
+SELECT CASE e.kind WHEN 3 THEN concat('supplier:', supp) ELSE concat('customer:', cust) END AS src,
+  CASE e.kind WHEN 3 THEN concat('customer:', cust) ELSE concat('supplier:', supp) END AS dst,
+  CASE e.kind WHEN 1 THEN 'repost' ELSE 'follow' END AS type, CAST(CASE e.kind WHEN 1 THEN n ELSE 1 END AS DOUBLE) AS weight
+FROM (SELECT o_custkey AS cust, l_suppkey AS supp, count(*) AS n, count(CASE WHEN l_quantity >= 40 THEN 1 END) AS large, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS returned
+  FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey) p
+CROSS JOIN (SELECT 1 AS kind UNION ALL SELECT 2 UNION ALL SELECT 3) e
+WHERE e.kind = 1 OR (e.kind = 2 AND large > 0) OR (e.kind = 3 AND returned > 0)
 """
 
 TERMS = """

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from scenewright import catalog
+from scenewright import catalog, reads  # noqa: F401  reads adds its queries to the catalog
 
 DATA = "/root/testdata/sf0.001"
 
