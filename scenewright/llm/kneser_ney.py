@@ -1,9 +1,9 @@
 """Quality rules: n-gram perplexity of a modified Kneser-Ney model, with bands for each language.
 
 The grams are of bytes, ORDER long. Spark counts them over all documents, each language its own; continuation counts of
-the shorter orders, the discounts and the contexts' sums come from those counts by grouping. Grams that occur less than
-LEAST times in their language tell of their document alone and give their weight to the shorter context, as usual with
-such models; LEAST is the same for any corpus. Each context's probabilities still add up to one.
+the shorter orders, the discounts and the contexts' sums come from those counts by grouping. All counted grams are in
+the model (LEAST can raise that: a gram left out gives its weight to the shorter context, and each context's
+probabilities still add up to one).
 
 The model is a table for each order. Joining them gives the cost of every distinct gram of the texts. The HEAD most
 frequent grams, at most, are broadcast as sorted arrays; the others, which are few of a text's, are joined by text.
@@ -30,8 +30,8 @@ from scenewright.llm.common import cut, most_frequent
 from scenewright.llm.textbytes import LOWER, SPACE, Counts, Memo, find, grams, mixed, per_text, pieces, prefix_hashes, releasing, span_hashes, words
 
 ORDER = 5
-#: The occurrences in its language that a gram in the model has at least.
-LEAST = 3
+#: The occurrences in its language that a gram in the model has at least: all are in it.
+LEAST = 1
 #: Languages with fewer documents have one model in common.
 LEAST_LANGUAGE = 20
 #: Grams whose costs are broadcast, at most.
