@@ -147,7 +147,8 @@ def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios, random over ordinary, of each character after each other: SIZE x SIZE numbers.
 
     samples: (value, random) with 1 for random strings and 0 for ordinary ones; other labels and null values don't
-    count. Half a count is added to each pair, so any label may be empty."""
+    count. Each character starts with SIZE / 2 successors, dealt as the label's characters are (half a count added to
+    each), so a character that no sample had is followed by the usual ones, and any label may be empty."""
     at = _places(F.col("value"))
     pairs = F.zip_with(F.concat(F.array(F.lit(0)), at), at, lambda a, b: a * SIZE + b)
     pairs = F.slice(pairs, F.lit(1), F.size(at))
@@ -157,8 +158,11 @@ def train(samples: DataFrame) -> list[float]:
         .groupBy("random", "pair")
         .agg(F.count("*").alias("n"))
     )
-    n = [[0.5] * (SIZE * SIZE) for _ in range(2)]
-    for label, pair, count in counted.collect():  # 2 x SIZE x SIZE rows at most
+    told, usual = counted.collect(), [[0.5] * SIZE for _ in range(2)]  # 2 x SIZE x SIZE rows at most
+    for label, pair, count in told:
+        usual[label][pair % SIZE] += count
+    n = [[SIZE / 2 * x / sum(u) for x in u] * SIZE for u in usual]
+    for label, pair, count in told:
         n[label][pair] += count
     total = [[sum(x[a * SIZE : (a + 1) * SIZE]) for a in range(SIZE)] for x in n]
     return [math.log(n[1][i] / total[1][i // SIZE]) - math.log(n[0][i] / total[0][i // SIZE]) for i in range(SIZE * SIZE)]
