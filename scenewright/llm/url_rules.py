@@ -3,7 +3,7 @@
 A rule is a pattern with the verdict `allow` or `block`. A literal token is a run of letters and digits that stands
 between other characters in every url that fits, so a url that fits has it among its own tokens. Each rule is filed
 under that one of its tokens which is rarest in the urls at hand; a url's tokens fetch the rules filed under them, and
-only those run their regular expressions. The index has one row per rule; Spark broadcasts it if its size allows.
+only those run their regular expressions. The index has one row per rule that the driver was given and is broadcast.
 
 Two kinds of rules. Host rules (`example.com/en/`) fit the host and its subdomains if the path starts with the
 rule's; the longest decides. Patterns decide where no host rule fits: `*` is anything, `^` a separator or the end,
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenewright.llm.common import cut, lower_ascii
+from scenewright.llm.common import cut, join_hot, lower_ascii
 
 #: The host and the path of a url: after the first ://, up to / ? # or the end, and from there to ? # or the end.
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -84,16 +84,20 @@ def _url_tokens(url: Column) -> Column:
     return F.array_distinct(F.split(lower_ascii(url), "[^a-z0-9]+"))
 
 
-def index(urls: DataFrame, column: str, rules: list[Rule]) -> DataFrame:
-    """The rules as a table, each with the one of its literal tokens that is rarest among the urls' tokens."""
+def index(urls: DataFrame, column: str, rules: list[Rule], n: str | None = None) -> DataFrame:
+    """The rules as a table, each with the one of its literal tokens that is rarest among the urls' tokens.
+
+    n: a column with the rows that a url stands for. Tokens are counted within tasks first, so that one in every url
+    costs no task more than another; the literals, as few as the rules that the driver was given, go to all tasks."""
     spark = urls.sparkSession
     rows = [(i, r.name, r.kind, r.verdict, r.regex, list(r.tokens), r.length) for i, r in enumerate(rules)]
     told = spark.createDataFrame(
         rows, "id int, rule string, kind string, verdict string, regex string, tokens array<string>, length int"
     )
     literals = told.select("id", F.explode("tokens").alias("token"))
-    seen = urls.select(F.explode(_url_tokens(F.col(column))).alias("token"))
-    counts = seen.join(literals.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    seen = urls.select((F.col(n) if n else F.lit(1)).alias("n"), F.explode(_url_tokens(F.col(column))).alias("token"))
+    seen = seen.join(F.broadcast(literals.select("token").distinct()), "token", "left_semi")
+    counts = seen.groupBy("token").agg(F.sum("n").alias("n"))
     rarest = (
         literals.join(counts, "token", "left")
         .groupBy("id")
@@ -104,30 +108,37 @@ def index(urls: DataFrame, column: str, rules: list[Rule]) -> DataFrame:
 
 def judge(df: DataFrame, column: str, rules: list[Rule]) -> DataFrame:
     """df with host, path, rule (the host rule that decides, or null), pattern (the pattern that decides where no host
-    rule does, or null) and verdict.
-
-    A null url has no tokens: it is allowed. Repeated urls are judged once; each row keeps its own line. An empty
-    table gives an empty one. Columns of df named like the new ones are replaced."""
-    df = df.drop("host", "path", "rule", "pattern", "verdict")
-    urls = df.select(F.col(column).alias("_url")).where(F.col("_url").isNotNull())
-    filed = index(urls, "_url", rules)
+    rule does, or null), verdict and candidates (the rules that the url's tokens fetched, whose expressions ran).
+
+    A null url has no tokens: it is allowed. Repeated urls are judged once, however many rows have them; each row keeps
+    its own line. An empty table gives an empty one. Columns of df named like the new ones are replaced."""
+    df = df.drop(*[c for c in ("host", "path", "rule", "pattern", "verdict", "candidates") if c != column])
+    given = df.select(F.col(column).alias("_url")).where(F.col("_url").isNotNull())
+    urls = cut(given.groupBy("_url").agg(F.count("*").alias("_rows")))
+    total = urls.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    # the index has a row for each rule that the driver was given
+    filed = F.broadcast(index(urls, "_url", rules, "_rows"))
     host, path = host_and_path(F.col("_url"))
-    fetched = urls.select("_url", F.explode(_url_tokens(F.col("_url"))).alias("token")).join(filed, "token")
+    fetched = urls.select("_url", "_rows", F.explode(_url_tokens(F.col("_url"))).alias("token")).join(filed, "token")
     subject = F.when(F.col("kind") == "host", F.concat(host, path)).otherwise(lower_ascii(F.col("_url")))
-    fits = fetched.where(F.rlike(subject, F.col("regex")))
-    hosts = F.when(F.col("kind") == "host", F.struct("length", "rule", "verdict"))
+    tried = fetched.withColumn("fits", F.rlike(subject, F.col("regex")))
+    hosts = F.when(F.col("fits") & (F.col("kind") == "host"), F.struct("length", "rule", "verdict"))
     # allow comes before block, then the first rule as listed
-    patterns = F.when(F.col("kind") == "pattern", F.struct((F.col("verdict") != "allow").alias("later"), "id", "rule", "verdict"))
-    judged = fits.groupBy("_url").agg(F.max(hosts).alias("_host_rule"), F.min(patterns).alias("_pattern"))
+    patterns = F.when(F.col("fits") & (F.col("kind") == "pattern"), F.struct((F.col("verdict") != "allow").alias("later"), "id", "rule", "verdict"))
+    judged = tried.groupBy("_url", "_rows").agg(F.max(hosts).alias("_host_rule"), F.min(patterns).alias("_pattern"), F.count("*").alias("candidates"))
+    found = df.withColumn("_url", F.col(column))
+    # urls without candidates fetch nothing; null joins nothing
+    whole = cut(urls.join(judged.drop("_rows"), "_url", "left"))
+    out = join_hot(found, whole, "_url", "_rows", total).unionByName(found.where("_url is null"), allowMissingColumns=True)
     own_host, own_path = host_and_path(F.col(column))
-    out = df.join(judged, df[column] == judged["_url"], "left")
     return (
         out.withColumn("host", own_host)
         .withColumn("path", own_path)
         .withColumn("rule", F.col("_host_rule.rule"))
         .withColumn("pattern", F.when(F.col("_host_rule").isNull(), F.col("_pattern.rule")))
         .withColumn("verdict", F.coalesce("_host_rule.verdict", "_pattern.verdict", F.lit("allow")))
-        .drop("_url", "_host_rule", "_pattern")
+        .withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+        .select(*df.columns, "host", "path", "rule", "pattern", "verdict", "candidates")
     )
 
 
@@ -140,8 +151,22 @@ HOST_RULES = [
     host_rule("block", "net/fr/"),
 ]
 
-#: Spam words in host names, pages that only serve a session or a shop, files that hold no text, and endless listings.
+#: General words of spam, as they come first and second in names of hosts and pages.
+SPAM_HEADS = (
+    "adult", "best", "betting", "bingo", "buy", "casino", "cheap", "cialis", "crypto", "detox", "diet", "discount", "easy", "fast", "forex",
+    "free", "hot", "instant", "live", "lottery", "luxury", "online", "payday", "pharmacy", "poker", "replica", "sexy", "slots", "spam", "viagra",
+)
+SPAM_TAILS = (
+    "bets", "bonus", "cams", "cash", "casino", "cracks", "credit", "dating", "downloads", "drugs", "escorts", "farm", "handbags", "jackpot", "keygen",
+    "loans", "meds", "money", "pills", "poker", "porn", "profit", "serials", "sex", "singles", "slots", "sneakers", "tips", "torrents", "warez", "watches",
+)
+
+#: Spam names of hosts and pages (each head with each tail, either order in pages), pages that only serve a session or a
+#: shop, files that hold no text, and endless listings.
 PATTERN_RULES = [
+    *[pattern_rule("block", f"||{head}-{tail}.") for head in SPAM_HEADS for tail in SPAM_TAILS],
+    *[pattern_rule("block", f"/{head}-{tail}^") for head in SPAM_HEADS for tail in SPAM_TAILS],
+    *[pattern_rule("block", f"/{tail}-{head}^") for head in SPAM_HEADS for tail in SPAM_TAILS],
     *[pattern_rule("block", f"||{word}-*/") for word in ("cheap", "spam", "casino", "viagra", "porn", "xxx", "replica", "payday")],
     *[pattern_rule("block", f"-{word}.*/") for word in ("pills", "farm", "casino", "loans", "porn", "escorts", "replica", "poker")],
     *[pattern_rule("block", f"||{word}^") for word in ("doubleclick.net", "googlesyndication.com", "adservice.google.com", "trackers.example.org")],
@@ -153,6 +178,7 @@ PATTERN_RULES = [
 ]
 
 
+
 def brute_force_sql(rules: list[Rule], table: str = "pages", key: str = "page_id") -> str:
     """SQL that runs every rule over every url."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
@@ -160,14 +186,13 @@ def brute_force_sql(rules: list[Rule], table: str = "pages", key: str = "page_id
     host = f"translate(regexp_extract(coalesce(url, ''), {quoted(PARTS)}, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     hosts = sorted((i for i, r in enumerate(rules) if r.kind == "host"), key=lambda i: -rules[i].length)
     patterns = sorted((i for i, r in enumerate(rules) if r.kind == "pattern"), key=lambda i: (rules[i].verdict != "allow", i))
-    first = lambda order, subject, field, rest: (
-        "CASE "
-        + " ".join(f"WHEN regexp_matches({subject}, {quoted(rules[i].regex)}) THEN {quoted(getattr(rules[i], field))}" for i in order)
-        + f" ELSE {rest} END"
+    first = lambda order, subject: (  # noqa: E731  the place of the first rule that fits, from 1 on
+        "CASE " + " ".join(f"WHEN regexp_matches({subject}, {quoted(rules[i].regex)}) THEN {n}" for n, i in enumerate(order, 1)) + " END"
     )
+    of = lambda order, field: "[" + ", ".join(quoted(getattr(rules[i], field)) for i in order) + "]"
     return (
         f"WITH u AS (SELECT {key}, {host} AS host, regexp_extract(coalesce(url, ''), {quoted(PARTS)}, 2) AS path, {low} AS low FROM {table}), "
-        f"v AS (SELECT *, {first(hosts, 'host || path', 'name', 'NULL')} AS rule, {first(patterns, 'low', 'name', 'NULL')} AS fits, "
-        f"{first(hosts, 'host || path', 'verdict', 'NULL')} AS a, {first(patterns, 'low', 'verdict', 'NULL')} AS b FROM u) "
-        f"SELECT {key}, host, path, rule, CASE WHEN rule IS NULL THEN fits END AS pattern, coalesce(a, b, 'allow') AS verdict FROM v"
+        f"v AS (SELECT {key}, host, path, {first(hosts, 'host || path')} AS h, {first(patterns, 'low')} AS p FROM u), "
+        f"w AS (SELECT *, {of(hosts, 'name')} AS hn, {of(hosts, 'verdict')} AS hv, {of(patterns, 'name')} AS pn, {of(patterns, 'verdict')} AS pv FROM v) "
+        f"SELECT {key}, host, path, hn[h] AS rule, CASE WHEN h IS NULL THEN pn[p] END AS pattern, coalesce(hv[h], pv[p], 'allow') AS verdict FROM w"
     )

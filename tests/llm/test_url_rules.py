@@ -1,3 +1,4 @@
+import functools
 import re
 
 import pytest
@@ -14,11 +15,15 @@ URLS = [
 ]
 
 
+COMPILED = {r.regex: re.compile(r.regex.replace(r"\z", r"\Z")) for r in RULES}
+
+
+@functools.cache
 def brute(url):
     m = re.search(U.PARTS, url or "")
     low = lambda s: re.sub("[A-Z]", lambda c: c[0].lower(), s)
     host, path = (low(m[1]), m[2]) if m else ("", "")
-    fit = lambda r, s: re.search(r.regex.replace(r"\z", r"\Z"), s)
+    fit = lambda r, s: COMPILED[r.regex].search(s)
     hosts = sorted((r for r in RULES if r.kind == "host" and fit(r, host + path)), key=lambda r: r.length)
     patterns = sorted((r for r in RULES if r.kind == "pattern" and fit(r, low(url or ""))), key=lambda r: r.verdict != "allow")
     rule = hosts[-1] if hosts else None
@@ -46,3 +51,27 @@ def test_the_rarest_token_files_a_rule(spark):
 def test_a_rule_without_a_token_is_refused():
     with pytest.raises(ValueError, match="literal token"):
         U.pattern_rule("block", "*porn*")
+
+
+def test_a_url_runs_few_of_thousands_of_rules_and_a_hot_one_goes_to_no_single_task(spark):
+    assert len(RULES) > 2500
+    urls = ["http://cheap-pills.example.org/en/1", "http://a.org/loans-payday/2", "http://a.org/x", "http://casino-cash.com/x"]
+    df = spark.createDataFrame([(i, urls[i % 4] if i % 3 else urls[0]) for i in range(900)] + [(900, None)], "page_id long, url string")
+    got = U.judge(df, "url", RULES).collect()
+    assert sorted(r.page_id for r in got) == list(range(901))
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == brute(r.url), r.url
+        assert r.candidates < len(RULES) / 20
+    assert {r.pattern for r in got} >= {"||cheap-pills.", "/loans-payday^"}
+
+
+def test_the_sql_runs_every_rule(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(URLS[:26])))
+    told = con.execute(U.brute_force_sql(RULES)).fetchall()
+    df = spark.createDataFrame(list(enumerate(URLS[:26])), "page_id long, url string")
+    got = U.judge(df, "url", RULES).select("page_id", "host", "path", "rule", "pattern", "verdict").collect()
+    assert sorted(map(tuple, got)) == sorted(told)
