@@ -78,6 +78,15 @@ def test_louvain_separates_cliques(spark):
     got = {r.node: r.community for r in scenes.louvain(e).collect()}
     assert got == {i: 1 for i in range(1, 6)} | {i: 11 for i in range(11, 16)}
     assert scenes.louvain(e.limit(0)).count() == 0
+    assert scenes.modularity(e, scenes.louvain(e)) > 0.45
+    # many resolutions at once find what each finds alone; a coarse community is parted by its own edges
+    swept = scenes.sweep(e, [0.001, 1.0]).collect()
+    assert {r.node: r.community for r in swept if r.resolution == 1.0} == got
+    assert {r.community for r in swept if r.resolution == 0.001} == {1}
+    one = spark.createDataFrame([(i, 1) for i in got], "node long, community long")
+    parted = scenes.sub_communities(e, one, one, 0.5, most=9)
+    assert {r.node: r.community for r in parted.collect()} == got
+    assert scenes.sub_communities(e, one, one, 0.5, most=10).select("community").distinct().count() == 1
 
 
 def test_naming(spark):
@@ -121,3 +130,26 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_recent_counts(spark, late):
     df = spark.createDataFrame([("2024-01-01 01:00:00", "a"), ("2024-01-01 23:00:00", "a"), ("2024-01-02 00:00:00", "a")], "t string, event_type string").withColumn("ts", F.col("t").cast("timestamp"))
     assert sorted(r.n for r in ingest.recent_counts(df, late=late).collect()) == [1, 2]
+
+
+def test_scene_batch_names_two_scenes(spark):
+    from scenewright.plans.scene_batch import compute_scenes
+
+    genre = {0: "Dub Techno", 1: "Jungle", 2: "Noise"}
+    urn = lambda g, i: f"{'abc'[g]}{i:02}"
+    ties = [(urn(g, i), urn(g, j), "follow", 1.0) for g in range(3) for i in range(8) for j in range(8) if i != j] + [("a00", "b00", "follow", 1.0)]
+    edges = spark.createDataFrame(ties, "src string, dst string, type string, weight double")
+    who = [(urn(g, i), f"name{g}{i}", ["Berlin", None, "Leeds"][g], "X", 0 if g == 2 else 3, "artist") for g in range(3) for i in range(8)]
+    artists = spark.createDataFrame(who, "urn string, permalink string, city_raw string, country string, track_count long, account_kind string")
+    terms = spark.createDataFrame([(urn(g, i), genre[g], "genre", 2) for g in range(3) for i in range(8)], "urn string, term string, kind string, evidence long")
+    before = spark.createDataFrame([(7, urn(1, i)) for i in range(6)], "id long, member string")
+    got = compute_scenes(edges, artists, terms, before, [1.0], dust=5, least_crawled=4)
+    assert got.stats.count() == 1
+    rows = {r.scene: r for r in got.scenes.collect()}
+    assert sorted(rows) == [7, 8, 9] and {r.members for r in rows.values()} == {8}
+    named = {r.name for r in rows.values()}
+    # min_docs asks for terms of three scenes, so nothing is owned: the city, the most carried term, or below the floor none
+    assert named == {"Berlin", "Jungle", None}
+    assert rows[7].slug == "jungle" and [r.slug for r in rows.values() if r.name is None] == [None]
+    assert {r.degree for r in got.members.where("urn = 'b01'").collect()} == {7.0}
+    assert compute_scenes(edges.limit(0), artists, terms, before.limit(0)).scenes.count() == 0
