@@ -78,7 +78,7 @@ class Ids:
 
     def of(self, text: str) -> bytes:
         if self.ranks is not None and _plain(text):  # whole, by the quicker of two encoders of one file
-            return self.ranks.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+            return self._ranks(text)
         odd = self.odd.search(text) is not None
         first, *rest = self.apart.split(text) if odd else text.split(" ")
         out = [self._new([first], "")[0]]
@@ -95,13 +95,30 @@ class Ids:
             out.append(b"".join([known[x] for x in rest]))
         return b"".join(out)
 
+    def _ranks(self, text: str) -> bytes:
+        """The ids of a plain text by the encoder of ranks.
+
+        Its pattern goes back over white space step by step and ends in an error on runs of several hundred thousand.
+        Of a run of white space all but the last character make one part of the text, whatever stands around it (at the
+        text's end, the last one too), so a long run's part is merged by itself and the pattern never sees it."""
+        out, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out.append(self.ranks.encode_to_numpy(text[at : run.start()]))
+            out.append(np.array(self.ranks._core_bpe.encode_single_piece(text[run.start() : end].encode()), np.uint32))
+            at = end
+        if not out:
+            return self.ranks.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+        out.append(self.ranks.encode_to_numpy(text[at:]))
+        return np.concatenate(out).astype("<u4", copy=False).tobytes()
+
     def _new(self, chunks: list[str], before: str) -> list[bytes]:
         out, slow = [b""] * len(chunks), []
         for i, x in enumerate(chunks):
             if self.ranks is None or not _plain(x):
                 slow.append(i)
             else:
-                out[i] = _little(self.ranks.encode_ordinary(before + x))
+                out[i] = self._ranks(before + x)
         if slow:
             found = self.tokenizer.encode_batch_fast([before + chunks[i] for i in slow], add_special_tokens=False)
             for i, x in zip(slow, found, strict=True):
@@ -122,6 +139,8 @@ def _little(ids: list[int]) -> bytes:
 #: Fixed values of byte-level tokenizers: how they part a text, and the first character past the plain scripts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = "\u0250"
+#: White space of the plain scripts, in runs that the pattern had better not see.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0]{4096,}")
 
 
 def _ranked(told: dict):

@@ -52,6 +52,25 @@ def test_the_ids_of_the_drivers_documents():
         assert np.frombuffer(ids.of(t), "<u4").tolist() == e.ids
 
 
+@pytest.mark.parametrize("around", [("", ""), ("prose, ends here.", "More prose 12"), ("a", " "), ("漢字 x", "y"), ("x", "漢")])
+def test_very_long_runs_have_the_tokenizers_own_ids(around):
+    plain, ids = Tokenizer.from_file(FILE), packing.Ids(RAW)
+    for run in (" ", "\n", "\t", " \n", "\xa0", "a", "="):
+        text = around[0] + run * (1_500_000 // len(run)) + around[1]
+        assert (np.frombuffer(ids.of(text), "<u4") == np.array(plain.encode(text, add_special_tokens=False).ids)).all(), (run, around)
+    for n in (4094, 4095, 4096, 4097, 4098):
+        for text in (around[0] + " " * n + around[1], around[0] + "\n" * n + " " + around[1] + "\t" * n):
+            assert np.frombuffer(ids.of(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, (n, around)
+
+
+def test_a_million_blanks_in_a_table(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000 + "x"), (2, "\n" * 600_000), (3, None)], "doc_id long, text string")
+    got = packing.pack(cut(packing.pieces(docs, ["doc_id"], "text", RAW, 1024)), 1024)
+    plain = Tokenizer.from_file(FILE)
+    want = {1: len(plain.encode(" " * 1_000_000 + "x").ids) + 1, 2: len(plain.encode("\n" * 600_000).ids) + 1, 3: 1}
+    assert {r.doc_id: r.n for r in got.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()} == want
+
+
 def test_packing_by_brute_force(spark):
     draw = random.Random(2)
     rows = [(i, " ".join(draw.choices(["alpha", "beta", "gamma,", "delta"], k=int(draw.paretovariate(0.7)) % 6000)), "x") for i in range(300)]
