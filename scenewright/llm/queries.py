@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm import ctw, jump_hash, kneser_ney, merkle, mixing, ngram_join, nn_descent, packing, secrets, url_rules
+from scenewright.llm import ctw, jump_hash, kneser_ney, merkle, mixing, ngram_join, nn_descent, packing, phrases, secrets, url_rules
 from scenewright.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,41 @@ SELECT page_id, CAST(floor(page_id / 1000) AS BIGINT) AS file_id,
   CASE fate WHEN '00' THEN 'damaged' WHEN '01' THEN 'missing' ELSE 'intact' END AS status
 FROM r
 """
+
+
+@query
+def op13_suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language by how much more often they come than their parts would by chance."""
+    return phrases.top(phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"), least=100, percent=100), 2000)
+
+
+ORACLES["op13_suffix_phrases"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS x FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(x) - k + 2), lambda i: array_to_string(x[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest(range(1, 6)) AS k)),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS x FROM f WHERE k > 1 AND f >= 100),
+cuts AS (
+  SELECT c.lang, c.phrase, a, j, l.f AS l, r.f AS r, n.n,
+    CAST(1000 * CAST(a AS HUGEINT) * n.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM (SELECT lang, phrase, a, x, k AS size, unnest(range(1, k)) AS j FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(x[1:j], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(x[j + 1:size], ' ')
+  JOIN n ON n.lang = c.lang),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT DISTINCT s.lang, s.phrase FROM (
+    SELECT lang, a AS longer, unnest(list_transform(
+      list_filter(flatten(list_transform(range(1, k + 1), lambda i: list_transform(range(i + 1, k + 1), lambda j: [i, j]))), lambda p: p[2] - p[1] + 1 < k),
+      lambda p: array_to_string(x[p[1]:p[2]], ' '))) AS phrase
+    FROM c) s JOIN c ON c.lang = s.lang AND c.phrase = s.phrase WHERE 100 * longer >= 100 * c.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM worst ANTI JOIN inside USING (lang, phrase)
+QUALIFY rank <= 2000
+"""
