@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm import ctw, jump_hash, kneser_ney, merkle, mixing, ngram_join, nn_descent, packing, phrases, secrets, url_rules
+from scenewright.llm import chat, ctw, jump_hash, kneser_ney, merkle, mixing, ngram_join, nn_descent, packing, phrases, secrets, url_rules, whiten
 from scenewright.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,48 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM worst ANTI JOIN inside USING (lang, phrase)
 QUALIFY rank <= 2000
 """
+
+
+@query
+def op11_covariance_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the first four components of their quantised entries' covariance, whitened."""
+    out = whiten.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), ["vec_id"], "embedding", components=4)
+    return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+@query
+def op12_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    told = chat.format_chats(rows.unionByName(more))
+    read = told.select("conv_id", "formatted", chat.turns_of(F.col("formatted")).alias("turns"), chat.learnt_text(F.col("segments")).alias("learnt"))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(digest, 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLES["op12_relational_chat"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (
+  SELECT *, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS opens,
+    length(regexp_replace(text, '([<\[])(\\*)(/?s>|sep>|</?SYS>>|/?INST\]|/?ROLE\]|/END\])', '\1\2\\\3', 'g')) AS chars,
+    length(regexp_replace(role, '([<\[])(\\*)(/?s>|sep>|</?SYS>>|/?INST\]|/?ROLE\]|/END\])', '\1\2\\\3', 'g')) AS role_chars
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(chars + CASE WHEN NOT opens THEN 5 WHEN role = 'user' THEN 15 WHEN role = 'system' THEN 18
+    WHEN role = 'assistant' THEN 5 ELSE 19 + role_chars END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
