@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from scenewright.functions.text import activity_line
 from scenewright.operators import rollup
+from scenewright.operators.scenes import scene_home, written
 
 
 def first(df: DataFrame, n: int, *order, by: list[str] = (), name: str = "place") -> DataFrame:
@@ -85,8 +86,6 @@ def scene_counts(members: DataFrame, what: str, n: int = 6) -> DataFrame:
 
 def scene_homes(members: DataFrame) -> DataFrame:
     """(scene, home) of members (scene, city or null)."""
-    from scenewright.operators.scenes import scene_home
-
     per = members.groupBy("scene", "city").agg(F.count("*").alias("n")).groupBy("scene")
     told = per.agg(F.sum("n").alias("members"), F.sum(F.when(F.col("city").isNotNull(), F.col("n"))).alias("located"), F.max(F.when(F.col("city").isNotNull(), F.col("n"))).alias("top"))
     located = F.coalesce("located", F.lit(0))
@@ -94,9 +93,23 @@ def scene_homes(members: DataFrame) -> DataFrame:
 
 
 def slugs(scenes: DataFrame) -> DataFrame:
-    """scenes (id, base) with slug: the first scene of a base has it as it is, each later one with its id behind it."""
-    again = F.row_number().over(Window.partitionBy("base").orderBy("id"))
-    return scenes.withColumn("_n", again).withColumn("slug", F.when(F.col("_n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("id").cast("string")))).drop("_n")
+    """scenes (id, base, ...) with slug: in the order of their ids each takes its base, or, where a lower id has it, the
+    base with its own id behind it, or with the first number after that which is free.
+
+    Taking turns is worked out in rounds: all ask for their first wish at once, the lowest id keeps a slug, the others
+    ask for their next one, also where a lower id comes to a slug later and pushes its holder out. As every slug
+    prefers lower ids, the rounds end with what taking turns gives. The rounds are as many as
+    the longest row of such pushes. A null base has no slug; ids are distinct."""
+    wish = F.when(F.col("_step") == 0, F.col("base")).otherwise(F.concat_ws("-", "base", (F.col("id") + F.col("_step") - 1).cast("string")))
+    now = written(scenes.select("id", "base", F.lit(0).cast("long").alias("_step")).where("base is not null").withColumn("slug", wish))
+    while True:
+        first = F.min("id").over(Window.partitionBy("slug"))
+        lost = written(now.withColumn("_first", first).where("id != _first").select("id", "_step"))
+        if lost.isEmpty():
+            break
+        step = F.coalesce(lost["_step"] + 1, now["_step"])
+        now = written(now.join(lost, "id", "left").select("id", "base", step.alias("_step")).withColumn("slug", wish))
+    return scenes.join(now.select("id", "slug"), "id", "left")
 
 
 def partition_choice(stats: DataFrame, most: float = 0.1, low: float = 50, high: float = 2000) -> DataFrame:

@@ -316,9 +316,21 @@ def n4_breadth_floor(spark, d):
     return browse.broad_enough(support, both.groupBy("scene").agg(F.count_distinct("urn").alias("termed"))).select("scene", "term", "support", "termed")
 
 
-@query("""SELECT id, base, CASE WHEN n = 1 THEN base ELSE base || '-' || id END AS slug FROM (SELECT p_partkey AS id, lower(p_brand) AS base, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS n FROM part) x""")
+SCENE_NAMES = """SELECT p_partkey AS id, CASE WHEN p_partkey % 50 = 49 THEN NULL WHEN p_partkey % 3 = 1 THEN concat(p_brand, ' ', CAST(p_partkey + p_size % 3 AS {string})) ELSE p_brand END AS name FROM {part}"""
+
+
+@query(f"""WITH RECURSIVE n AS ({SCENE_NAMES.format(part='part', string='VARCHAR')}),
+    o AS (SELECT id, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS base, row_number() OVER (ORDER BY id) AS turn FROM n WHERE name IS NOT NULL),
+    r(turn, id, slug, used) AS (
+      SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[])
+      UNION ALL SELECT turn, id, slug, list_append(used, slug) FROM (
+        SELECT o.turn, o.id, used, CASE WHEN NOT list_contains(used, base) THEN base
+          ELSE list_filter(list_transform(range(o.id, o.id + o.turn + 1), lambda k: base || '-' || k), lambda x: NOT list_contains(used, x))[1] END AS slug
+        FROM r JOIN o ON o.turn = r.turn + 1) x)
+    SELECT n.id, name, slug FROM n LEFT JOIN (SELECT id, slug FROM r WHERE id IS NOT NULL) t ON t.id = n.id""")
 def g16_scene_slugs(spark, d):
-    return browse.slugs(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower("p_brand").alias("base")))
+    named = spark.sql(SCENE_NAMES.format(part="{part}", string="STRING"), part=table(spark, d, "part"))
+    return browse.slugs(named.withColumn("base", T.slugify(F.col("name")))).select("id", "name", "slug")
 
 
 @query("""SELECT c_custkey AS node, CASE WHEN n >= 20 THEN k END AS community FROM (SELECT c_custkey, c_nationkey * 100 + c_custkey % 9 AS k, count(*) OVER (PARTITION BY c_nationkey * 100 + c_custkey % 9) AS n FROM customer) x""")

@@ -2,12 +2,13 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from scenewright.functions import text as T
-from scenewright.operators import cache, merge, rollup, scenes, search, weights
+from scenewright.operators import browse, cache, merge, rollup, scenes, search, weights
 from scenewright.streaming import ingest
 
 
@@ -99,6 +100,29 @@ def test_naming(spark):
     assert math.isclose(got[1, "b"], 2 / 5 * math.log(1 + 3 / 2))
 
 
+def test_slugs_are_what_taking_turns_gives(spark):
+    def by_turns(rows):
+        used, out = set(), {}
+        for i, base in sorted(rows):
+            slug, k = base, i
+            while slug in used:
+                slug, k = f"{base}-{k}", k + 1
+            used.add(slug)
+            out[i] = slug
+        return out
+
+    def found(rows):
+        return {r.id: r.slug for r in browse.slugs(spark.createDataFrame(rows, "id long, base string")).collect()}
+
+    assert found([(1, "techno"), (5, "techno"), (7, "techno-5"), (9, None)]) == {1: "techno", 5: "techno-5", 7: "techno-5-7", 9: None}
+    assert found([(1, "techno"), (4, "techno-5"), (5, "techno"), (6, "techno")]) == {1: "techno", 4: "techno-5", 5: "techno-6", 6: "techno-7"}
+    draw = random.Random(4)
+    rows = [(i, draw.choice(["a", "b", f"a-{i + draw.randrange(4)}", f"a-{draw.randrange(90)}"])) for i in draw.sample(range(90), 60)]
+    got = found(rows)
+    assert got == by_turns(rows) and len(set(got.values())) == len(rows)
+    assert browse.slugs(spark.createDataFrame([], "id long, base string")).count() == 0
+
+
 def test_search(spark):
     rows = [("playlist", 1, "i", None, None, 5, None), ("track", 2, None, None, 9000, None, None), ("track", 3, None, None, 10, None, None), ("user", 4, None, 20, None, None, None)]
     df = spark.createDataFrame(rows, "kind string, id long, image string, followers long, plays long, likes long, tracks long")
