@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenewright.functions import text as T
-from scenewright.operators import browse, cache, merge, rollup, scenes, search, weights
+from scenewright.operators import browse, cache, merge, naming, rollup, scenes, search, weights
 from scenewright.streaming import ingest
 
 
@@ -123,6 +123,41 @@ def test_slugs_are_what_taking_turns_gives(spark):
     assert browse.slugs(spark.createDataFrame([], "id long, base string")).count() == 0
 
 
+def test_names_go_down_the_chain(spark):
+    """Twelve scenes of ten, so that terms of three to seven are in the vocabulary."""
+    members, terms, artists = [], [], []
+    city = {0: "Berlin", 5: "Leeds"}
+    for s in range(12):
+        for i in range(10):
+            urn = f"u{s}-{i}"
+            members.append((s, urn, float(i) if s != 1 else 0.0))
+            artists.append((urn, urn, city.get(s), None, "hub" if (s, i) == (3, 9) else "artist"))
+            say = lambda t, n=1: terms.append((urn, t, "genre", n))  # noqa: B023, E731
+            if s in (0, 1, 2):
+                say("Dub Techno", 9 - s)  # all three carry it: the first owns it
+            if s in (0, 1, 4) and i < 8 - s:
+                say("Noise")
+            if s in (0, 6, 7) and i < 4:
+                say("berlin", 50)  # a place
+            if s in (1, 2, 8):
+                say("dubtechno", 1)
+            if s in (9, 10, 11) and i < 5:
+                say("Jungle", 2)
+            if s in (3, 9, 10) and i == 9:
+                say("Rave", 99)  # by too few, and by a hub
+    told = naming.name_scenes(
+        spark.createDataFrame(members, "scene long, urn string, degree double"),
+        spark.createDataFrame(terms, "urn string, term string, kind string, evidence long"),
+        spark.createDataFrame(artists, "urn string, permalink string, city_raw string, country string, account_kind string"),
+    )
+    got = {r.scene: (r.name, r.tags) for r in told.collect()}
+    # scene 0 has most carriers of both terms, of equals the first; its tags count degrees, those of scene 1 can't
+    assert got[0] == ("Berlin Dub Techno · Noise", ["Dub Techno", "Noise"])
+    assert got[1] == ("Dub Techno · Noise", ["Dub Techno", "Noise"]) and got[2] == ("Dub Techno", ["Dub Techno"])
+    assert got[5] == ("Leeds", []) and got[9] == ("Jungle", ["Jungle"])
+    assert got[10][0] == "Jungle" and got[6] == (None, []) and got[3] == (None, [])
+
+
 def test_search(spark):
     rows = [("playlist", 1, "i", None, None, 5, None), ("track", 2, None, None, 9000, None, None), ("track", 3, None, None, 10, None, None), ("user", 4, None, 20, None, None, None)]
     df = spark.createDataFrame(rows, "kind string, id long, image string, followers long, plays long, likes long, tracks long")
@@ -172,8 +207,8 @@ def test_scene_batch_names_two_scenes(spark):
     rows = {r.scene: r for r in got.scenes.collect()}
     assert sorted(rows) == [7, 8, 9] and {r.members for r in rows.values()} == {8}
     named = {r.name for r in rows.values()}
-    # min_docs asks for terms of three scenes, so nothing is owned: the city, the most carried term, or below the floor none
-    assert named == {"Berlin", "Jungle", None}
-    assert rows[7].slug == "jungle" and [r.slug for r in rows.values() if r.name is None] == [None]
+    # the vocabulary asks for terms of three scenes, so no term names one: a city does, or nothing
+    assert named == {"Berlin", None}
+    assert rows[7].name is None and {r.slug for r in rows.values()} == {"berlin", None}
     assert {r.degree for r in got.members.where("urn = 'b01'").collect()} == {7.0}
     assert compute_scenes(edges.limit(0), artists, terms, before.limit(0)).scenes.count() == 0

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from scenewright import catalog, pages, reads  # noqa: F401  pages and reads add their queries to the catalog
+from scenewright import catalog, pages, reads, scene_queries  # noqa: F401  they add their queries to the catalog
 
 DATA = "/root/testdata/sf0.001"
 
