@@ -19,9 +19,11 @@ ROWS_PER_TASK = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in tests a temporary one set here."""
+    """The folder that all executors share: spark.checkpoint.dir, or, on one machine, a temporary one set here."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='shared-')}")
         at = _own[0]

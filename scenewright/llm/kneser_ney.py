@@ -8,10 +8,11 @@ probabilities still add up to one).
 The model is a table for each order. Joining them gives the cost of every distinct gram of the texts. The HEAD most
 frequent grams, at most, are broadcast as sorted arrays; the others, which are few of a text's, are joined by text.
 
-A document's verdict is its mean log-perplexity a byte against its language's band. With labelled documents, the band
-leaves out the LOST lowest and the LOST highest of those labelled good; without, it is the median of all documents that
-pass the base rules, and so many times the distance from there to the quartiles. The bands come from exact counts in
-bins of equal width, so they are the same in every run.
+A document's verdict is its mean log-perplexity a byte against its language's band. The band reaches so many times from
+the median of all documents that pass the base rules to their lower and upper quartiles. How many times, the documents
+labelled good say, LOST of which may lie outside on each side: those of the language itself, weighed by their number
+against OTHERS, and those of all languages, by one formula for any number of labels. Without labels it is BELOW and
+ABOVE. The bands come from exact counts in bins of equal width, so they are the same in every run.
 """
 
 from __future__ import annotations
@@ -32,16 +33,17 @@ from scenewright.llm.textbytes import LOWER, SPACE, Counts, Memo, find, grams, m
 ORDER = 5
 #: The occurrences in its language that a gram in the model has at least: all are in it.
 LEAST = 1
-#: Languages with fewer documents have one model in common.
-LEAST_LANGUAGE = 20
+#: Languages with a model of their own, the most frequent ones; all others, and null, share one.
+MOST_LANGUAGES = 1 << 16
 #: Grams whose costs are broadcast, at most.
 HEAD = 1 << 21
-#: Labelled good documents that may lie below the band, and above it, and how many of them a language's band needs.
-LOST, LEAST_LABELLED = 0.01, 100
-#: The band's reach below and above the median, in distances to the lower and the upper quartile, and the bins' width,
-#: in which the quartiles are told: a distance is one bin at least.
+#: Labelled good documents that may lie below the band, and above it, and how many of its own weigh as much in a
+#: language's band as those of all languages.
+LOST, OTHERS = 0.01, 200
+#: The band's reach without labels below and above the median, in distances to the lower and the upper quartile, and the
+#: width of the bins, in which the quartiles are told (a distance is one bin at least), and of those of the reach.
 BELOW, ABOVE = 8.0, 8.0
-BIN = 1e-4
+BIN, REACH_BIN = 1e-4, 0.01
 #: Fixed values of the query's contract.
 SYMBOLS, LEAST_WORDS, MOST_REPEATED = b"#*$%&|<>", 50, 50
 
@@ -108,10 +110,10 @@ def count_grams(df: DataFrame, text: str, language: str, languages: dict[str, in
 
 
 def train(df: DataFrame, text: str = "text", language: str = "lang") -> Model:
-    """The model of all documents of df. Documents of a null or rare language share one model."""
+    """The model of all documents of df, each language's own; documents of a null one share a model."""
     per = df.groupBy(F.col(language).cast("string").alias("language")).agg(F.count("*").alias("n"))
-    common = per.where(F.col("language").isNotNull() & (F.col("n") >= LEAST_LANGUAGE))
-    languages = {r[0]: i + 1 for i, r in enumerate(sorted(common.select("language").collect()))}  # one row a language
+    common = per.where("language is not null").orderBy(F.desc("n"), "language").limit(MOST_LANGUAGES)
+    languages = {r[0]: i + 1 for i, r in enumerate(sorted(common.select("language").collect()))}
     grams = cut(count_grams(df, text, language, languages))
     level, orders = grams.select("key", F.col("n").alias("a"), F.col("n").alias("raw")), []
     for k in range(ORDER, 0, -1):
@@ -237,35 +239,39 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
+def _quantiles(df: DataFrame, by: list[str], value: Column, width: float, **which: float) -> DataFrame:
+    """(by..., all, name...): the quantiles of value in each group, told in bins, and the number of its rows."""
+    counts = df.groupBy(*by, F.floor(value / width).cast("long").alias("_bin")).agg(F.count("*").alias("_n"))
+    sums = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_bin"))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    at = lambda q: (F.min(F.when(F.col("_upto") >= q * F.col("_all"), F.col("_bin"))) + 0.5) * width
+    return sums.groupBy(*by).agg(F.max("_all").alias("all"), *[at(q).alias(name) for name, q in which.items()])
+
+
 def bands(measured: DataFrame, language: str = "lang", good: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """(language, lower, upper) in nats a byte, of documents that pass the base rules; one row per language.
 
-    good: (key) of documents labelled good. A language with fewer than LEAST_LABELLED of them, or all if there are no
-    labels, has its band from the quartiles of all its documents. Keys that are null have no label."""
-    bin_ = F.floor(F.col("nats") / F.col("n_bytes") / BIN).cast("int")
-    passed = measured.where(~base_failed())
-    counted = lambda df: df.groupBy(F.col(language).alias("language"), bin_.alias("bin")).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("language").orderBy("bin")
-    all_ = Window.partitionBy("language")
-
-    def ranked(df: DataFrame) -> DataFrame:
-        return counted(df).withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(all_))
-
-    at = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) + 0.5) * BIN
-    quarters = ranked(passed).groupBy("language").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
-    reach = lambda d: F.greatest(d, F.lit(BIN))
-    found = quarters.select(
-        "language",
-        (F.col("q2") - BELOW * reach(F.col("q2") - F.col("q1"))).alias("lower"),
-        (F.col("q2") + ABOVE * reach(F.col("q3") - F.col("q2"))).alias("upper"),
-    )
-    if good is None:
-        return found
-    labelled = passed.join(good.select(F.col(key).alias(key)).distinct(), key, "left_semi")
-    edges = ranked(labelled).where(F.col("all") >= LEAST_LABELLED).groupBy(F.col("language").alias("of"))
-    edges = edges.agg((at(LOST) - BIN).alias("low"), (at(1 - LOST) + BIN).alias("high"))
-    out = found.join(edges, F.col("language").eqNullSafe(F.col("of")), "left")
-    return out.select("language", F.coalesce("low", "lower").alias("lower"), F.coalesce("high", "upper").alias("upper"))
+    good: (key) of documents labelled good; keys that are null have no label. A document on an edge is inside."""
+    x = F.col("nats") / F.col("n_bytes")
+    passed = measured.where(~base_failed()).withColumn("language", F.col(language))
+    found = _quantiles(passed, ["language"], x, BIN, q1=0.25, q2=0.5, q3=0.75)
+    down, up = F.greatest(F.col("q2") - F.col("q1"), F.lit(BIN)), F.greatest(F.col("q3") - F.col("q2"), F.lit(BIN))
+    below, above = F.lit(BELOW), F.lit(ABOVE)
+    found = found.select("language", "q2", down.alias("down"), up.alias("up"))
+    if good is not None:
+        found = cut(found)
+        labelled = passed.join(good.select(F.col(key).alias(key)).distinct(), key, "left_semi").select(F.col("language").alias("of"), x.alias("x"))
+        labelled = cut(labelled.join(found, F.col("of").eqNullSafe(F.col("language"))).select("of", ((F.col("q2") - F.col("x")) / F.col("down")).alias("below"), ((F.col("x") - F.col("q2")) / F.col("up")).alias("above")))
+        told = lambda by, side, n: _quantiles(labelled, by, F.col(side), REACH_BIN, reach=1 - LOST).select(*by, F.col("all").alias(f"n_{n}"), F.col("reach").alias(n))
+        for side, usual in (("below", BELOW), ("above", ABOVE)):
+            every = told([], side, f"all_{side}").first()  # one row; nulls without labels
+            pooled = usual if every is None or every[1] is None else float(every[1])
+            own = told(["of"], side, f"own_{side}")
+            found = found.join(own, F.col("language").eqNullSafe(F.col("of")), "left").drop("of")
+            n = F.coalesce(f"n_own_{side}", F.lit(0))
+            reach = (n * F.coalesce(f"own_{side}", F.lit(0.0)) + OTHERS * pooled) / (n + OTHERS) + REACH_BIN
+            found = found.withColumn(side, reach).drop(f"n_own_{side}", f"own_{side}")
+        below, above = F.col("below"), F.col("above")
+    return found.select("language", (F.col("q2") - below * F.col("down") - BIN).alias("lower"), (F.col("q2") + above * F.col("up") + BIN).alias("upper"))
 
 
 def judge(measured: DataFrame, found: DataFrame, language: str = "lang") -> DataFrame:

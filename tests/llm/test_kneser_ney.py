@@ -4,6 +4,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 import pyarrow as pa
 
 from scenewright.llm import kneser_ney as K
@@ -154,6 +156,31 @@ def test_labels_set_the_band(spark):
     assert len(kept & set(range(400))) >= 390 and not kept & set(range(1000, 1050)) and {None, 2000} <= kept
 
 
+@pytest.mark.parametrize("labels", [0, 1, 5, 40, 400])
+def test_one_rule_for_any_number_of_labels(spark, labels):
+    """A language with few labels, or none, rejects its junk by the reach that the others' labels tell; its own labels
+    move the band the more, the more there are."""
+    rows = [(i, "en", 100, 0, 1000, 1000 * (1.5 + (i % 200 - 100) / 5000)) for i in range(1000)]
+    rows += [(5000 + i, "fr", 100, 0, 1000, 1000 * (1.7 + (i % 200 - 100) / 2500)) for i in range(600)]
+    rows += [(9000 + i, "fr", 100, 0, 1000, 1000 * (1.7 + 0.09 * (-1) ** i)) for i in range(40)]
+    rows += [(9900, None, 100, 0, 1000, 1500.0), (9901, "xx", 100, 0, 1000, 900.0)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, n_repeat_words long, n_bytes long, nats double")
+    some = [5000 + (k * 397 + 61) % 600 for k in range(labels)]
+    good = df.where((F.col("doc_id") < 1000) | F.col("doc_id").isin(some)).select("doc_id")
+    judged = K.judge(df, K.bands(df, good=good)).collect()
+    kept = {r.doc_id for r in judged if r.kept}
+    assert len(kept & set(range(1000))) >= 980 and len(kept & set(range(5000, 5600))) >= 588
+    assert not kept & set(range(9000, 9040)) and {9900, 9901} <= kept
+    none = {r.doc_id for r in K.judge(df, K.bands(df, good=good.limit(0))).where("kept").collect()}
+    assert none == {r.doc_id for r in K.judge(df, K.bands(df)).where("kept").collect()}
+
+
+def test_a_document_on_the_edge_is_inside(spark):
+    df = spark.createDataFrame([(i, "en", 100, 0, 1000, 1000.0 * x) for i, x in enumerate((1.0, 2.0, 0.999, 2.001))], "doc_id long, lang string, n_words long, n_repeat_words long, n_bytes long, nats double")
+    band = spark.createDataFrame([("en", 1.0, 2.0)], "language string, lower double, upper double")
+    assert [r.kept for r in K.judge(df, band).orderBy("doc_id").collect()] == [True, True, False, False]
+
+
 def test_memo_forgets_but_never_errs():
     memo = B.Memo(lambda k: (k % np.uint64(97)).astype(float), bits=4)
     draw = np.random.default_rng(0)
