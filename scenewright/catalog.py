@@ -312,7 +312,7 @@ def a9_in_scene_degree(spark, d):
 
 
 @query("""WITH s AS (SELECT n_nationkey AS community, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
-    SELECT (SELECT count(*) FROM s WHERE n >= 20) AS count, CAST(max(n) AS DOUBLE) / sum(n) AS largest, (SELECT coalesce(quantile_cont(n, 0.5), 0.0) FROM s WHERE n >= 20) AS median FROM s""")
+    SELECT count(*) AS count, CAST(max(n) AS DOUBLE) / sum(n) AS largest, (SELECT coalesce(quantile_cont(n, 0.5), 0.0) FROM s WHERE n >= 20) AS median FROM s""")
 def a16_partition_stats(spark, d):
     return scenes.partition_stats(spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_nationkey").alias("community")))
 

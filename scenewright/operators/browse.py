@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from scenewright.functions.text import activity_line
 from scenewright.operators import rollup
-from scenewright.operators.scenes import scene_home, written
+from scenewright.operators.scenes import scene_home
+from scenewright.operators.tables import written
 
 
 def first(df: DataFrame, n: int, *order, by: list[str] = (), name: str = "place") -> DataFrame:
@@ -114,8 +115,9 @@ def slugs(scenes: DataFrame) -> DataFrame:
 
 def partition_choice(stats: DataFrame, most: float = 0.1, low: float = 50, high: float = 2000) -> DataFrame:
     """The best row of stats (resolution, largest, median): none that puts too much into one community if another does
-    not, then the median nearest to [low, high], then the lesser resolution, then the smaller largest community."""
-    away = F.when(F.col("median") == 0, F.lit(float("inf"))).otherwise(F.greatest(F.lit(0.0), low - F.col("median"), F.col("median") - high))
+    not, then the median nearest to [low, high], in shares of the bound that it misses, then the lesser resolution (of
+    those that put too much into one, the smaller largest community first)."""
+    away = F.when(F.col("median") == 0, F.lit(float("inf"))).otherwise(F.greatest(F.lit(0.0), (low - F.col("median")) / low, (F.col("median") - high) / high))
     order = F.when(F.col("largest") > most, F.struct(F.lit(1).alias("bad"), away.alias("a"), F.col("largest").alias("b"), F.col("resolution").cast("double").alias("c"))).otherwise(
         F.struct(F.lit(0).alias("bad"), away.alias("a"), F.col("resolution").cast("double").alias("b"), F.col("largest").alias("c"))
     )

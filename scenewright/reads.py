@@ -339,7 +339,7 @@ def g11_dust_pooled(spark, d):
 
 
 @query("""WITH s AS (SELECT CAST(p_size AS DOUBLE) AS resolution, max(p_retailprice) / sum(p_retailprice) AS largest, CAST(count(*) AS DOUBLE) AS median FROM part GROUP BY p_size)
-    SELECT * FROM s ORDER BY largest > 0.1, greatest(0, 50 - median, median - 2000), CASE WHEN largest > 0.1 THEN largest ELSE resolution END, CASE WHEN largest > 0.1 THEN resolution ELSE largest END LIMIT 1""")
+    SELECT * FROM s ORDER BY largest > 0.1, CASE WHEN median = 0 THEN 1e300 ELSE greatest(0, (50 - median) / 50, (median - 2000) / 2000) END, CASE WHEN largest > 0.1 THEN largest ELSE resolution END, CASE WHEN largest > 0.1 THEN resolution ELSE largest END LIMIT 1""")
 def g8_partition_choice(spark, d):
     stats = table(spark, d, "part").groupBy(F.col("p_size").cast("double").alias("resolution"))
     return browse.partition_choice(stats.agg((F.max("p_retailprice") / F.sum("p_retailprice")).alias("largest"), F.count("*").cast("double").alias("median")))

@@ -90,6 +90,41 @@ def test_louvain_separates_cliques(spark):
     assert scenes.sub_communities(e, one, one, 0.5, most=10).select("community").distinct().count() == 1
 
 
+def test_modularity_never_falls_and_planted_groups_are_found(spark):
+    draw = random.Random(9)
+    nodes = range(60)
+    ties = {(a, b): 1.0 + draw.random() for a in nodes for b in nodes if a < b and draw.random() < (0.6 if a % 4 == b % 4 else 0.04)}
+    ties |= {(0, b): 0.5 for b in nodes if b}  # one node is tied to all
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in ties.items()], "u long, v long, weight double")
+    levels = []
+    found = scenes.sweep(e, [0.5, 1.0], least=0.0, levels=levels)
+    rows = found.collect()
+    assert sorted((r.resolution, r.node) for r in rows) == [(x, n) for x in (0.5, 1.0) for n in nodes]
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.resolution, r.community), []).append(r.node)
+    assert all(min(ns) == c for (_, c), ns in groups.items())
+    for x in (0.5, 1.0):
+        risen = [scenes.modularity(e, f.where(F.col("resolution") == x), x) for f in levels]
+        assert all(b >= a - 1e-9 for a, b in zip(risen, risen[1:]))
+    planted = spark.createDataFrame([(n, n % 4) for n in nodes], "node long, community long")
+    assert scenes.modularity(e, found.where("resolution = 1.0")) >= scenes.modularity(e, planted) - 0.01
+    # whatever moves at once, what they gain together is what modularity says
+    labels = spark.createDataFrame([(n, n % 7) for n in nodes], "node long, c long")
+    both = e.toDF("a", "b", "w").union(e.select("v", "u", "weight"))
+    total = sum(ties.values())
+    rates = spark.createDataFrame([(n, 1 / (2 * total), 0, total) for n in nodes], "node long, rate double, g long, m double")
+    degree = both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).join(rates, "node")
+    wish = scenes._wishes(both, labels, degree).where("node % 2 = 0")
+    gained = scenes._gained(both, labels, degree, wish).first().gained
+    after = labels.join(wish.select("node", "to"), "node", "left").select("node", F.coalesce("to", "c").alias("community"))
+    rise = scenes.modularity(e, after) - scenes.modularity(e, labels.toDF("node", "community"))
+    assert math.isclose(gained / total, rise, abs_tol=1e-9)
+    apart = scenes._apart(wish).collect()
+    touched = [x for r in apart for x in (r.c, r.to)]
+    assert apart and len(touched) == len(set(touched))
+
+
 def test_naming(spark):
     pick = lambda rows: spark.createDataFrame([(rows,)], "r array<struct<score:double,term:string>>").select(scenes.picked(F.col("r"))).first()[0]
     assert pick([(1.0, "dub techno"), (0.9, "techno"), (0.8, "ambient"), (0.4, "noise")]) == ["dub techno", "ambient"]
