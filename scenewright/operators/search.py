@@ -9,14 +9,18 @@ from pyspark.sql.window import Window
 from scenewright.functions.text import similarity
 
 
-def matches(query: str, title: Column, owner: Column) -> Column:
-    q = F.lit(query.lower())
+def _lower(query: str | Column) -> Column:
+    return F.lower(F.lit(query) if isinstance(query, str) else query)
+
+
+def matches(query: str | Column, title: Column, owner: Column) -> Column:
+    q = _lower(query)
     one = lambda x: F.contains(F.lower(x), q) | (similarity(F.lower(x), q) > 0.7)
     return one(F.coalesce(title, F.lit(""))) | one(F.coalesce(owner, F.lit("")))
 
 
-def relevance(query: str, title: Column, owner: Column, followers: Column, likes: Column, plays: Column) -> Column:
-    q = F.lit(query.lower())
+def relevance(query: str | Column, title: Column, owner: Column, followers: Column, likes: Column, plays: Column) -> Column:
+    q = _lower(query)
 
     def text(x: Column) -> Column:
         x = F.lower(F.coalesce(x, F.lit("")))
