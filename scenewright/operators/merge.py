@@ -39,19 +39,21 @@ def merge_engagement(observed: DataFrame) -> DataFrame:
 
 def merge_queue(queue: DataFrame) -> DataFrame:
     """(urn, depth, status, priority) after folding enqueue events (urn, at, depth) and finish events (urn, at, depth
-    null, status) in time order: a finished entry comes back only for a strictly lesser depth; each enqueue after the
-    first raises the priority by one."""
-    events = F.array_sort(F.collect_list(F.struct("at", "depth", "status")))
-    start = F.struct(F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("status"), F.lit(-1).cast("long").alias("priority"))
-
-    def step(s, e):
-        enqueue = e["depth"].isNotNull()
-        new = enqueue & (s["depth"].isNull() | (s["status"].isin("done", "failed") & (e["depth"] < s["depth"])))
-        status = F.when(new, "pending").when(enqueue, s["status"]).otherwise(F.coalesce(e["status"], s["status"]))
-        depth = F.when(enqueue, F.least(F.coalesce(s["depth"], e["depth"]), e["depth"])).otherwise(s["depth"])
-        return F.struct(depth.alias("depth"), status.alias("status"), (s["priority"] + F.when(enqueue, 1).otherwise(0)).alias("priority"))
-
-    return queue.groupBy("urn").agg(F.aggregate(events, start, step).alias("q")).select("urn", "q.*")
+    null, status) in time order, of one instant the enqueues first: a finished entry comes back only for a strictly
+    lesser depth; each enqueue after the first raises the priority by one.
+
+    Only the last finish counts: an entry is open again if it was found at a lesser depth after it than before. So an
+    urn's history is two rounds of sums, and no list, however long it is."""
+    last = queue.where("depth is null").groupBy("urn").agg(F.max("at").alias("_end"), F.max_by("status", F.struct("at", "status")).alias("_status"))
+    told = queue.where("depth is not null").join(last, "urn", "full")
+    after = F.col("at") > F.col("_end")
+    sums = told.groupBy("urn").agg(
+        F.min("depth").alias("depth"), F.min(F.when(after, F.col("depth"))).alias("_late"), F.min(F.when(~after, F.col("depth"))).alias("_early"),
+        F.count("depth").alias("_n"), F.max("_status").alias("_status"),
+    )
+    again = F.col("_late").isNotNull() & F.coalesce(F.col("_late") < F.col("_early"), F.lit(True))
+    status = F.when(F.col("_status").isNull() | again, "pending").otherwise(F.col("_status"))
+    return sums.select("urn", "depth", status.alias("status"), (F.col("_n") - 1).alias("priority"))
 
 
 def reprioritized(queue: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,6 +78,12 @@ def mark_failed(queue: DataFrame, failed: DataFrame) -> DataFrame:
     return told.withColumn("status", status).withColumn("attempts", tried).drop("_failed")
 
 
+def mark_done(queue: DataFrame, done: DataFrame) -> DataFrame:
+    """Entries (urn, status) with those of done (urn) that were in progress done."""
+    told = queue.join(done.select("urn", F.lit(True).alias("_done")).distinct(), "urn", "left")
+    return told.withColumn("status", F.when(F.col("_done") & (F.col("status") == "in_progress"), "done").otherwise(F.col("status"))).drop("_done")
+
+
 def reset_in_progress(queue: DataFrame) -> DataFrame:
     """After a crash, what was in progress is pending again."""
     return queue.withColumn("status", F.when(F.col("status") == "in_progress", "pending").otherwise(F.col("status")))

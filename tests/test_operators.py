@@ -1,6 +1,5 @@
 """Small pinned results of the atlas operators."""
 
-import json
 import math
 import random
 
@@ -208,18 +207,6 @@ def test_cache(spark):
     assert (got["k"].value, got["k"].fresh_until, got["k"].created_at, got["k"].s, got["j"].s) == ("2", 300_500, 0, "fresh", "stale")
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    rows = [{"src": "a", "dst": str(i % 3), "type": "follow", "weight": float(i), "seen": i} for i in range(12)]
-    schema = "src string, dst string, type string, weight double, seen long"
-    fold = lambda df: df.groupBy("src", "dst", "type").agg(F.max("weight").alias("weight"), F.max("seen").alias("seen"))
-    for k in range(3):
-        (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, rows[k::3])))
-        ingest.ingest(spark, str(tmp_path / "in"), schema, fold, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out/version=2").select("dst", "weight", "seen").collect()
-    assert {tuple(r) for r in got} == {(str(d), float(9 + d), 9 + d) for d in range(3)}
-
-
 @pytest.mark.parametrize("late", ["1 day"])
 def test_recent_counts(spark, late):
     df = spark.createDataFrame([("2024-01-01 01:00:00", "a"), ("2024-01-01 23:00:00", "a"), ("2024-01-02 00:00:00", "a")], "t string, event_type string").withColumn("ts", F.col("t").cast("timestamp"))
