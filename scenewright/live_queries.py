@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from scenewright.catalog import query
 from scenewright.functions import text as T
-from scenewright.operators import history
+from scenewright.operators import history, merge
+from scenewright.operators.tables import scratch
+from scenewright.sources.store import Store
 
 
 def table(spark, d, name):
@@ -45,3 +47,43 @@ def r3_steadied_searches(spark, d):
     searches = history.searches_of(rows, *found).select("key", "seq", "ts", "query", "results")
     shown = history.steadied(history.with_past(searches, 6, 3 * 86400))
     return shown.withColumn("score", T.rounded(F.col("score"), 6))
+
+
+# --- crawls and merges ------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS src, CAST(event_id % 97 AS VARCHAR) AS dst, event_type AS type, max(value) AS weight, CAST(min(event_id) AS BIGINT) AS first_seen, CAST(max(event_id) AS BIGINT) AS last_seen FROM events GROUP BY 1, 2, 3""")
+def st4_bucketed_ingest(spark, d):
+    """All events as sightings of ties, merged into a store in three batches, one of them twice."""
+    seen = table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("src"), (F.col("event_id") % 97).cast("string").alias("dst"), F.col("event_type").alias("type"), F.col("value").alias("weight"),
+        F.col("event_id").alias("first_seen"), F.col("event_id").alias("last_seen"),
+    )
+    store = Store(spark, scratch(spark))
+
+    def fold(both):
+        return both.groupBy("src", "dst", "type").agg(F.max("weight").alias("weight"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+    for number in (0, 1, 1, 2):
+        store.merge("edges", seen.where(F.col("first_seen") % 3 == number), ["src", "dst"], fold, "events", number, 8)
+    return store.read("edges")
+
+
+ENTRIES = "SELECT o_orderkey AS urn, CAST(CASE o_orderstatus WHEN 'O' THEN 'in_progress' WHEN 'F' THEN 'pending' ELSE 'failed' END AS {string}) AS status, CAST(o_custkey % 3 AS INTEGER) AS attempts FROM {orders}"
+
+
+@query(f"""WITH q AS ({ENTRIES.replace('{string}', 'VARCHAR').replace('{orders}', 'orders')})
+    SELECT urn, CASE WHEN status = 'in_progress' AND urn % 4 = 1 THEN 'done' ELSE status END AS status FROM q""")
+def u11_mark_done(spark, d):
+    queue = spark.sql(ENTRIES.replace("{string}", "STRING"), orders=table(spark, d, "orders"))
+    return merge.mark_done(queue, queue.where("urn % 4 = 1").select("urn")).select("urn", "status")
+
+
+@query("""WITH e AS (SELECT user_id AS urn, event_id AS n, CASE WHEN event_type IN ('error', 'purchase') THEN NULL ELSE event_id % 5 END AS depth FROM events),
+    t AS (SELECT urn, max(n) AS last FROM e WHERE depth IS NULL GROUP BY urn)
+    SELECT e.urn, min(depth) AS depth, CASE WHEN any_value(last) IS NULL OR min(CASE WHEN n > last THEN depth END) < coalesce(min(CASE WHEN n < last THEN depth END), 99) THEN 'pending' ELSE 'done' END AS status, count(depth) - 1 AS priority
+    FROM e LEFT JOIN t ON t.urn = e.urn GROUP BY e.urn""")
+def u8_queue_history(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("urn"), F.col("event_id").alias("at"), "event_type")
+    ends = F.col("event_type").isin("error", "purchase")
+    return merge.merge_queue(e.select("urn", "at", F.when(~ends, F.col("at") % 5).alias("depth"), F.when(ends, "done").alias("status")))

@@ -24,12 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/atlas/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and a lost executor costs nothing done before."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/atlas/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
