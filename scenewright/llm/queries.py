@@ -144,7 +144,7 @@ def op4_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     copy = pages.where(~F.startswith(digest, F.lit("01"))).withColumn("html", rotten)
     record = merkle.warc_record(F.col("page_id"), F.col("url"), F.col("html"))
     a = merkle.replica(pages, "page_id", record)
-    found = merkle.audit(a, merkle.replica(copy, "page_id", record)).where("status != 'extra'")
+    found = merkle.audit(a, merkle.replica(copy, "page_id", record)).where("status in ('damaged', 'missing')")
     found = found.select(F.col("key").alias("k"), F.col("digest").alias("d"), "status")
     out = a.records.join(found, F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left")
     return out.select(
