@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scenewright.llm.common import cut
+from scenewright.llm.common import cut, join_hot
 from scenewright.llm.graph import components
 
 #: Neighbours in a list at first, and links beyond which a list isn't enlarged any more in one pass (it doubles).
@@ -35,7 +35,7 @@ TABLES = 4
 #: Rounds of refinement at most; a round that changes less than LITTLE of the lists is the last.
 ROUNDS, LITTLE = 5, 0.01
 #: Cells of the audit (expected), the recall that it asks for, passes until it is met, each with twice the tables of
-#: the one before, and the recall below which the last one ends in an error.
+#: the one before, and the recall below which, after the last one, blocks are compared with blocks.
 AUDIT, RECALL, PASSES, LEAST_RECALL = 256, 0.98, 6, 0.95
 #: Angles are known up to this.
 EPS = 1e-6
@@ -47,7 +47,9 @@ def _planes(dim: int, seed: int) -> np.ndarray:
 
 
 def _unit(vectors: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), np.float32).reshape(len(vectors), -1).astype(np.float64)
+    """Vectors of one length as rows of length 1, in double precision. Their first byte is the width of a number."""
+    kind = np.float32 if vectors[0][0] == 4 else np.float64
+    x = np.frombuffer(b"".join([v[1:] for v in vectors]), kind).reshape(len(vectors), -1).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # else squares of very large or small numbers are lost
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -60,8 +62,9 @@ def valid(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(node, label, dim, vec, m, least): the vectors that may link, equal ones as one with their number and smallest
     key. A node is named by a 64-bit hash of its label and vector, as keys may repeat."""
     good = valid_rows(df, key, vector, label).where("vec is not null")
+    width = F.ascii(F.substring(F.col("vec"), 1, 1).cast("string"))  # 4 or 8
     return good.groupBy("label", "vec").agg(F.min("key").alias("least"), F.count("*").alias("m")).select(
-        F.xxhash64("label", "vec").alias("node"), "label", (F.length("vec") / 4).cast("int").alias("dim"), "vec", "m", "least"
+        F.xxhash64("label", "vec").alias("node"), "label", ((F.length("vec") - 1) / width).cast("int").alias("dim"), "vec", "m", "least"
     )
 
 
@@ -80,7 +83,8 @@ def _blocks(nodes: DataFrame, seed: int) -> DataFrame:
             sizes = np.array([len(v) for v in vec])
             for size in np.unique(sizes):
                 own = np.flatnonzero(sizes == size)
-                signs = _unit([vec[k] for k in own]) @ _planes(int(size) // 4, seed) > 0
+                x = _unit([vec[k] for k in own])
+                signs = x @ _planes(x.shape[1], seed) > 0
                 code[own] = signs @ (1 << np.arange(PLANES)[::-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code)], names=[*names, "_code"])
 
@@ -272,7 +276,7 @@ def _audit(lists: DataFrame, nodes: DataFrame, theta: float, seed: int) -> tuple
 
 def neighbours(nodes: DataFrame, theta: float) -> tuple[DataFrame, float]:
     """(lists, recall): the refined lists (i, j, s, k) of nodes with radii, and the audited recall of near pairs."""
-    lists = _refine(cut(_top(_start(nodes, list(range(TABLES))))), nodes)
+    lists, extra = _refine(cut(_top(_start(nodes, list(range(TABLES))))), nodes), None
     for turn in range(PASSES):
         while True:  # lists full of near pairs are enlarged, and their surroundings refined
             near = _near(lists, nodes, theta)
@@ -287,17 +291,42 @@ def neighbours(nodes: DataFrame, theta: float) -> tuple[DataFrame, float]:
             lists = _refine(lists, nodes, cut(around))
             if lists.count() == before:  # nothing further lies near them
                 break
-        recall, lacking = _audit(lists, nodes, theta, 100 + turn)
-        wide = F.lit(1 << 30)  # what the audit has found stays, however full the list
-        lacking = lacking.select("i", "j", "s", wide.alias("k"))
+        # what an audit has found stays beside the lists, however full they are
+        held = lists if extra is None else lists.unionByName(extra)
+        recall, lacking = _audit(held, nodes, theta, 100 + turn)
+        lacking = lacking.select("i", "j", "s", F.lit(1 << 30).alias("k"))
+        extra = lacking if extra is None else extra.unionByName(lacking)
         if recall >= RECALL:
             break
-        tables = TABLES << (turn + 1)
-        more = _start(nodes, [1000 * (turn + 1) + t for t in range(tables)]).unionByName(lacking.withColumn("k", F.lit(2 * K)))
-        lists = _refine(cut(_top(lists.unionByName(more.select("i", "j", "s", "k")))), nodes)
-    if recall < LEAST_RECALL:
-        raise RuntimeError(f"NN-descent found {recall:.3f} of the audited pairs after {PASSES} passes; {LEAST_RECALL} are asked for")
-    return lists.unionByName(lacking), recall
+        if turn + 1 < PASSES:
+            tables = TABLES << (turn + 1)
+            more = _start(nodes, [1000 * (turn + 1) + t for t in range(tables)]).unionByName(lacking.withColumn("k", F.lit(2 * K)))
+            lists = _refine(cut(_top(lists.unionByName(more.select("i", "j", "s", "k")))), nodes)
+    if recall < LEAST_RECALL:  # all blocks against all of their label, which loses none
+        return lists.unionByName(_all_near(nodes, theta)), 1.0
+    return lists.unionByName(extra), recall
+
+
+def _all_near(nodes: DataFrame, theta: float) -> DataFrame:
+    """(i, j, s, k) of all pairs of cells of one label that may hold links. Labels are dealt by a hash into blocks of about
+    BLOCK cells, and each pair of blocks is compared by itself: only near pairs come out."""
+    n = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = nodes.join(n, ["label", "dim"]).withColumn("part", F.pmod(F.xxhash64(F.lit("all"), "node"), F.col("parts")).cast("int"))
+    rows = dealt.select("label", "dim", "part", "parts", "node", "radius", "vec")
+    # each cell goes to the pairs of blocks that its own is one of
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("part")).alias("p"), F.greatest(q, F.col("part")).alias("q")))
+    told = rows.withColumn("pair", F.explode(pairs)).select("label", "dim", "pair.p", "pair.q", "part", "node", "radius", "vec")
+
+    def near(block: pa.Table) -> pa.Table:
+        node, radius, part = (block.column(c).to_numpy() for c in ("node", "radius", "part"))
+        x = _unit(block.column("vec").to_pylist())
+        p, q = block.column("p")[0].as_py(), block.column("q")[0].as_py()
+        a, b = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        sim = x[a] @ x[b].T
+        i, j = np.nonzero((_angle(sim) <= theta + radius[a][:, None] + radius[b][None, :] + EPS) & (node[a][:, None] != node[b][None, :]))
+        return pa.table({"i": node[a][i], "j": node[b][j], "s": sim[i, j]})
+
+    return told.groupBy("label", "dim", "p", "q").applyInArrow(near, "i long, j long, s double").withColumn("k", F.lit(1 << 30))
 
 
 def _members_compared(pairs: DataFrame, members: DataFrame, nodes: DataFrame, pivots: DataFrame, cosine: float) -> DataFrame:
@@ -336,9 +365,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     `cosine`; vectors of unequal length don't. A vector that is null, empty, all zeros, or holds a null or non-finite
     number, and a row without key or label, links with nothing and is its own component. Rows with equal vectors link
     with each other like any others; a row that repeats a key is a vertex of its own, whose vector decides. An empty
-    table gives an empty one. Columns of df other than the three play no part. Components of vectors are held in single
-    precision and compared in double. recall is the audit's, weighed by pairs of vectors; a recall below LEAST_RECALL
-    is an error."""
+    table gives an empty one. Columns of df other than the three play no part. Arrays of doubles are
+    compared as such, all others as single floats, both in double precision. recall is the audit's, weighed by pairs of vectors."""
     theta = math.acos(cosine)
     nodes = cut(valid(df, key, vector, label))
     pivots, members = cells(nodes, theta / 2 - EPS)
@@ -360,13 +388,14 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         .join(label_of.toDF("pivot", "c"), "pivot", "left")
         .withColumn("c", F.coalesce("c", "pivot"))
     )
-    told = cut(told.join(nodes.select("node", "label", "vec", "least"), "node"))
+    told = cut(told.join(nodes.select("node", "label", "vec", "least", "m"), "node"))
     least = told.groupBy("c").agg(F.min("least").alias("component_id"))
     links = F.col("size") - 1 + F.coalesce("cell_links", F.lit(0)) + F.coalesce("node_links", F.lit(0))
-    told = cut(told.join(least, "c").select("label", "vec", "component_id", links.alias("n_links")))
-    # each row finds its vector's node by the vector itself
-    rows = valid_rows(df, key, vector, label)
-    out = rows.join(told.select("label", "vec", "n_links", "component_id"), ["label", "vec"], "left")
+    told = cut(told.join(least, "c").select(F.struct("label", "vec").alias("own"), "component_id", links.alias("n_links"), "m"))
+    # each row finds its vector's node by the vector itself; vectors of many rows are sent to all tasks
+    rows = cut(valid_rows(df, key, vector, label).select("key", F.when(F.col("vec").isNotNull(), F.struct("label", "vec")).alias("own")))
+    linked = join_hot(rows.where("own is not null"), told, "own", "m", rows.count())
+    out = linked.select("key", "n_links", "component_id").unionByName(rows.where("own is null").select("key"), allowMissingColumns=True)
     return out.select(
         F.col("key").alias(key),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -377,23 +406,30 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
 
 def valid_rows(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(key, label, vec) of every row; vec as in valid(), null where the row can't link."""
+    """(key, label, vec) of every row; vec as in valid(), null where the row can't link. An array of doubles keeps its
+    precision, any other is one of single floats; the first byte of vec tells which (8 or 4)."""
+    double = df.schema[vector].dataType.simpleString() in ("array<double>", "array<bigint>", "array<int>")
+    kind, arrow = (np.float64, pa.float64()) if double else (np.float32, pa.float32())
+    width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             given = batch.column(3)
             length = given.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            x = given.flatten().cast(pa.float32()).fill_null(np.nan).to_numpy(zero_copy_only=False) + np.float32(0)  # -0 is 0
+            x = given.flatten().cast(arrow).fill_null(np.nan).to_numpy(zero_copy_only=False) + kind(0)  # -0 is 0
             at = np.r_[0, np.cumsum(length)]
             within = lambda marks, at=at: np.diff(np.r_[0, np.cumsum(marks)][at])
             good = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool) & (within(~np.isfinite(x)) == 0) & (within(x != 0) > 0)
-            held = [pa.py_buffer(np.packbits(good, bitorder="little")), pa.py_buffer((4 * at).astype(np.int64)), pa.py_buffer(x)]
+            starts = width * at + np.arange(len(at))  # each vector behind one byte
+            raw = np.full(int(starts[-1]), width, np.uint8)
+            raw[np.arange(width * len(x)) + np.repeat(np.arange(len(length)) + 1, width * length)] = x.view(np.uint8)
+            held = [pa.py_buffer(np.packbits(good, bitorder="little")), pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(raw)]
             vec = pa.Array.from_buffers(pa.large_binary(), len(good), held).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vec], names=["key", "label", "vec"])
 
-    kind = df.schema[label].dataType.simpleString()
+    of_label = df.schema[label].dataType.simpleString()
     given = df.select(
         F.col(key).cast("long").alias("key"), F.col(label).alias("label"),
-        (F.col(key).isNotNull() & F.col(label).isNotNull()).alias("ok"), F.col(vector).cast("array<float>").alias("v"),
-    )
-    return given.mapInArrow(run, f"key long, label {kind}, vec binary")
+        (F.col(key).isNotNull() & F.col(label).isNotNull()).alias("ok"), F.col(vector).cast(f"array<{'double' if double else 'float'}>").alias("v"),
+    )
+    return given.mapInArrow(run, f"key long, label {of_label}, vec binary")

@@ -93,3 +93,29 @@ def test_many_equal_vectors(spark):
     rows = [(i, [1.0, 2.0], 1, "x", 0) for i in range(3000)] + [(9000, [2.0, -1.0], 1, "x", 0)]
     got = N.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {(r.n_links, r.component_id) for r in got if r.vec_id < 3000} == {(2999, 0)} and (0, 9000) in {(r.n_links, r.component_id) for r in got}
+
+
+def test_doubles_keep_their_precision(spark):
+    rows = [(1, [1e300, 0.0], 1), (2, [1e300, 0.0], 1), (3, [1e-300, 1e-310], 1), (4, [0.0, 1e200], 1), (5, [1e-320, 5e200], 1), (6, None, 1)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+    edge = [(1, [1.0, 0.0], 1), (2, [0.93, math.sqrt(1 - 0.93**2) - 1e-12], 1), (3, [0.93, math.sqrt(1 - 0.93**2) + 1e-9], 1)]
+    got = N.near_duplicates(spark.createDataFrame(edge, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_one_vector_on_a_third_of_the_rows(spark):
+    rows = vectors(3, n_groups=30)
+    rows += [(100_000 + i, rows[0][1], rows[0][2], "x", 1) for i in range(len(rows) // 2)]
+    got = N.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows, 0.93)
+
+
+def test_blocks_against_blocks_where_the_descent_finds_too_little(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 32)
+    monkeypatch.setattr(N, "PASSES", 1)
+    monkeypatch.setattr(N, "RECALL", 1.1)
+    monkeypatch.setattr(N, "LEAST_RECALL", 1.1)
+    rows = vectors(8, n_groups=25)
+    got = N.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows, 0.93) and got[0].recall == 1.0
