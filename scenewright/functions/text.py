@@ -89,3 +89,37 @@ def similarity(a: Column, b: Column) -> Column:
     """1 minus the edit distance over the longer length; two empty texts are equal."""
     longer = F.greatest(F.length(a), F.length(b))
     return F.when(longer == 0, F.lit(1.0)).otherwise((longer - F.levenshtein(a, b)) / longer)
+
+
+def running_sums(values: Column, chunk: int = 512) -> Column:
+    """The sum of an array's integers before each of them, as longs. Arrays are summed up in chunks, as one that grows
+    value by value costs the square of their number."""
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+    step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / chunk).cast("int")), lambda i: F.slice(values, i * chunk + 1, F.lit(chunk)))
+    inner = F.transform(chunks, lambda c: F.aggregate(c, start, step))
+    moved = lambda told: F.flatten(
+        F.zip_with(told, F.aggregate(F.transform(told, lambda x: x["at"]), start, step, lambda s: s["out"]), lambda x, by: F.transform(x["out"], lambda v: v + by))
+    )
+    return F.when(F.size(values) > 0, F.element_at(F.transform(F.array(inner), moved), 1)).otherwise(none)
+
+
+def _compatible() -> tuple[str, str]:
+    """Characters that compatibility composition turns into one ASCII character, and that one."""
+    pairs = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in (*range(0xA0, 0x3400), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200))}
+    pairs = {a: b for a, b in pairs.items() if len(b) == 1 and b.isascii()}
+    return "".join(pairs), "".join(pairs.values())
+
+
+STYLED, UNSTYLED = _compatible()
+
+
+def unstyled(x: Column) -> Column:
+    """x with letters, digits and signs in styles (bold, double-struck, full width, circled, ...) as plain ASCII ones, and
+    ligatures of f and s parted."""
+    plain = F.translate(x, STYLED, UNSTYLED)
+    parted = plain
+    for c in range(0xFB00, 0xFB07):
+        parted = F.replace(parted, F.lit(chr(c)), F.lit(unicodedata.normalize("NFKC", chr(c))))
+    return F.when(F.rlike(plain, F.lit("[\uFB00-\uFB06]")), parted).otherwise(plain)

@@ -49,6 +49,29 @@ def memberships(terms: DataFrame, config: Config = Config()) -> DataFrame:
     return kept.groupBy("urn", "fold").agg(F.sum("evidence").alias("evidence"))
 
 
+def dropped_terms(terms: DataFrame, artists: DataFrame, hubs: DataFrame | None = None, config: Config = Config()) -> DataFrame:
+    """(fold, reason): the terms that are no genre, each with the first reason that holds: `format` for those that name a
+    format, a bare word or a number, `city` for the name of a city, `hub` for that of a hub (hubs: fold, in any number)."""
+    folds = terms.select(fold_term(F.col("term")).alias("fold")).where("fold != ''").distinct()
+    places = city_of(artists).select(F.col("city").alias("fold"), F.lit(True).alias("_city")).distinct()
+    told = folds.join(places, "fold", "left")
+    if hubs is None:
+        hubs = artists.where("account_kind = 'hub'").select(fold_term(F.col("permalink")).alias("fold"))
+    told = told.join(hubs.select("fold", F.lit(True).alias("_hub")).distinct(), "fold", "left")
+    form = F.col("fold").isin(FORMAT_TERMS) | F.rlike("fold", F.lit("^[0-9]+$"))
+    reason = F.when(form, "format").when(F.col("_city"), "city").when(F.col("_hub"), "hub")
+    return told.select("fold", reason.alias("reason")).where("reason is not null")
+
+
+def term_report(terms: DataFrame, artists: DataFrame, hubs: DataFrame | None = None, config: Config = Config()) -> DataFrame:
+    """(fold, artists, fate) of every term that makes members: `kept` as a genre, `below` the least number of artists, or
+    the reason for which it is none. Each term has one row, so they add up to all."""
+    kept = terms.where((F.col("kind") == "genre") | (F.col("evidence") >= config.min_tag_evidence)).withColumn("fold", fold_term(F.col("term"))).where("fold != ''")
+    n = kept.groupBy("fold").agg(F.count_distinct("urn").alias("artists"))
+    told = n.join(dropped_terms(terms, artists, hubs, config), "fold", "left")
+    return told.select("fold", "artists", F.coalesce("reason", F.when(F.col("artists") >= config.min_genre_artists, "kept").otherwise("below")).alias("fate"))
+
+
 def spellings(terms: DataFrame) -> DataFrame:
     """(fold, name): the most voted spelling, a genre counting twice, in title case; ties go by the spelling."""
     votes = terms.groupBy(fold_term(F.col("term")).alias("fold"), "term").agg(F.sum(F.when(F.col("kind") == "genre", 2).otherwise(1)).alias("votes"))
