@@ -179,15 +179,21 @@ same_sql(
 same_sql(
     "q9_browse_index",
     """SELECT 'city' AS kind, city_raw AS name, count(*) AS n FROM {artists} GROUP BY city_raw
-    UNION ALL SELECT kind, term, count(*) FROM {terms} GROUP BY kind, term""",
+    UNION ALL SELECT kind, term, count(*) FROM {terms} GROUP BY kind, term UNION ALL SELECT 'scene', segment, count(*) FROM {artists} WHERE segment IS NOT NULL GROUP BY segment""",
 )
 same_sql(
     "q11_artist_presence",
     """SELECT urn, kind, name, evidence FROM (SELECT urn, 'sound' AS kind, term AS name, evidence, row_number() OVER (PARTITION BY urn ORDER BY evidence DESC, term) AS place
       FROM {terms} WHERE kind = 'genre') x WHERE place <= 4
-    UNION ALL SELECT urn, 'place', city_raw, 1 FROM {artists}""",
+    UNION ALL SELECT urn, 'place', city_raw, 1 FROM {artists} UNION ALL SELECT urn, 'scene', segment, 1 FROM {artists} WHERE segment IS NOT NULL""",
 )
-same_sql("j12_mutual_follows", "SELECT a.src, a.dst FROM {edges} a WHERE a.type = 'follow' AND EXISTS (SELECT 1 FROM {edges} b WHERE b.type = 'follow' AND b.src = a.dst AND b.dst = a.src)")
+
+
+@query("WITH f AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'follow') SELECT a.src, a.dst FROM f a JOIN f b ON b.src = a.dst AND b.dst = a.src")
+def j12_mutual_follows(spark, d):
+    return weights.mutual(v(spark, d, "edges"))
+
+
 same_sql("u9_inbound_priority", "SELECT a.urn, coalesce(n, 0) AS priority FROM {artists} a LEFT JOIN (SELECT dst, count(*) AS n FROM {edges} GROUP BY dst) e ON e.dst = a.urn")
 same_sql("u14_counts", "SELECT 'artists' AS name, count(*) AS n FROM {artists} UNION ALL SELECT 'edges', count(*) FROM {edges} UNION ALL SELECT 'terms', count(*) FROM {terms}")
 same_sql("a13_top_city_share", """SELECT segment, city_raw, n, floor(CAST(n AS DOUBLE) / total * 1e6 + 0.5) / 1e6 AS share FROM (
@@ -197,9 +203,6 @@ same_sql("a22_metric_summary", "SELECT event_type, count(*) AS n, floor(avg(valu
 same_sql("st7_slow_metrics", """SELECT event_id, value > 50 AS slow FROM (SELECT event_id, value, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM {events}) x WHERE place <= 500""")
 same_sql("p7_crawled_predicate", "SELECT urn, CASE WHEN last_upload_at IS NOT NULL THEN 1 ELSE 0 END AS crawled FROM {artists}")
 same_sql("u22_crawl_guard", "SELECT urn FROM {artists} WHERE coalesce(track_count, 0) >= 1")
-same_sql("x5_new_and_removed", """SELECT (SELECT count(*) FROM (SELECT p_name FROM {part} WHERE p_size > 10 EXCEPT SELECT p_name FROM {part} WHERE p_size <= 25) a) AS new_names,
-    (SELECT count(*) FROM (SELECT p_name FROM {part} WHERE p_size <= 25 EXCEPT SELECT p_name FROM {part} WHERE p_size > 10) b) AS removed_names""")
-
 # --- functions --------------------------------------------------------------------------------------------------------
 
 
@@ -401,7 +404,7 @@ same_sql("a11_term_support", "SELECT a.segment, t.term, count(DISTINCT t.urn) AS
 same_sql("a15_scene_counts", "SELECT segment, count(CASE WHEN last_upload_at IS NOT NULL THEN 1 END) AS crawled, count(CASE WHEN account_kind = 'hub' THEN 1 END) AS hubs FROM {artists} GROUP BY segment")
 same_sql("a17_document_frequency", "SELECT term, count(DISTINCT a.segment) AS df FROM {terms} t JOIN {artists} a ON a.urn = t.urn WHERE evidence > 0 GROUP BY term")
 same_sql("w3_top_hubs", "SELECT segment, urn, followers FROM (SELECT segment, urn, followers, row_number() OVER (PARTITION BY segment ORDER BY followers DESC, urn) AS place FROM {artists} WHERE account_kind = 'hub') x WHERE place <= 12")
-same_sql("w8_display_rank", "SELECT urn, lpad(CAST(row_number() OVER (ORDER BY followers DESC, urn) AS STRING), 2, '0') AS place FROM {artists} ORDER BY followers DESC, urn LIMIT 24", "SELECT urn, lpad(CAST(row_number() OVER (ORDER BY followers DESC, urn) AS VARCHAR), 2, '0') AS place FROM {artists} ORDER BY followers DESC, urn LIMIT 24")
+same_sql("w8_display_rank", "SELECT urn, lpad(CAST(row_number() OVER (ORDER BY followers DESC, urn) AS STRING), 2, '0') AS place FROM (SELECT urn, followers FROM {artists} ORDER BY followers DESC, urn LIMIT 24) x", "SELECT urn, lpad(CAST(row_number() OVER (ORDER BY followers DESC, urn) AS VARCHAR), 2, '0') AS place FROM (SELECT urn, followers FROM {artists} ORDER BY followers DESC, urn LIMIT 24) x")
 same_sql("k9_most_played", "SELECT urn, plays FROM (SELECT urn, plays FROM {artists} ORDER BY plays DESC, urn LIMIT 3) x WHERE plays > 0")
 same_sql("k2_scenes_by_size", "SELECT segment, count(*) AS member_count FROM {artists} WHERE segment IS NOT NULL GROUP BY segment ORDER BY member_count DESC, segment")
 same_sql("j1_membership_join", "SELECT t.term, count(*) AS members, sum(a.followers) AS reach FROM {terms} t JOIN {artists} a ON a.urn = t.urn WHERE t.kind = 'genre' GROUP BY t.term", "SELECT t.term, count(*) AS members, CAST(sum(a.followers) AS BIGINT) AS reach FROM {terms} t JOIN {artists} a ON a.urn = t.urn WHERE t.kind = 'genre' GROUP BY t.term")
@@ -409,11 +412,6 @@ same_sql("j9_terms_without_hubs", "SELECT t.term, count(*) AS n FROM {terms} t W
 same_sql("j11_either_end", "SELECT urn, count(*) AS ties FROM (SELECT src AS urn FROM {edges} UNION ALL SELECT dst FROM {edges} WHERE src <> dst) x GROUP BY urn")
 same_sql("j13_name_or_slug", "SELECT a.urn, coalesce(b.permalink, a.urn) AS name FROM {artists} a LEFT JOIN (SELECT urn, permalink FROM {artists} WHERE followers > 5000) b ON b.urn = a.urn")
 same_sql("x3_first_source_wins", "SELECT urn, place FROM (SELECT urn, place, row_number() OVER (PARTITION BY urn ORDER BY place) AS n FROM (SELECT src AS urn, 1 AS place FROM {edges} UNION ALL SELECT urn, 2 FROM {artists}) x) y WHERE n = 1")
-same_sql("g18_scene_home", """SELECT segment, CASE WHEN located < 5 OR CAST(located AS DOUBLE) / members < 0.12 THEN 'global' WHEN CAST(top AS DOUBLE) / located >= 0.33 THEN 'place'
-    WHEN CAST(top AS DOUBLE) / located >= 0.18 THEN 'tinted' ELSE 'global' END AS home FROM (SELECT segment, sum(n) AS members, sum(n) AS located, max(n) AS top
-      FROM (SELECT segment, country, count(*) AS n FROM {artists} WHERE segment IS NOT NULL GROUP BY segment, country) c GROUP BY segment) x""")
-same_sql("q18_roster_resolve", "SELECT urn, coalesce(nullif(plays, 0), followers) AS shown FROM {artists}")
-
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From typed edges to symmetric weighted ties."""

@@ -81,6 +81,11 @@ def relative_time(then: Column, now: Column) -> Column:
     )
 
 
+def within_last_day(then: Column, now: Column) -> Column:
+    """Whether less than 24 hours have gone by; null of what is no time."""
+    return F.unix_timestamp(now) - F.unix_timestamp(then) < 86400
+
+
 def activity_line(day: Column, week: Column) -> Column:
     return F.when(day > 0, "active now").when(week > 0, F.concat(week.cast("string"), F.lit(" this week")))
 

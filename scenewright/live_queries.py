@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scenewright.catalog import query
+from scenewright.catalog import CITY, FOLD, MEMBERS, NOW, query, v
 from scenewright.functions import text as T
-from scenewright.operators import history, merge
+from scenewright.operators import browse, history, merge, rollup
 from scenewright.operators.tables import scratch
 from scenewright.sources.store import Store
 
@@ -87,3 +87,106 @@ def u8_queue_history(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("urn"), F.col("event_id").alias("at"), "event_type")
     ends = F.col("event_type").isin("error", "purchase")
     return merge.merge_queue(e.select("urn", "at", F.when(~ends, F.col("at") % 5).alias("depth"), F.when(ends, "done").alias("status")))
+
+
+# --- lists of the read side -------------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT a.urn, permalink, followers, CASE WHEN followers % 3 > 0 THEN CASE WHEN followers % 5 = 0 THEN 0 ELSE followers + 1 END END AS live,
+      CASE WHEN followers % 3 = 1 THEN 'u' || followers WHEN followers % 3 = 2 THEN ' ' END AS username, CASE WHEN followers % 3 = 2 AND followers % 2 = 0 THEN 'Full' END AS full_name FROM artists a)
+    SELECT urn, coalesce(nullif(live, 0), followers) AS followers, coalesce(CASE WHEN trim(username) <> '' THEN username END, full_name, permalink, urn) AS name FROM r""")
+def q18_roster_resolve(spark, d):
+    """Every account with what a live profile says, where it says more."""
+    a = v(spark, d, "artists").select("urn", "permalink", "followers")
+    n = F.col("followers")
+    live = a.where("followers % 3 > 0").select(
+        "urn", F.when(n % 3 == 1, F.concat(F.lit("u"), n)).otherwise(" ").alias("username"), F.when((n % 3 == 2) & (n % 2 == 0), "Full").alias("full_name"), F.when(n % 5 == 0, 0).otherwise(n + 1).alias("followers")
+    )
+    return browse.resolved(a, live).select("urn", "followers", "name")
+
+
+@query("""WITH f AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'follow' AND src <> dst), big AS (SELECT urn FROM artists WHERE followers > 9000),
+    n AS (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM f),
+    o AS (SELECT src AS urn, dst AS friend FROM f WHERE src IN (SELECT urn FROM big) UNION ALL
+      SELECT f.src, f.dst FROM f JOIN n ON n.dst = f.src AND n.src = f.dst AND k <= 25 WHERE f.src NOT IN (SELECT urn FROM big))
+    SELECT urn, CAST(place AS INTEGER) AS place, friend FROM (SELECT *, row_number() OVER (PARTITION BY urn ORDER BY friend) AS place FROM o) x WHERE place <= 12""")
+def q15_friends(spark, d):
+    """The friends of every account: followings of the largest, mutual follows of the others."""
+    return browse.friends(v(spark, d, "edges").where("type = 'follow'"), v(spark, d, "artists"), big=9000, scan=25, most=12)
+
+
+#: Line items as tracks of the customers of one genre, some of which cannot be played.
+SCOPE = """SELECT concat('customer:', o_custkey) AS urn, l_orderkey * 10 + l_linenumber AS {at}, l_partkey AS track, l_quantity % 3 <> 0 AS playable FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"""
+
+
+@query(f"""WITH {MEMBERS}, r AS (SELECT a.urn, row_number() OVER (ORDER BY followers DESC, a.urn) AS rank FROM artists a JOIN m ON m.urn = a.urn WHERE fold = 'brand12'),
+    t AS (SELECT x.*, rank, row_number() OVER (PARTITION BY x.urn ORDER BY pos, track) AS seen FROM ({SCOPE.replace('{at}', 'pos').replace('{', '').replace('}', '')}) x JOIN r ON r.urn = x.urn WHERE rank <= 8),
+    p AS (SELECT *, row_number() OVER (PARTITION BY urn ORDER BY pos, track) AS round FROM t WHERE seen <= 50 AND playable),
+    o AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY round, rank) AS n FROM p WHERE round <= 4)
+    SELECT CAST(row_number() OVER (ORDER BY round, rank) AS INTEGER) AS place, urn, track FROM o WHERE n = 1 QUALIFY place <= 40""")
+def q13_scope_queue(spark, d):
+    """The queue of one genre: the first playable tracks of its eight leading artists, in turn."""
+    mine = rollup.memberships(v(spark, d, "terms")).where("fold = 'brand12'").select("urn")
+    roster = browse.foremost(v(spark, d, "artists").join(mine, "urn", "left_semi"), 8, F.desc("followers"), "urn").select("urn", F.col("place").alias("rank"))
+    tracks = spark.sql(SCOPE.replace("{at}", "at"), lineitem=table(spark, d, "lineitem"), orders=table(spark, d, "orders"))
+    return browse.scope_queue(roster, tracks)
+
+
+@query(f"""WITH {MEMBERS}, s AS (SELECT urn, fold, row_number() OVER (PARTITION BY urn ORDER BY evidence DESC, fold) AS n FROM m),
+    r AS (SELECT fold, a.urn, row_number() OVER (PARTITION BY fold ORDER BY followers DESC, likes + comments DESC, plays DESC, a.urn) AS rank FROM s JOIN artists a ON a.urn = s.urn WHERE n <= 2)
+    SELECT fold, string_agg(urn, ',' ORDER BY rank) AS covers FROM r WHERE rank <= 20 GROUP BY fold""")
+def k11_covers(spark, d):
+    """The accounts on every genre's cover."""
+    roster = rollup.roster(v(spark, d, "terms"), v(spark, d, "artists"), rollup.Config(roster_size=24))
+    return browse.covers(roster).select("fold", F.array_join("covers", ",").alias("covers"))
+
+
+@query(f"""WITH {MEMBERS}, {CITY}, p AS (SELECT 'genres' AS part, 6 AS most, fold AS name, count(*) AS n FROM m GROUP BY fold UNION ALL SELECT 'scenes', 12, segment, count(*) FROM artists WHERE segment IS NOT NULL GROUP BY segment
+    UNION ALL SELECT 'cities', 9, city, count(*) FROM c WHERE city <> '' GROUP BY city), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY part ORDER BY n DESC, name) AS INTEGER) AS place FROM p)
+    SELECT part, place, name, n, place <= most AS shown FROM r WHERE place <= most + 30""")
+def k10_home(spark, d):
+    """The front page: the largest genres, scenes and cities, and those behind them."""
+    a = v(spark, d, "artists")
+    n = lambda df, c: df.groupBy(c).agg(F.count("*").alias("n"))
+    return browse.home({
+        "genres": (n(rollup.memberships(v(spark, d, "terms")), "fold"), "fold", 6), "scenes": (n(a.where("segment is not null"), "segment"), "segment", 12), "cities": (n(rollup.city_of(a), "city"), "city", 9),
+    })
+
+
+@query("""WITH o AS (SELECT DISTINCT p_type AS collection, p_name AS id FROM part WHERE p_size > 10), n AS (SELECT DISTINCT p_type AS collection, p_name AS id FROM part WHERE p_size <= 25)
+    SELECT coalesce(o.collection, n.collection) AS collection, count(CASE WHEN o.id IS NULL THEN 1 END) AS new, count(CASE WHEN n.id IS NULL THEN 1 END) AS removed
+    FROM o FULL JOIN n ON o.collection = n.collection AND o.id = n.id GROUP BY 1""")
+def x5_new_and_removed(spark, d):
+    """How many names of each type came and went between two states."""
+    p = table(spark, d, "part").select(F.col("p_type").alias("collection"), F.col("p_name").alias("id"), "p_size")
+    return browse.changes(p.where("p_size > 10").drop("p_size"), p.where("p_size <= 25").drop("p_size"))
+
+
+@query("""WITH f AS (SELECT dst AS urn, src AS follower, followers FROM edges e JOIN artists a ON a.urn = e.src WHERE type = 'follow')
+    SELECT urn, CAST(place AS INTEGER) AS place, follower FROM (SELECT *, row_number() OVER (PARTITION BY urn ORDER BY followers DESC, follower) AS place FROM f) x WHERE place <= 10""")
+def k8_followers_by_reach(spark, d):
+    """The ten widest known followers of every account."""
+    f = v(spark, d, "edges").where("type = 'follow'").select(F.col("dst").alias("urn"), F.col("src").alias("follower"))
+    told = f.join(v(spark, d, "artists").select(F.col("urn").alias("follower"), "followers"), "follower")
+    return browse.first(told, 10, F.desc("followers"), "follower", by=["urn"]).select("urn", "place", "follower")
+
+
+@query(f"SELECT o_orderkey, epoch(TIMESTAMP '{NOW}') - epoch(o_orderdate) < 86400 AS fresh FROM orders")
+def f9_within_last_day(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", T.within_last_day(F.col("o_orderdate"), F.lit(NOW).cast("timestamp")).alias("fresh"))
+
+
+CANON = "SELECT urn, concat(city_raw, ', ', country) AS city_raw, country FROM {artists}"
+
+
+@query(f"""WITH c AS (SELECT urn, CASE city_raw WHEN 'NATION_3' THEN 'Nation_4' WHEN 'NATION_7' THEN 'New Place' ELSE city_raw END AS spelling, country FROM artists WHERE city_raw NOT IN ('NATION_5', 'NATION_6')),
+    n AS (SELECT {FOLD.format('spelling')} AS city, count(*) AS artist_count FROM c GROUP BY 1 HAVING count(*) >= 2),
+    k AS (SELECT {FOLD.format('spelling')} AS city, country FROM c GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY {FOLD.format('spelling')} ORDER BY count(*) DESC, country) = 1)
+    SELECT n.city, country, artist_count FROM n JOIN k ON k.city = n.city""")
+def ag5_canon_cities(spark, d):
+    """Cities behind commas, by a canon of other names and of what is no place."""
+    a = spark.sql(CANON, artists=v(spark, d, "artists"))
+    raw = table(spark, d, "nation").select("n_name")
+    aliases = raw.where("n_name in ('NATION_3', 'NATION_7')").select(T.fold_term(F.col("n_name")).alias("fold"), F.when(F.col("n_name") == "NATION_3", "Nation_4").otherwise("New Place").alias("city"))
+    none = raw.where("n_name in ('NATION_5', 'NATION_6')").select(T.fold_term(F.col("n_name")).alias("fold"))
+    return rollup.cities(a, none=none, aliases=aliases).select("city", "country", "artist_count")

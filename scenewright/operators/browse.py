@@ -17,6 +17,11 @@ def first(df: DataFrame, n: int, *order, by: list[str] = (), name: str = "place"
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= n)
 
 
+def foremost(df: DataFrame, n: int, *order) -> DataFrame:
+    """The first n rows in an order, numbered from 1: cut before they are numbered, so no task has more than n."""
+    return df.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def listed(counts: DataFrame, members: DataFrame, artists: DataFrame, key: str, now: Column) -> DataFrame:
     """counts (key, artist_count, ...) with hub_count and the line on its activity before `now`."""
     hubs = members.join(artists.where("account_kind = 'hub'").select("urn"), "urn", "left_semi").groupBy(key).agg(F.count("*").alias("hub_count"))
@@ -26,7 +31,8 @@ def listed(counts: DataFrame, members: DataFrame, artists: DataFrame, key: str,
 
 
 def list_genres(terms: DataFrame, artists: DataFrame, now: Column) -> DataFrame:
-    return listed(rollup.genres(terms), rollup.memberships(terms), artists, "fold", now)
+    own = written(rollup.memberships(terms))
+    return listed(rollup.genres(terms, own=own), own, artists, "fold", now)
 
 
 def list_cities(artists: DataFrame, now: Column) -> DataFrame:
@@ -34,12 +40,18 @@ def list_cities(artists: DataFrame, now: Column) -> DataFrame:
 
 
 def genre_detail(terms: DataFrame, artists: DataFrame, fold: str) -> DataFrame:
-    """(part, place, name, n) of a genre: its six leading cities, and the six genres most alike."""
-    cities = rollup.cross_tab(terms, artists).where(F.col("fold") == fold)
-    related = rollup.related(terms).where(F.col("fold") == fold)
-    part = lambda df, kind, name, n: df.select(F.lit(kind).alias("part"), "place", F.col(name).alias("name"), F.col(n).alias("n"))
-    top_cities = part(first(cities, 6, F.desc("artist_count"), "city"), "city", "city", "artist_count")
-    return top_cities.unionByName(part(first(related, 6, F.desc("affinity"), "other"), "related", "other", "shared"))
+    """(part, place, name, n) of a genre: its six leading cities, and the six genres most alike. It begins with the
+    genre's own artists; no other genres meet."""
+    own = written(rollup.memberships(terms).select("urn", "fold"))
+    mine = own.where(F.col("fold") == fold).select("urn")
+    cities = rollup.city_of(artists).join(mine, "urn", "left_semi").groupBy("city").agg(F.count_distinct("urn").alias("n"))
+    shared = own.where(F.col("fold") != fold).join(mine, "urn", "left_semi").groupBy("fold").agg(F.count("*").alias("shared"))
+    n = own.groupBy("fold").agg(F.count("*").alias("n"))
+    size = mine.agg(F.count("*").alias("size"))  # one row
+    near = shared.join(n, "fold").crossJoin(F.broadcast(size)).select("fold", F.col("shared").alias("n"), (F.col("shared") / (F.col("n") + F.col("size") - F.col("shared"))).alias("affinity"))
+    part = lambda df, kind, name: df.select(F.lit(kind).alias("part"), "place", F.col(name).alias("name"), "n")
+    top_cities = part(foremost(cities, 6, F.desc("n"), "city"), "city", "city")
+    return top_cities.unionByName(part(foremost(near, 6, F.desc("affinity"), "fold"), "related", "fold"))
 
 
 def city_detail(terms: DataFrame, artists: DataFrame, city: str) -> DataFrame:
@@ -133,3 +145,58 @@ def pooled(labels: DataFrame, least: int = 20) -> DataFrame:
 def broad_enough(support: DataFrame, termed: DataFrame, least: int = 4, share: float = 0.08) -> DataFrame:
     """support (scene, term, support) of terms that enough of the scene's members with terms (scene, termed) carry."""
     return support.join(termed, "scene").where(F.col("support") >= F.greatest(F.lit(least), F.ceil(F.lit(share) * F.col("termed") - F.lit(1e-9))))
+
+
+def covers(roster: DataFrame, n: int = 20) -> DataFrame:
+    """(fold, covers): the first n accounts of each genre's roster (fold, rank, urn)."""
+    told = roster.where(F.col("rank") <= n).groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("rank", "urn"))).alias("r"))
+    return told.select("fold", F.transform("r", lambda x: x["urn"]).alias("covers"))
+
+
+def scope_queue(roster: DataFrame, tracks: DataFrame, artists: int = 8, look: int = 50, each: int = 4, cap: int = 40) -> DataFrame:
+    """(place, urn, track) of a queue: the first playable tracks of the leading artists, in turn. roster (urn, rank) is one
+    scope's; of each artist's tracks (urn, at, track, playable) the first `look` are looked at. A track that two have is
+    the one's where it comes first."""
+    top = roster.where(F.col("rank") <= artists).select("urn", "rank")
+    seen = first(tracks.join(F.broadcast(top), "urn"), look, "at", "track", by=["urn"]).where("playable")
+    ready = first(seen.drop("place"), each, "at", "track", by=["urn"])
+    once = ready.withColumn("_n", F.row_number().over(Window.partitionBy("track").orderBy("place", "rank"))).where("_n = 1")
+    return foremost(once.withColumnRenamed("place", "round"), cap, "round", "rank").select("place", "urn", "track")
+
+
+def resolved(roster: DataFrame, live: DataFrame) -> DataFrame:
+    """roster (urn, permalink, followers, ...) with followers and name of live profiles (urn, username, full_name,
+    followers) where they say more: followers of 0 say nothing, and the name is the first of username, full name,
+    permalink and urn that is not empty."""
+    told = roster.join(live.select("urn", F.col("username").alias("_u"), F.col("full_name").alias("_f"), F.col("followers").alias("_n")), "urn", "left")
+    text = lambda c: F.when(F.trim(c) != "", F.col(c))
+    return told.withColumn("followers", F.coalesce(F.nullif("_n", F.lit(0)), "followers")).withColumn("name", F.coalesce(text("_u"), text("_f"), text("permalink"), "urn")).drop("_u", "_f", "_n")
+
+
+def friends(follows: DataFrame, artists: DataFrame, big: int = 10_000, scan: int = 2000, most: int = 48) -> DataFrame:
+    """(urn, place, friend) of every account: whom it follows, if more than `big` follow it; else those who follow it
+    back among its first `scan` followers. At most `most` each, by their urn. follows (src, dst), artists (urn,
+    followers)."""
+    ways = follows.where("src != dst").select("src", "dst").distinct()
+    large = artists.where(F.col("followers") > big).select("urn")
+    followings = ways.select(F.col("src").alias("urn"), F.col("dst").alias("friend"))
+    followers = first(ways.select(F.col("dst").alias("urn"), F.col("src").alias("friend")), scan, "friend", by=["urn"]).drop("place")
+    own = followings.join(large, "urn", "left_semi").unionByName(followings.join(large, "urn", "left_anti").join(followers, ["urn", "friend"], "left_semi"))
+    return first(own, most, "friend", by=["urn"]).select("urn", "place", "friend")
+
+
+def home(parts: dict[str, tuple[DataFrame, str, int]], more: int = 30) -> DataFrame:
+    """(part, place, name, n, shown) of a front page: of each part (rows, name column, how many) the largest (n), and the
+    `more` that follow."""
+    out = None
+    for part, (df, name, shown) in parts.items():
+        told = foremost(df.select(F.col(name).alias("name"), "n"), shown + more, F.desc("n"), "name")
+        told = told.select(F.lit(part).alias("part"), "place", "name", "n", (F.col("place") <= shown).alias("shown"))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+def changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(collection, new, removed): how many ids of each collection (collection, id) came and went."""
+    both = old.distinct().withColumn("_o", F.lit(1)).join(new.distinct().withColumn("_n", F.lit(1)), ["collection", "id"], "full")
+    return both.groupBy("collection").agg(F.count_if(F.col("_o").isNull()).alias("new"), F.count_if(F.col("_n").isNull()).alias("removed"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scenewright.functions.text import fold_term, slugify, title_case
+from scenewright.operators.tables import written
 
 
 @dataclass(frozen=True)
@@ -32,16 +33,6 @@ FORMATS = [
 STOP_WORDS = ["the", "a", "an", "and", "or", "of", "in", "on", "at", "to", "for", "with", "by", "from"]
 FORMAT_TERMS = [re.sub("[^a-z0-9]", "", x) for x in FORMATS] + STOP_WORDS
 
-# What people give for a place and is none, and other names of cities; both are folded when used.
-NON_PLACES = [re.sub(" ", "", x) for x in ("worldwide", "world", "earth", "planet earth", "everywhere", "nowhere", "somewhere", "global", "internet", "the internet", "online", "cyberspace", "space", "outer space", "moon", "universe", "milky way")]
-ALIASES = {
-    "nyc": "New York", "new york city": "New York", "ny": "New York", "la": "Los Angeles", "sf": "San Francisco", "philly": "Philadelphia", "atl": "Atlanta", "cdmx": "Mexico City",
-    "ciudad de mexico": "Mexico City", "koln": "Cologne", "munchen": "Munich", "wien": "Vienna", "st petersburg": "Saint Petersburg", "st pete": "Saint Petersburg", "bombay": "Mumbai",
-    "bsas": "Buenos Aires", "caba": "Buenos Aires",
-}
-CITY_ALIASES = {re.sub("[^a-z0-9]", "", x): city for x, city in ALIASES.items()}
-
-
 def memberships(terms: DataFrame, config: Config = Config()) -> DataFrame:
     """(urn, fold, evidence): a genre always makes a member, a tag from min_tag_evidence on; format terms don't."""
     kept = terms.where((F.col("kind") == "genre") | (F.col("evidence") >= config.min_tag_evidence)).withColumn("fold", fold_term(F.col("term")))
@@ -80,9 +71,9 @@ def spellings(terms: DataFrame) -> DataFrame:
     return best.select("fold", title_case(F.lower("term")).alias("name"))
 
 
-def genres(terms: DataFrame, config: Config = Config()) -> DataFrame:
-    """(slug, name, fold, artist_count) of the genres with enough artists."""
-    n = memberships(terms, config).groupBy("fold").agg(F.count("*").alias("artist_count"))
+def genres(terms: DataFrame, config: Config = Config(), own: DataFrame | None = None) -> DataFrame:
+    """(slug, name, fold, artist_count) of the genres with enough artists. own: the memberships, if they are there."""
+    n = (memberships(terms, config) if own is None else own).groupBy("fold").agg(F.count("*").alias("artist_count"))
     return n.where(F.col("artist_count") >= config.min_genre_artists).join(spellings(terms), "fold").withColumn("slug", slugify(F.col("name")))
 
 
@@ -91,19 +82,24 @@ def below_threshold(terms: DataFrame, config: Config = Config()) -> DataFrame:
     return n.where(F.col("artists") < config.min_genre_artists).select(F.col("fold").alias("term"), "artists")
 
 
-def city_of(artists: DataFrame) -> DataFrame:
+def city_of(artists: DataFrame, none: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """(urn, city, spelling, country): the part before the first comma, by its alias if it has one, folded. What is no
-    place is left out."""
+    place is left out. none (fold) and aliases (fold, city) are a canon, as files.city_canon reads it; without, every
+    spelling stands for itself."""
     given = F.trim(F.element_at(F.split("city_raw", ","), 1))
-    folded = fold_term(given)
-    alias = F.create_map(*[F.lit(x) for pair in CITY_ALIASES.items() for x in pair])[folded]
-    told = artists.where("city_raw is not null").select("urn", F.coalesce(alias, given).alias("spelling"), "country", folded.alias("given"))
-    return told.where(~F.col("given").isin(NON_PLACES) & (F.col("given") != "")).select("urn", fold_term(F.col("spelling")).alias("city"), "spelling", "country")
-
-
-def cities(artists: DataFrame, config: Config = Config()) -> DataFrame:
-    """(city, name, country, artist_count): spelling and country by majority, ties by the value."""
-    own = city_of(artists)
+    told = artists.where("city_raw is not null").select("urn", given.alias("spelling"), "country").withColumn("_given", fold_term(F.col("spelling"))).where("_given != ''")
+    if none is not None:
+        told = told.join(none.select(F.col("fold").alias("_given")).distinct(), "_given", "left_anti")
+    if aliases is not None:
+        named = aliases.groupBy(F.col("fold").alias("_given")).agg(F.min("city").alias("_named"))
+        told = told.join(named, "_given", "left").withColumn("spelling", F.coalesce("_named", "spelling")).drop("_named")
+    return told.select("urn", fold_term(F.col("spelling")).alias("city"), "spelling", "country")
+
+
+def cities(artists: DataFrame, config: Config = Config(), none: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """(city, name, country, artist_count): spelling and country by majority, ties by the value; the canon as in
+    city_of()."""
+    own = city_of(artists, none, aliases)
     n = own.groupBy("city").agg(F.count("*").alias("artist_count")).where(F.col("artist_count") >= config.min_city_artists)
 
     def voted(column: str) -> DataFrame:
@@ -129,7 +125,7 @@ def related(terms: DataFrame, config: Config = Config()) -> DataFrame:
     """(fold, other, shared, affinity): genres that share artists, by the Jaccard measure of their artists.
 
     The self-join is on the artist, whose genres are few; its size is the sum of their squares."""
-    own = memberships(terms, config).select("urn", "fold")
+    own = written(memberships(terms, config).select("urn", "fold"))  # read four times
     n = own.groupBy("fold").agg(F.count("*").alias("n"))
     shared = own.join(own.withColumnRenamed("fold", "other"), "urn").where("fold != other").groupBy("fold", "other").agg(F.count("*").alias("shared"))
     both = shared.join(n, "fold").join(n.select(F.col("fold").alias("other"), F.col("n").alias("m")), "other")

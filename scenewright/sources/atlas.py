@@ -36,11 +36,9 @@ WHERE e.kind = 1 OR (e.kind = 2 AND large > 0) OR (e.kind = 3 AND returned > 0)
 """
 
 TERMS = """
-SELECT concat('customer:', o_custkey) AS urn, p_brand AS term, 'genre' AS kind, count(*) AS evidence
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey GROUP BY o_custkey, p_brand
-UNION ALL
-SELECT concat('customer:', o_custkey), p_type, 'tag', count(*)
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey GROUP BY o_custkey, p_type
+SELECT concat('customer:', o_custkey) AS urn, CASE WHEN grouping(p_type) = 1 THEN p_brand ELSE p_type END AS term,
+  CASE WHEN grouping(p_type) = 1 THEN 'genre' ELSE 'tag' END AS kind, count(*) AS evidence
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey GROUP BY GROUPING SETS ((o_custkey, p_brand), (o_custkey, p_type))
 """
 
 VIEWS = {"artists": ARTISTS, "edges": EDGES, "terms": TERMS}
