@@ -6,11 +6,13 @@ all training texts, and grouping those level by level gives every node's counts
 probability: half its own estimate, half the product of its children's. What a node then predicts is its own estimate
 and its child's on the path, mixed by their posterior weights: all depths take part in each decision.
 
-Every counted node is in the tree, whatever the size of the corpus. A context's nodes lie below those of its last SPLIT
-bytes, so the distinct grams of all texts are dealt by those bytes, and each task works out the levels from DEPTH to
-SPLIT of its own; the levels above have at most 255 x 256 ** SPLIT nodes whatever the corpus, and the driver does them.
-Going down again gives each distinct gram its bits. Those of the HEAD most frequent grams, at most, are broadcast; the
-others, which are few of a text's, are joined. Grams that only held-out texts have count 0.
+Every counted node is in the tree, whatever the size of the corpus. A context's nodes lie below those of its last bytes,
+so the distinct grams of all texts are dealt by their last SPLITS[0] bytes, of which none has more than 256 ** (DEPTH + 1
+- SPLITS[0]) however common it is, and each task works out the levels from DEPTH to there. The nodes found are dealt by
+SPLITS[1] bytes, and so on, with 255 x 256 nodes of one context at most in each step; the 255 x 256 nodes of the last
+one come to the driver. Going down again in the same steps gives each distinct gram its bits. Those of the HEAD most
+frequent grams, at most, are broadcast; the others, which are few of a text's, are joined. Grams that only held-out
+texts have count 0.
 
 The baseline is the add-a-tenth unigram of whole words. Words that make up at least WORD_SHARE of all tokens, at most
 1 / WORD_SHARE of them, are broadcast; the rest, which no text has many of, are joined with their counts.
@@ -35,14 +37,14 @@ from scenewright.llm.common import cut, most_frequent, sliced
 from scenewright.llm.textbytes import LOWER, Counts, Memo, find, grams, pieces, prefix_hashes, releasing, span_hashes, words
 
 DEPTH = 5
-#: Bytes of context that grams are dealt by.
-SPLIT = 2
+#: Bytes of context that grams, and then nodes, are dealt by.
+SPLITS = (3, 2, 1)
 #: Grams whose bits are broadcast, at most.
 HEAD = 1 << 21
 #: Distinct grams that one task works on, about.
 GRAMS_PER_TASK = 200_000
-#: least_share() is a share of so many bytes at most: by itself it's less than one occurrence, so it drops no node.
-GROWTH, SHARED = 460, 4096
+#: The occurrences that a node in the tree has at least: one. Those that only held-out texts have are no nodes.
+LEAST = 1
 WORD_SHARE = 2.5e-7
 #: No UTF-8 text has this byte: it stands before each text and ends it.
 EDGE = 255
@@ -51,16 +53,6 @@ END = np.uint64(0)
 GRAM, WORD = 0, 1
 
 
-def least_share(total: int) -> float:
-    """The share of `total` training bytes, SHARED of them at most, that a node in the tree has at least."""
-    return 1 / (GROWTH * max(1, total) ** (1 / 3))
-
-
-def least_count(total: int) -> float:
-    """The occurrences that a node in the tree has at least: one, for any number of training bytes."""
-    return max(1.0, least_share(total) * min(total, SHARED))
-
-
 def held_out(key: Column) -> Column:
     """Whether a document is held out: the CRC-32 of its key as text is divisible by 10. A null key is the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
@@ -131,10 +123,10 @@ class Level:
     other: np.ndarray
     of: np.ndarray
 
-    def down(self, sure: np.ndarray, left: np.ndarray, other: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def down(self, sure: np.ndarray, left: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each node the part of a one's probability that the path to it settles, and the weight that is left for
         the nodes below it, from those of its parent and the parent's other. A node not in the tree ends the path."""
-        kept, estimate = self.n0 + self.n1 >= least, (self.n1 + 0.5) / (self.n0 + self.n1 + 1)
+        kept, estimate = self.n0 + self.n1 >= LEAST, (self.n1 + 0.5) / (self.n0 + self.n1 + 1)
         return sure + left * np.where(kept, self.own * estimate, other), np.where(kept, left * (1 - self.own), 0.0)
 
 
@@ -153,74 +145,149 @@ def _split(keys: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.uint64(1) << np.uint64(bit)) | (byte >> np.uint64(8 - bit)), ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
 
 
-def _above(level: Level, depth: int, least: float) -> Level:
+def _above(level: Level, depth: int) -> Level:
     """The nodes at that depth, of those one deeper."""
     nodes, of = np.unique(level.nodes & np.uint64((1 << 8 * (depth + 1)) - 1), return_inverse=True)
     added = lambda x: np.bincount(of, weights=x, minlength=len(nodes))
-    kept = level.n0 + level.n1 >= least
+    kept = level.n0 + level.n1 >= LEAST
     n0, n1, o0, o1 = added(level.n0), added(level.n1), added(np.where(kept, 0, level.n0)), added(np.where(kept, 0, level.n1))
     a = math.log(0.5) + _kt(n0, n1)
     weighted = np.logaddexp(a, math.log(0.5) + added(np.where(kept, level.weighted, 0)) + _kt(o0, o1))
     return Level(nodes, n0, n1, weighted, np.exp(a - weighted), (o1 + 0.5) / (o0 + o1 + 1), of)
 
 
-def _levels(keys: np.ndarray, n: np.ndarray, bit: int, depth: int, top: int, least: float) -> list[Level]:
+def _levels(keys: np.ndarray, n: np.ndarray, bit: int, depth: int, top: int) -> list[Level]:
     """The levels of a bit from `depth` up to `top`."""
     found = [_leaves(keys, n, bit)]
     for d in range(depth - 1, top - 1, -1):
-        found.append(_above(found[-1], d, least))
+        found.append(_above(found[-1], d))
     return found
 
 
-def costs(found: DataFrame) -> DataFrame:
-    """(key, n, bits): log2 of the probability of the last byte after the bytes before it of all grams of found (key, n),
-    whose counts make the tree. Without any count, each decision is even."""
-    total, rows = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least, depth, top = least_count(total), DEPTH, min(SPLIT, DEPTH)
-    suffix = F.shiftright("key", 8).bitwiseAND((1 << 8 * top) - 1)
-    dealt = found.select("key", "n").repartition(sliced(rows, GRAMS_PER_TASK), suffix)
+Path = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    def own(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        read = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
-        if not read:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate([k for k, _ in read]), np.concatenate([n for _, n in read])
 
-    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = own(batches)
-        for bit in range(8 if len(keys) else 0):
-            x = _levels(keys, n, bit, depth, top, least)[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(x.nodes.view(np.int64)), *map(pa.array, (x.n0, x.n1, x.weighted))], names=["node", "n0", "n1", "weighted"])
+def _settled(levels: list[Level], path: Path) -> Path:
+    """What the path settles before each node or gram below the lowest level, of what it settles before the top one's."""
+    sure, left, other = path
+    for level in levels[::-1]:
+        sure, left = level.down(sure, left, other)
+        sure, left, other = sure[level.of], left[level.of], level.other[level.of]
+    return sure, left, other
+
+
+def _suffix(size: int) -> Column:
+    """The last bytes of the context of a gram or node."""
+    return F.shiftright("key", 8).bitwiseAND((1 << 8 * size) - 1)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """The columns of all batches of a task."""
+    read = list(batches)
+    if not read:
+        return []
+    return [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in read]) for i in range(read[0].num_columns)]
+
 
-    told = dealt.mapInArrow(releasing(up), "node long, n0 double, n1 double, weighted double").toArrow()  # 255 x 256 ** SPLIT rows at most
-    node, n0, n1, weighted = (told.column(i).to_numpy() for i in range(4))
-    order = np.argsort(node)
+def _told(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(columns[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=names)
+
+
+NODES, PATHS = ["key", "n0", "n1", "weighted"], ["key", "sure", "left", "other"]
+
+
+def _node_level(columns: list[np.ndarray]) -> Level:
+    """Nodes (key, n0, n1, weighted), in order."""
+    order = np.argsort(columns[0].view(np.uint64))
+    node, n0, n1, weighted = (c[order] for c in columns)
     none = np.zeros(0)
-    levels = [Level(node[order].view(np.uint64), n0[order], n1[order], weighted[order], np.ones(len(node)) if top == depth else none, none, none)]
-    for d in range(top - 1, -1, -1):
-        levels.append(_above(levels[-1], d, least))
-    sure, left, other = np.zeros(len(levels[-1].nodes)), np.ones(len(levels[-1].nodes)), np.full(len(levels[-1].nodes), 0.5)
-    for level in levels[:0:-1]:
-        sure, left = level.down(sure, left, other, least)
-        sure, left, other = sure[level.of], left[level.of], level.other[level.of]
-    shared = found.sparkSession.sparkContext.broadcast((levels[0].nodes, sure, left, other))
+    return Level(node.view(np.uint64), n0, n1, weighted, none, none, none)
+
+
+def _apart(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, Path]:
+    """Of rows dealt together: the lower ones' columns, and the upper nodes in order with their paths."""
+    upper = columns[-1]
+    keys, sure, left, other = (c[upper] for c in (columns[0], *columns[-4:-1]))
+    order = np.argsort(keys.view(np.uint64))
+    return [c[~upper] for c in columns[:-4]], keys.view(np.uint64)[order], (sure[order], left[order], other[order])
+
 
-    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = own(batches)
-        nodes, *before = shared.value
-        bits = np.zeros(len(keys))
+def _together(lower: DataFrame, paths: DataFrame, size: int, rows: int) -> DataFrame:
+    """Lower rows and the paths of the nodes above them, dealt by the same bytes of context."""
+    none = [F.lit(None).cast("double").alias(c) for c in PATHS[1:]]
+    below = lower.select("*", *none, F.lit(False).alias("upper"))
+    above = paths.select("key", *[F.lit(0).cast(f.dataType).alias(f.name) for f in lower.schema[1:]], *PATHS[1:], F.lit(True).alias("upper"))
+    return below.unionByName(above).repartition(sliced(rows, GRAMS_PER_TASK), _suffix(size))
+
+
+def costs(found: DataFrame) -> DataFrame:
+    """(key, n, bits): log2 of the probability of the last byte after the bytes before it of all grams of found (key, n),
+    whose counts make the tree. Without any count, each decision is even."""
+    rows, depth = found.count(), DEPTH
+    steps = [t for t in SPLITS if t <= depth] or [depth]
+    grams_ = found.select("key", "n")
+
+    def leaves_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _read(batches)
+        for bit in range(8 if read else 0):
+            x = _levels(read[0].view(np.uint64), read[1], bit, depth, steps[0])[-1]
+            yield from _told([x.nodes.view(np.int64), x.n0, x.n1, x.weighted], NODES)
+
+    def nodes_up(to: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            read = _read(batches)
+            if read:
+                x = _above(_node_level(read), to)
+                yield from _told([x.nodes.view(np.int64), x.n0, x.n1, x.weighted], NODES)
+
+        return run
+
+    def nodes_down(to: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            read = _read(batches)
+            if read:
+                own, above, path = _apart(read)
+                if len(own[0]):
+                    x = _node_level(own)
+                    level = _above(x, to)
+                    at = find(above, level.nodes)[0]
+                    yield from _told([x.nodes.view(np.int64), *_settled([level], tuple(p[at] for p in path))], PATHS)
+
+        return run
+
+    def leaves_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _read(batches)
+        if not read:
+            return
+        (key, n), above, path = _apart(read)
+        keys, bits = key.view(np.uint64), np.zeros(len(key))
         for bit in range(8 if len(keys) else 0):
-            levels = _levels(keys, n, bit, depth, top, least)
-            at = find(nodes, levels[-1].nodes)[0]
-            sure, left, other = (x[at] for x in before)
-            for level in levels[::-1]:
-                sure, left = level.down(sure, left, other, least)
-                sure, left, other = sure[level.of], left[level.of], level.other[level.of]
+            levels = _levels(keys, n, bit, depth, steps[0])
+            at = find(above, levels[-1].nodes)[0]
+            sure = _settled(levels, tuple(p[at] for p in path))[0]
             bits += np.log2(np.where(_split(keys, bit)[1], sure, 1 - sure))
-        for i in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000]), pa.array(bits[i : i + 100_000])], names=["key", "n", "bits"])
-
-    return cut(dealt.mapInArrow(releasing(down), "key long, n long, bits double"))
+        yield from _told([key, n, bits], ["key", "n", "bits"])
+
+    node_schema, path_schema = ", ".join(f"{c} {'long' if c == 'key' else 'double'}" for c in NODES), ", ".join(f"{c} {'long' if c == 'key' else 'double'}" for c in PATHS)
+    tables = [cut(grams_.repartition(sliced(rows, GRAMS_PER_TASK), _suffix(steps[0])).mapInArrow(releasing(leaves_up), node_schema))]
+    sizes = [tables[0].count()]
+    for to in steps[1:]:
+        dealt = tables[-1].repartition(sliced(sizes[-1], GRAMS_PER_TASK), _suffix(to))
+        tables.append(cut(dealt.mapInArrow(releasing(nodes_up(to)), node_schema)))
+        sizes.append(tables[-1].count())
+    # 255 x 256 rows at most (where DEPTH is greater than 0)
+    top = [_node_level([c.to_numpy() for c in tables[-1].toArrow().columns])]
+    for d in range(steps[-1] - 1, -1, -1):
+        top.append(_above(top[-1], d))
+    n = len(top[-1].nodes)
+    path = _settled(top[1:], (np.zeros(n), np.ones(n), np.full(n, 0.5)))
+    schema = "key long, sure double, left double, other double"
+    paths = found.sparkSession.createDataFrame(pa.table([pa.array(top[0].nodes.view(np.int64)), *map(pa.array, path)], names=PATHS), schema) if n else found.sparkSession.createDataFrame([], schema)
+    for to, lower, size in zip(steps[:0:-1], tables[-2::-1], sizes[-2::-1], strict=True):
+        paths = cut(_together(lower, paths, to, size).mapInArrow(releasing(nodes_down(to)), path_schema))
+    out = _together(grams_, paths, steps[0], rows + sizes[0])
+    return cut(out.mapInArrow(releasing(leaves_down), "key long, n long, bits double"))
 
 
 @dataclass

@@ -70,14 +70,14 @@ def brute_tree(texts, depth, least):
     return log2
 
 
-@pytest.mark.parametrize(("depth", "share"), [(2, 0.0), (2, 4e-3)])
-def test_scores_equal_the_recursion(spark, monkeypatch, depth, share):
+@pytest.mark.parametrize("depth", [0, 1, 2, 3, 5])
+def test_scores_equal_the_recursion(spark, monkeypatch, depth):
     monkeypatch.setattr(ctw, "DEPTH", depth)
-    monkeypatch.setattr(ctw, "least_share", lambda total: share)
+    monkeypatch.setattr(ctw, "GRAMS_PER_TASK", 300)
     own = [(i, t and t[:40]) for i, t in rows()[:14] + rows()[-4:]]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     train = [t for i, t in own if not held(i)]
-    log2 = brute_tree(train, depth, max(1.0, share * sum(len(low(t).encode()) + 1 for t in train)))
+    log2 = brute_tree(train, depth, 1.0)
     got = ctw.score(spark.createDataFrame(own, "doc_id long, text string")).collect()
     want = []
     for i, t in own:
@@ -117,11 +117,6 @@ def test_nothing_to_learn_from(spark):
     assert r.held_out and r.n_known == 0 and math.isclose(r.bits_per_byte, 8)
 
 
-def test_the_tree_grows_with_the_corpus():
-    nodes = [1 / ctw.least_share(n) for n in (10**8, 10**9, 10**14)]
-    assert nodes[0] < nodes[1] < nodes[2] < 3e7 and ctw.least_share(0) > 0
-
-
 def test_rare_contexts_of_a_larger_corpus_count(spark, monkeypatch):
     monkeypatch.setattr(ctw, "DEPTH", 2)
     draw = random.Random(5)
@@ -139,5 +134,16 @@ def test_rare_contexts_of_a_larger_corpus_count(spark, monkeypatch):
         assert math.isclose(r.score, got[r.doc_id], rel_tol=1e-9)
 
 
-def test_no_node_is_dropped_at_any_size():
-    assert {ctw.least_count(n) for n in (0, 1, 4096, 10**8, 10**14)} == {1.0}
+def test_one_context_holds_most_grams(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "DEPTH", 3)
+    monkeypatch.setattr(ctw, "GRAMS_PER_TASK", 500)
+    draw = random.Random(6)
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    own = {i: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") + "e " for _ in range(700)) for i in range(30)}
+    own |= {100 + i: "e " * 50 for i in range(20)}
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    log2 = brute_tree([t for i, t in own.items() if not held(i)], 3, 1.0)
+    got = {r.doc_id: r.score for r in ctw.score(df).collect()}
+    for i, t in own.items():
+        b = b"\xff" * 3 + t.encode() + b"\xff"
+        assert math.isclose(got[i], sum(log2(b[k - 3 : k + 1]) for k in range(3, len(b))) * math.log10(2), rel_tol=1e-9)
