@@ -9,6 +9,9 @@ Two kinds of rules. Host rules (`example.com/en/`) fit the host and its subdomai
 rule's; the longest decides. Patterns decide where no host rule fits: `*` is anything, `^` a separator or the end,
 `||` at the start the beginning of the host or of one of its parent domains, `|` the start or the end. A pattern of
 `allow` outweighs one of `block`; without any the url is allowed. Patterns are matched against the url in lower case.
+
+Patterns can be read from a file in the syntax of filter lists: a line each, `@@` before one that allows, `!` before a
+comment, and `$domain=a.org|~b.a.org` behind one that holds for some hosts only.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenewright.llm.common import cut, join_hot, lower_ascii
@@ -33,6 +36,9 @@ class Rule:
     regex: str
     tokens: tuple[str, ...]
     length: int
+    #: Hosts, with their subdomains, that the rule holds for (all, if there are none), and those that it doesn't.
+    only: tuple[str, ...] = ()
+    but: tuple[str, ...] = ()
 
 
 def _tokens(pattern: str) -> tuple[str, ...]:
@@ -54,7 +60,8 @@ def host_rule(verdict: str, name: str) -> Rule:
     return _checked(Rule(name, "host", verdict, regex, tokens, len(name)))
 
 
-def pattern_rule(verdict: str, name: str) -> Rule:
+def pattern_rule(verdict: str, name: str, *, strict: bool = True, only: tuple[str, ...] = (), but: tuple[str, ...] = ()) -> Rule:
+    """strict: a pattern without a literal token is an error; else it is filed under EVERY and runs for every url."""
     body, regex = name, ""
     if body.startswith("||"):
         body, regex = body[2:], r"^[^:]*://(?:[^/?#]*\.)?"
@@ -65,7 +72,40 @@ def pattern_rule(verdict: str, name: str) -> Rule:
     for c in body:
         regex += {"*": ".*", "^": r"(?:[^a-z0-9._%-]|\z)"}.get(c) or re.escape(c)
     edged = ("|" if name.startswith("|") else "") + body + ("|" if end else "")
-    return _checked(Rule(name, "pattern", verdict, f"(?s){regex}{end}", _tokens(edged), len(name)))
+    tokens = _tokens(edged) or (() if strict else (EVERY,))
+    return _checked(Rule(name, "pattern", verdict, f"(?s){regex}{end}", tokens, len(name), only, but))
+
+
+#: The token of rules without one of their own; no url's token has a sign.
+EVERY = "*"
+#: Options of a filter list that leave a rule as it is for whole pages.
+PLAIN_OPTIONS = {"document", "doc", "all", "important", "third-party", "~third-party", "3p", "1p"}
+
+
+def parsed(line: str) -> Rule | None:
+    """The rule of a line of a filter list. None: comments, headers, rules that hide parts of pages, whole regular
+    expressions, and rules whose options say that they are for something else than pages."""
+    text = line.strip()
+    if not text or text[0] in "![" or re.search("#[@?$%]*#", text) or (text.strip("@").startswith("/") and text.endswith("/") and len(text) > 2):
+        return None
+    verdict = "allow" if text.startswith("@@") else "block"
+    body, _, options = text.removeprefix("@@").partition("$")
+    only, but = [], []
+    for option in filter(None, options.lower().split(",")):
+        if option.startswith("domain="):
+            for name in filter(None, option.removeprefix("domain=").split("|")):
+                (but if name.startswith("~") else only).append(name.removeprefix("~"))
+        elif option not in PLAIN_OPTIONS:
+            return None
+    body = re.sub(r"\*{2,}", "*", body.lower())
+    return pattern_rule(verdict, body, strict=False, only=tuple(only), but=tuple(but)) if body.strip("*|") or only else None
+
+
+def read_rules(spark: SparkSession, path: str) -> list[Rule]:
+    """The rules of a filter list, in order; lines that repeat one count once. The driver holds them, as all tasks do."""
+    lines = [r.value for r in spark.read.text(path, wholetext=True).collect()]
+    found = [r for text in lines for r in map(parsed, text.splitlines()) if r is not None]
+    return list(dict.fromkeys(found))
 
 
 def _checked(rule: Rule) -> Rule:
@@ -84,15 +124,20 @@ def _url_tokens(url: Column) -> Column:
     return F.array_distinct(F.split(lower_ascii(url), "[^a-z0-9]+"))
 
 
+def _under(host: Column, domains: Column) -> Column:
+    """Whether a host is one of the domains or below one."""
+    return F.exists(domains, lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d)))
+
+
 def index(urls: DataFrame, column: str, rules: list[Rule], n: str | None = None) -> DataFrame:
     """The rules as a table, each with the one of its literal tokens that is rarest among the urls' tokens.
 
     n: a column with the rows that a url stands for. Tokens are counted within tasks first, so that one in every url
     costs no task more than another; the literals, as few as the rules that the driver was given, go to all tasks."""
     spark = urls.sparkSession
-    rows = [(i, r.name, r.kind, r.verdict, r.regex, list(r.tokens), r.length) for i, r in enumerate(rules)]
+    rows = [(i, r.name, r.kind, r.verdict, r.regex, list(r.tokens), r.length, list(r.only), list(r.but)) for i, r in enumerate(rules)]
     told = spark.createDataFrame(
-        rows, "id int, rule string, kind string, verdict string, regex string, tokens array<string>, length int"
+        rows, "id int, rule string, kind string, verdict string, regex string, tokens array<string>, length int, only array<string>, but array<string>"
     )
     literals = told.select("id", F.explode("tokens").alias("token"))
     seen = urls.select((F.col(n) if n else F.lit(1)).alias("n"), F.explode(_url_tokens(F.col(column))).alias("token"))
@@ -119,9 +164,14 @@ def judge(df: DataFrame, column: str, rules: list[Rule]) -> DataFrame:
     # the index has a row for each rule that the driver was given
     filed = F.broadcast(index(urls, "_url", rules, "_rows"))
     host, path = host_and_path(F.col("_url"))
-    fetched = urls.select("_url", "_rows", F.explode(_url_tokens(F.col("_url"))).alias("token")).join(filed, "token")
+    tokens = _url_tokens(F.col("_url"))
+    tokens = F.array_append(tokens, EVERY) if any(EVERY in r.tokens for r in rules) else tokens
+    fetched = urls.select("_url", "_rows", F.explode(tokens).alias("token")).join(filed, "token")
     subject = F.when(F.col("kind") == "host", F.concat(host, path)).otherwise(lower_ascii(F.col("_url")))
-    tried = fetched.withColumn("fits", F.rlike(subject, F.col("regex")))
+    fits = F.rlike(subject, F.col("regex"))
+    if any(r.only or r.but for r in rules):
+        fits = fits & ((F.size("only") == 0) | _under(host, F.col("only"))) & ~_under(host, F.col("but"))
+    tried = fetched.withColumn("fits", fits)
     hosts = F.when(F.col("fits") & (F.col("kind") == "host"), F.struct("length", "rule", "verdict"))
     # allow comes before block, then the first rule as listed
     patterns = F.when(F.col("fits") & (F.col("kind") == "pattern"), F.struct((F.col("verdict") != "allow").alias("later"), "id", "rule", "verdict"))

@@ -92,3 +92,45 @@ def test_the_order_weighs_inclusion_and_not_the_draw_alone(spark, monkeypatch):
     monkeypatch.setattr(mixing, "pareto_rank", lambda u, inclusion: u / (1 - u))
     plain = {r.doc_id: r.copies for r in mixing.mix(df, ["doc_id"]).collect()}
     assert sum(plain[i] != r.copies for i, r in got.items()) > 100
+
+
+def plain_mix(rows, u, weights=(5, 2, 1), share=1.5, cap=2.0):
+    """The copies of rows (id, source, size) with draws u: levels by bisection, and the whole order sorted."""
+    sizes = defaultdict(int)
+    for _, s, n in rows:
+        sizes[s] += n
+    aim, out = fill(sizes, list(weights), share, cap), {}
+    for source in sizes:
+        own = [(i, n, n.bit_length()) for i, s, n in rows if s == source]
+        low, high = 0.0, 1e9
+        for _ in range(300):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(n * min(cap, level * (d + 1)) for _, n, d in own) < aim[source] else (low, level)
+        copies = {d: min(cap, high * (d + 1)) if aim[source] > 0 else 0.0 for _, _, d in own}
+        whole = {d: int(c + 1e-9) for d, c in copies.items()}
+        order = []
+        for i, n, d in own:
+            p = max(0.0, copies[d] - whole[d])
+            if p > 1e-12:
+                r = u[i] / (1 - u[i]) / (p / (1 - p))
+                order.append((r / (1 + r), u[i], n, i))
+        order.sort()
+        rest, best, total = aim[source] - sum(n * whole[d] for _, n, d in own), None, 0
+        for k in range(len(order) + 1):
+            off = abs(total - rest)
+            if best is None or off < best[0] - 1e-9:
+                best = (off, k)
+            total += order[k][2] if k < len(order) else 0
+        more = {i for *_, i in order[: best[1] if rest > 0 else 0]}
+        out |= {i: whole[d] + (i in more) for i, _, d in own}
+    return out
+
+
+def test_row_by_row_against_a_plain_mix(spark):
+    draw = random.Random(11)
+    rows = [(i, draw.choice(["a", "b", "b", "c", "c", "c", None, "é"]), draw.choice([0, 1, 7, 90, 800, 5000]) + draw.randrange(40)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    u = {r.doc_id: r.u for r in df.select("doc_id", mixing.draw(["doc_id"], 9).alias("u")).collect()}
+    got = {r.doc_id: r.copies for r in mixing.mix(df, ["doc_id"]).collect()}
+    want = plain_mix(rows, u)
+    assert got == want and len(set(want.values())) > 1

@@ -75,3 +75,37 @@ def test_the_sql_runs_every_rule(spark):
     df = spark.createDataFrame(list(enumerate(URLS[:26])), "page_id long, url string")
     got = U.judge(df, "url", RULES).select("page_id", "host", "path", "rule", "pattern", "verdict").collect()
     assert sorted(map(tuple, got)) == sorted(told)
+
+
+LIST = """[Adblock Plus 2.0]
+! a comment
+||ads.example.org^
+||track.*/pixel^$domain=shop.org|~safe.shop.org
+@@||ads.example.org/about^
+@@/robots.txt|
+/banner/*/img^$third-party
+*swf
+example.com##.ad
+/[a-z]+[0-9]/
+||video.org^$media
+||ADS.example.org^
+||x.org^$domain=~y.x.org,document
+"""
+
+
+def test_rules_from_a_filter_list(spark, tmp_path):
+    (tmp_path / "list.txt").write_text(LIST)
+    rules = U.read_rules(spark, str(tmp_path / "list.txt"))
+    assert [(r.name, r.verdict) for r in rules] == [
+        ("||ads.example.org^", "block"), ("||track.*/pixel^", "block"), ("||ads.example.org/about^", "allow"), ("/robots.txt|", "allow"), ("/banner/*/img^", "block"),
+        ("*swf", "block"), ("||x.org^", "block"),
+    ]
+    urls = {
+        "http://ads.example.org/x": "||ads.example.org^", "http://a.ads.example.org/about": "||ads.example.org/about^", "http://nads.example.org/x": None,
+        "http://track.shop.org/pixel?1": "||track.*/pixel^", "http://track.safe.shop.org/pixel": None, "http://track.b.org/pixel": None, "http://ads.example.org/robots.txt": "/robots.txt|",
+        "http://q.de/banner/1/img/": "/banner/*/img^", "http://q.de/m.SWF?x": "*swf", "http://www.x.org/": "||x.org^", "http://y.x.org/": None, "http://a.y.x.org/": None, None: None, "": None,
+    }
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.url: (r.pattern, r.verdict) for r in U.judge(df, "url", rules).collect()}
+    verdict = {r.name: r.verdict for r in rules}
+    assert got == {u: (p, verdict.get(p, "allow")) for u, p in urls.items()}
