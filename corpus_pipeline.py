@@ -44,21 +44,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced."""
+    """All documents, with their secrets replaced; n_chars follows where any was. A null text stays null, one without
+    secrets as it is; rows that repeat are scanned alike. An empty table stays empty; columns other than those of
+    documents are dropped."""
     found = secrets.scan(docs, secrets.model_of(docs)).withColumn("text", secrets.redacted(F.col("text"), F.col("secret_spans")))
     chars = F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", chars).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed at 5, 2, 1: each document as often as the mix takes it."""
-    sized = docs.withColumn("size", mixing.n_words(F.col("text")))
+    """Sources mixed at 5, 2, 1: each document as often as the mix takes it. A null source is one of its own; documents
+    without words are taken like those of the shortest; rows equal in doc_id and length are taken or left together. An
+    empty table stays empty; columns other than those of documents are dropped."""
+    sized = docs.select(*COLUMNS).withColumn("size", mixing.n_words(F.col("text")))
     mixed = mixing.mix(sized, ["doc_id"])
     return mixed.withColumn("copy", F.explode(F.expr("array_repeat(0, copies)"))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens."""
+    """The pieces of all documents in sequences of 1024 tokens. A null text is an empty one, which is its end alone; rows
+    that repeat are packed each. An empty table stays empty; only doc_id goes along."""
     return packing.pack(cut(packing.pieces(docs, ["doc_id"], "text", tokenizer_file(), 1024)), 1024)
 
 

@@ -85,6 +85,11 @@ def completed(playlists: DataFrame, known: DataFrame) -> DataFrame:
     return out.withColumn("tracks", full).drop("_of", "_tracks")
 
 
+def valid_tracks(tracks: Column) -> Column:
+    """The tracks of a list that have an id and a title; null has none."""
+    return F.filter(F.coalesce(tracks, F.array()), lambda t: (t["id"] != 0) & (t["title"] != ""))
+
+
 def total_plays(tracks: Column) -> Column:
     """What an album's tracks were played together."""
     return F.aggregate(F.coalesce(tracks, F.array()), F.lit(0).cast("long"), lambda s, t: s + F.coalesce(t["playback_count"], F.lit(0)))

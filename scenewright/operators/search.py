@@ -74,3 +74,15 @@ def playable(t: DataFrame) -> Column:
     blocked = F.coalesce(F.col("access") == "blocked", F.lit(False))
     closed = (F.coalesce("streamable", F.lit(True)) == F.lit(False)) & ~F.coalesce(F.col("access") == "preview", F.lit(False))
     return there("id") & there("title") & there("permalink_url") & (F.coalesce("duration", F.lit(0)) > 0) & ~blocked & ~closed
+
+
+def federated(users: DataFrame, tracks: DataFrame, playlists: DataFrame, only: str | None = None) -> DataFrame:
+    """(kind, ...) of what was found: one resource (users, tracks, playlists, or albums: the playlists that are), or users,
+    tracks and playlists as one list. Columns that a kind lacks are null."""
+    parts = {"users": ("user", users), "tracks": ("track", tracks), "playlists": ("playlist", playlists.drop("is_album")), "albums": ("album", playlists.where("is_album").drop("is_album"))}
+    out = None
+    for name in [only] if only else ["users", "tracks", "playlists"]:
+        kind, df = parts[name]
+        told = df.withColumn("kind", F.lit(kind))
+        out = told if out is None else out.unionByName(told, allowMissingColumns=True)
+    return out

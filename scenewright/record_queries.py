@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scenewright.catalog import FOLD, query, v
 from scenewright.functions import text as T
-from scenewright.operators import entities, hubs, records, rollup
+from scenewright.operators import browse, entities, hubs, records, rollup, search
 
 
 def table(spark, d, name):
@@ -195,3 +195,41 @@ def k14_from_clicked(spark, d):
     """Every account's list from the item on that was clicked."""
     lists = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("items"))
     return lists.select("id", F.array_join(records.from_clicked(F.col("items"), (F.col("id") % 12).cast("int")).cast("array<string>"), ",").alias("items"))
+
+
+# --- small lists ------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey AS id, CAST(count(CASE WHEN l_linenumber % 2 = 1 AND l_partkey <> 0 THEN 1 END) AS INTEGER) AS valid FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1""")
+def p2_valid_tracks(spark, d):
+    """How many of every playlist's tracks have an id and a title."""
+    lists = raw_playlists(spark, d)[1].select(records.playlist(records.read_json(F.col("value"), "playlist")).alias("p")).select("p.*")
+    return lists.select("id", F.size(records.valid_tracks(F.col("tracks"))).alias("valid"))
+
+
+@query("""WITH l AS (SELECT o_custkey AS id, list(o_orderkey ORDER BY o_orderkey) AS a, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders GROUP BY o_custkey) SELECT id, a <> b AS changed FROM l""")
+def x8_order_changed(spark, d):
+    """Whether a list shows the same items in another order."""
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("a"), F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("b"))
+    return o.select("id", (F.col("a") != F.transform("b", lambda x: x["o_orderkey"])).alias("changed"))
+
+
+@query("""SELECT 'user' AS kind, c_custkey AS id, c_name AS title, c_acctbal > 9000 AS listed FROM customer WHERE contains(lower(c_name), '77') UNION ALL SELECT 'track', p_partkey, p_name, p_size > 40 FROM part WHERE contains(lower(p_name), '77') OR contains(lower(p_brand), '#17')
+    UNION ALL SELECT 'album', o_orderkey, o_orderpriority, false FROM orders WHERE contains(CAST(o_orderkey AS VARCHAR), '77') AND o_orderpriority = '1-URGENT'""")
+def r6_federated_search(spark, d):
+    """Users, tracks and albums that match, as one list of kinds."""
+    users = table(spark, d, "customer").where("contains(lower(c_name), '77')").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), (F.col("c_acctbal") > 9000).alias("listed"))
+    tracks = table(spark, d, "part").where("contains(lower(p_name), '77') or contains(lower(p_brand), '#17')").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), (F.col("p_size") > 40).alias("listed"))
+    lists = table(spark, d, "orders").where("contains(cast(o_orderkey as string), '77')").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.lit(False).alias("listed"), (F.col("o_orderpriority") == "1-URGENT").alias("is_album")
+    )
+    return search.federated(users, tracks, lists, "albums").unionByName(search.federated(users, tracks, lists, "users")).unionByName(search.federated(users, tracks, lists, "tracks"))
+
+
+@query("""WITH s AS (SELECT c_mktsegment || '/' || c_nationkey AS scene, min(c_custkey) AS least, count(*) AS members FROM customer GROUP BY 1)
+    SELECT scene, members, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (ORDER BY members DESC, least) AS place FROM s) x WHERE place <= 20""")
+def k5_k6_largest_scenes(spark, d):
+    """The twenty largest scenes; of equal ones the one of the least member comes first."""
+    c = table(spark, d, "customer").select(F.concat_ws("/", "c_mktsegment", "c_nationkey").alias("scene"), "c_custkey")
+    sizes = c.groupBy("scene").agg(F.count("*").alias("members"), F.min("c_custkey").alias("least"))
+    return browse.foremost(sizes, 20, F.desc("members"), "least").select("scene", "members", "place")
