@@ -46,6 +46,8 @@ GRAMS_PER_TASK = 200_000
 #: The occurrences that a node in the tree has at least: one. Those that only held-out texts have are no nodes.
 LEAST = 1
 WORD_SHARE = 2.5e-7
+#: Distinct grams, and words, that a task holds before it gives their counts out.
+COUNTED = 600_000
 #: No UTF-8 text has this byte: it stands before each text and ends it.
 EDGE = 255
 #: The word hash that stands for the end of a text.
@@ -70,7 +72,7 @@ def count(texts: DataFrame) -> DataFrame:
     count 0, its words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {GRAM: Counts(), WORD: Counts()}
+        held = {GRAM: Counts(COUNTED), WORD: Counts(COUNTED)}
         out = lambda kind, k, n: pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(n)], names=["kind", "key", "n"]
         )
@@ -336,7 +338,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             at, there = find(often_keys, keys)
             return np.where(there, often_bits[at], np.nan) if len(often_keys) else np.full(len(keys), np.nan)
 
-        cost = Memo(told, bits=21)
+        cost = Memo(told, bits=20)
 
         def known(h: np.ndarray) -> np.ndarray:
             at, there = find(hashes, h)
