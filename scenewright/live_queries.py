@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scenewright.catalog import CITY, FOLD, MEMBERS, NOW, query, v
 from scenewright.functions import text as T
-from scenewright.operators import browse, history, merge, rollup
+from scenewright.operators import browse, cache, history, merge, rollup
 from scenewright.operators.tables import scratch
 from scenewright.sources.store import Store
 
@@ -190,3 +190,29 @@ def ag5_canon_cities(spark, d):
     aliases = raw.where("n_name in ('NATION_3', 'NATION_7')").select(T.fold_term(F.col("n_name")).alias("fold"), F.when(F.col("n_name") == "NATION_3", "Nation_4").otherwise("New Place").alias("city"))
     none = raw.where("n_name in ('NATION_5', 'NATION_6')").select(T.fold_term(F.col("n_name")).alias("fold"))
     return rollup.cities(a, none=none, aliases=aliases).select("city", "country", "artist_count")
+
+
+# --- crawls and caches, small ones ------------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT c_custkey AS urn, CASE WHEN c_custkey % 4 = 0 THEN c_custkey * 20 END AS before FROM customer), v AS (SELECT o_custkey AS urn, max(o_orderkey) AS last FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+    SELECT a.urn, greatest(before, last) AS crawled_at, coalesce(before, last) IS NOT NULL AS crawled FROM a LEFT JOIN v ON v.urn = a.urn""")
+def u4_mark_crawled(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("urn"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey") * 20).alias("crawled_at"))
+    visits = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("urn"), F.col("o_orderkey").alias("at"))
+    return merge.mark_crawled(a, visits).select("urn", "crawled_at", "crawled")
+
+
+@query("""SELECT user_id AS run, min(CASE WHEN event_type = 'click' THEN event_id END) AS started, max(CASE WHEN event_type = 'purchase' THEN event_id END) AS finished,
+    CAST(arg_max(CAST(floor(value) AS BIGINT), event_id) FILTER (event_type = 'purchase') AS BIGINT) AS visited FROM events GROUP BY 1""")
+def u15_runs(spark, d):
+    kind = F.when(F.col("event_type") == "click", "start").when(F.col("event_type") == "purchase", "finish")
+    return merge.merge_runs(table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("at"), kind.alias("kind"), F.floor("value").cast("long").alias("visited")))
+
+
+@query("""SELECT 'tracks:' || o_custkey || ':' || size AS key, least(size, count(*)) AS items, 259200000 AS ttl FROM orders, (VALUES (5), (200)) s(size) GROUP BY o_custkey, size""")
+def c7_seeded_lists(spark, d):
+    """Every account's list under the keys of both sizes that pages ask for."""
+    lists = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("items"), F.max("o_orderkey").alias("at"))
+    n = F.json_array_length(F.get_json_object("value", "$.collection")).cast("long")
+    return cache.seeded(lists, "tracks", (5, 200)).select("key", n.alias("items"), F.col("ttl").cast("int").alias("ttl"))

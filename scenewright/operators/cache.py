@@ -6,6 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# How long entries of each type are fresh, and how long they are held after that, in milliseconds; what
+# people search for and what they play is not held.
+HOUR = 3_600_000
+POLICY = {"profile": 24 * HOUR, "playlists": 72 * HOUR, "tracks": 72 * HOUR, "followers": 24 * HOUR, "search": 5 * 60_000, "streams": 30 * 60_000}
+HELD, NOT_HELD = 90 * 24 * HOUR, ("search", "streams")
+
+
+def ttl_of(kind: Column) -> Column:
+    """How long an entry of that type is fresh; null of an unknown one."""
+    return F.create_map(*[F.lit(x) for pair in POLICY.items() for x in pair])[kind]
+
+
+def held_of(kind: Column) -> Column:
+    """How long it is held after that."""
+    return F.when(kind.isin(*NOT_HELD), 0).when(kind.isin(*POLICY), HELD)
+
+
+def seeded(lists: DataFrame, kind: str, sizes: tuple[int, ...] = (50, 200)) -> DataFrame:
+    """Sets (key, value, type, at, ttl) of what a visit has fetched anyway: lists (id, items, at) under the key of each
+    size that is asked for, cut to it. value is JSON."""
+    told = lists.select("id", "items", "at", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"))
+    value = F.to_json(F.struct(F.slice("items", F.lit(1), F.col("n")).alias("collection")))
+    return told.select(F.concat_ws(":", F.lit(kind), "id", "n").alias("key"), value.alias("value"), F.lit(kind).alias("type"), "at", F.lit(POLICY[kind]).alias("ttl"))
+
+
 def latest(sets: DataFrame, stale_ms: int = 0) -> DataFrame:
     """One row per key of sets (key, value, type, at, ttl): a ttl of none is five minutes; created_at is the first."""
     ttl = F.when(F.coalesce("ttl", F.lit(0)) > 0, F.col("ttl")).otherwise(F.lit(300_000))

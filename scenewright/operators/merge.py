@@ -84,6 +84,22 @@ def mark_done(queue: DataFrame, done: DataFrame) -> DataFrame:
     return told.withColumn("status", F.when(F.col("_done") & (F.col("status") == "in_progress"), "done").otherwise(F.col("status"))).drop("_done")
 
 
+def mark_crawled(artists: DataFrame, visits: DataFrame) -> DataFrame:
+    """artists (urn, ...) with crawled and crawled_at of visits (urn, at): the last visit counts; who was crawled before
+    stays so."""
+    last = visits.groupBy("urn").agg(F.max("at").alias("_at"))
+    told = artists.join(last, "urn", "left")
+    return told.withColumn("crawled_at", F.greatest("crawled_at", "_at")).withColumn("crawled", F.col("crawled_at").isNotNull()).drop("_at")
+
+
+def merge_runs(events: DataFrame) -> DataFrame:
+    """(run, started, finished, visited) of events (run, at, kind, visited): the first start, the last finish, and how
+    many it visited by then; a run that goes on has no finish."""
+    end = F.when(F.col("kind") == "finish", F.struct("at", "visited"))
+    told = events.groupBy("run").agg(F.min(F.when(F.col("kind") == "start", F.col("at"))).alias("started"), F.max(end).alias("e"))
+    return told.select("run", "started", F.col("e.at").alias("finished"), F.col("e.visited").alias("visited"))
+
+
 def reset_in_progress(queue: DataFrame) -> DataFrame:
     """After a crash, what was in progress is pending again."""
     return queue.withColumn("status", F.when(F.col("status") == "in_progress", "pending").otherwise(F.col("status")))

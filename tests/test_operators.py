@@ -72,6 +72,28 @@ def test_stable_ids(spark):
     assert ids(["ab", "cd"], {}) == [1, 2]
 
 
+def test_contested_ids_go_to_the_most_alike(spark):
+    draw = random.Random(13)
+    people = [f"p{i}" for i in range(60)]
+    clusters, previous = ({k: set(draw.sample(people, draw.randrange(2, 9))) for k in range(1, 12)} for _ in range(2))
+    previous = {k * 3: v for k, v in previous.items()}
+    pairs = sorted(((-len(c & p) / len(c | p), i, k) for k, c in clusters.items() for i, p in previous.items() if c & p and len(c & p) / len(c | p) >= 0.1))
+    want, used = {}, set()
+    for _, i, k in pairs:
+        if k not in want and i not in used:
+            want[k] = i
+            used.add(i)
+    contested = len(pairs) - len(want)
+    fresh = max(previous)
+    for k in sorted(clusters):
+        if k not in want:
+            fresh += 1
+            want[k] = fresh
+    rows = lambda groups: [(k, m) for k, ms in groups.items() for m in ms]
+    got = scenes.stable_ids(spark.createDataFrame(rows(clusters), "cluster long, member string"), spark.createDataFrame(rows(previous), "id long, member string"))
+    assert {r.cluster: r.id for r in got.collect()} == want and contested > 5
+
+
 def test_louvain_separates_cliques(spark):
     clique = lambda ns: [(a, b, 1.0) for a in ns for b in ns if a < b]
     e = spark.createDataFrame([*clique(range(1, 6)), *clique(range(11, 16)), (1, 11, 0.1)], "u long, v long, weight double")
