@@ -70,3 +70,23 @@ def test_empty_tables_pass(spark):
     for _, stage in P.STAGES:
         docs = cut(stage(spark, docs, ""))
     assert docs.count() == 0
+
+
+CLASHING = ["n_words", "nats", "kept", "lower", "language", "component_id", "_whose", "base_spans", "secret_spans", "size", "copies", "taken", "start", "length", "sequence_id", "offset"]
+
+
+def test_stages_take_very_long_texts_and_clashing_columns(spark):
+    draw = random.Random(7)
+    words = ["".join(draw.choices(["ta", "ren", "is", "mo", "el", "dor"], k=draw.randrange(1, 4))) for _ in range(400)]
+    rows = [(i, " ".join(draw.choices(words, k=200)), draw.choice(["en", None]), draw.choice(["a", None])) for i in range(40)]
+    long = " ".join(draw.choices(words, k=300_000)) + " token=0123456789abcdefX " + " " * 400_000 + "end"
+    rows += [(100, long, "en", "a"), (101, None, None, None), (102, "", "en", "a"), (None, rows[0][1], "en", "a"), (103, "x" * 1_000_000, "en", "a"), (104, "0123456789abcdef" * 20_000, "en", "a")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *["clash"] * len(CLASHING)) for r in rows], SCHEMA + ", " + ", ".join(f"{c} string" for c in CLASHING))
+    for name, stage in P.STAGES:
+        out = cut(stage(spark, docs, ""))
+        if name == "packing":
+            assert {r.doc_id for r in out.select("doc_id").collect()} == {r[0] for r in rows}
+        else:
+            assert out.columns == P.COLUMNS
+            got = {r.doc_id: r.text for r in out.where("doc_id >= 100").collect()}
+            assert (100 in got or name == "quality_rules") and (name != "secret_scan" or ("[SECRET]" in got[100] and got[104] == "[SECRET]" and len(got[103]) == 1_000_000))
