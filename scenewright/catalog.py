@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scenewright.functions import text as T
-from scenewright.operators import cache, extract, hubs, merge, rollup, scenes, search, weights
+from scenewright.operators import cache, extract, merge, rollup, scenes, search, weights
 from scenewright.sources import atlas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,9 +103,9 @@ def ag2_genres(spark, d):
     return rollup.genres(v(spark, d, "terms")).select("fold", "artist_count")
 
 
-@query(f"WITH {MEMBERS} SELECT fold AS term, count(*) AS artists FROM m GROUP BY fold HAVING count(*) < 2")
+@query(f"WITH {MEMBERS} SELECT fold AS term, count(*) AS artists FROM m GROUP BY fold HAVING count(*) < 1030")
 def ag2_below_threshold(spark, d):
-    return rollup.below_threshold(v(spark, d, "terms"))
+    return rollup.below_threshold(v(spark, d, "terms"), rollup.Config(min_genre_artists=1030))
 
 
 @query(f"WITH {MEMBERS} SELECT * FROM m")
@@ -168,25 +168,11 @@ def w1_top_terms_per_artist(spark, d):
 
 # --- browse -----------------------------------------------------------------------------------------------------------
 
-same_sql("k1_cities_by_size", "SELECT city_raw, count(*) AS artist_count FROM {artists} GROUP BY city_raw ORDER BY artist_count DESC, city_raw")
-same_sql("a19_status_counts", "SELECT count(*) AS artists, count(DISTINCT city_raw) AS cities, count(CASE WHEN account_kind = 'hub' THEN 1 END) AS hubs FROM {artists}")
-same_sql("k4_reach_order", "SELECT urn, followers, likes + comments AS impact, plays FROM {artists} ORDER BY coalesce(followers, 0) DESC, coalesce(likes + comments, 0) DESC, coalesce(plays, 0) DESC, urn")
 same_sql(
     "q5_sound_in_place",
     """SELECT a.urn, a.followers, a.account_kind FROM {terms} t JOIN {artists} a ON a.urn = t.urn
     WHERE t.term = 'Brand#17' AND t.kind = 'genre' AND a.city_raw = 'NATION_3' ORDER BY a.followers DESC, a.likes + a.comments DESC, a.plays DESC, a.urn LIMIT 24""",
 )
-same_sql(
-    "q9_browse_index",
-    """SELECT 'city' AS kind, city_raw AS name, count(*) AS n FROM {artists} GROUP BY city_raw
-    UNION ALL SELECT kind, term, count(*) FROM {terms} GROUP BY kind, term UNION ALL SELECT 'scene', segment, count(*) FROM {artists} WHERE segment IS NOT NULL GROUP BY segment""",
-)
-same_sql(
-    "q11_artist_presence",
-    """SELECT urn, kind, name, evidence FROM (SELECT urn, 'sound' AS kind, term AS name, evidence, row_number() OVER (PARTITION BY urn ORDER BY evidence DESC, term) AS place
-      FROM {terms} WHERE kind = 'genre') x WHERE place <= 4
-    UNION ALL SELECT urn, 'place', city_raw, 1 FROM {artists} UNION ALL SELECT urn, 'scene', segment, 1 FROM {artists} WHERE segment IS NOT NULL""",
-)
 
 
 @query("WITH f AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'follow') SELECT a.src, a.dst FROM f a JOIN f b ON b.src = a.dst AND b.dst = a.src")
@@ -194,15 +180,9 @@ def j12_mutual_follows(spark, d):
     return weights.mutual(v(spark, d, "edges"))
 
 
-same_sql("u9_inbound_priority", "SELECT a.urn, coalesce(n, 0) AS priority FROM {artists} a LEFT JOIN (SELECT dst, count(*) AS n FROM {edges} GROUP BY dst) e ON e.dst = a.urn")
-same_sql("u14_counts", "SELECT 'artists' AS name, count(*) AS n FROM {artists} UNION ALL SELECT 'edges', count(*) FROM {edges} UNION ALL SELECT 'terms', count(*) FROM {terms}")
-same_sql("a13_top_city_share", """SELECT segment, city_raw, n, floor(CAST(n AS DOUBLE) / total * 1e6 + 0.5) / 1e6 AS share FROM (
-    SELECT segment, city_raw, count(*) AS n, sum(count(*)) OVER (PARTITION BY segment) AS total, row_number() OVER (PARTITION BY segment ORDER BY count(*) DESC, city_raw) AS place
-    FROM {artists} WHERE segment IS NOT NULL GROUP BY segment, city_raw) x WHERE place = 1""")
 same_sql("a22_metric_summary", "SELECT event_type, count(*) AS n, floor(avg(value) * 1e4 + 0.5) / 1e4 AS mean, min(value) AS low, max(value) AS high FROM {events} GROUP BY event_type")
 same_sql("st7_slow_metrics", """SELECT event_id, value > 50 AS slow FROM (SELECT event_id, value, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM {events}) x WHERE place <= 500""")
 same_sql("p7_crawled_predicate", "SELECT urn, CASE WHEN last_upload_at IS NOT NULL THEN 1 ELSE 0 END AS crawled FROM {artists}")
-same_sql("u22_crawl_guard", "SELECT urn FROM {artists} WHERE coalesce(track_count, 0) >= 1")
 # --- functions --------------------------------------------------------------------------------------------------------
 
 
@@ -384,34 +364,9 @@ def u23_bounded_crawl(spark, d):
     return extract.crawl(ways, all_, ["3"], 3)
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(?i)(?:records|recordings|recs|label|tapes|podcast|radio|radioshow|magazine|collective|festival|soundsystem|distribution|premieres|events|series|media)$') AS hub FROM documents""")
-def h3_permalink_rule(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", hubs.permalink_of_hub(F.col("text")).alias("hub"))
-
-
-@query(r"""SELECT urn FROM (SELECT source AS urn, lower(trim(regexp_extract(text, '^(.{2,40}?)\s+[a-z]+\s+', 1))) AS p FROM documents) WHERE p <> '' GROUP BY urn
-    HAVING count(*) >= 10 AND count(DISTINCT p) >= 15 AND count(DISTINCT p) / count(*) >= 0.7""".replace("\\\\", "\\"))
-def h4_title_shapes(spark, d):
-    title = F.regexp_replace("text", r"^(.{2,40}?)\s+[a-z]+\s+", "$1 - ")
-    return hubs.channels_by_titles(spark.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("urn"), title.alias("title")))
-
-
 # --- more browse and read-side queries --------------------------------------------------------------------------------
 
-same_sql("a6_scenes_per_genre", "SELECT a.segment, count(*) AS n FROM {terms} t JOIN {artists} a ON a.urn = t.urn WHERE t.term = 'Brand#17' AND a.segment IS NOT NULL GROUP BY a.segment ORDER BY n DESC, a.segment LIMIT 6")
-same_sql("a8_located_members", "SELECT count(*) AS n FROM {artists} WHERE city_raw IS NOT NULL AND segment IS NOT NULL")
-same_sql("a11_term_support", "SELECT a.segment, t.term, count(DISTINCT t.urn) AS support FROM {terms} t JOIN {artists} a ON a.urn = t.urn WHERE a.segment IS NOT NULL GROUP BY a.segment, t.term")
-same_sql("a15_scene_counts", "SELECT segment, count(CASE WHEN last_upload_at IS NOT NULL THEN 1 END) AS crawled, count(CASE WHEN account_kind = 'hub' THEN 1 END) AS hubs FROM {artists} GROUP BY segment")
-same_sql("a17_document_frequency", "SELECT term, count(DISTINCT a.segment) AS df FROM {terms} t JOIN {artists} a ON a.urn = t.urn WHERE evidence > 0 GROUP BY term")
-same_sql("w3_top_hubs", "SELECT segment, urn, followers FROM (SELECT segment, urn, followers, row_number() OVER (PARTITION BY segment ORDER BY followers DESC, urn) AS place FROM {artists} WHERE account_kind = 'hub') x WHERE place <= 12")
 same_sql("w8_display_rank", "SELECT urn, lpad(CAST(row_number() OVER (ORDER BY followers DESC, urn) AS STRING), 2, '0') AS place FROM (SELECT urn, followers FROM {artists} ORDER BY followers DESC, urn LIMIT 24) x", "SELECT urn, lpad(CAST(row_number() OVER (ORDER BY followers DESC, urn) AS VARCHAR), 2, '0') AS place FROM (SELECT urn, followers FROM {artists} ORDER BY followers DESC, urn LIMIT 24) x")
-same_sql("k9_most_played", "SELECT urn, plays FROM (SELECT urn, plays FROM {artists} ORDER BY plays DESC, urn LIMIT 3) x WHERE plays > 0")
-same_sql("k2_scenes_by_size", "SELECT segment, count(*) AS member_count FROM {artists} WHERE segment IS NOT NULL GROUP BY segment ORDER BY member_count DESC, segment")
-same_sql("j1_membership_join", "SELECT t.term, count(*) AS members, sum(a.followers) AS reach FROM {terms} t JOIN {artists} a ON a.urn = t.urn WHERE t.kind = 'genre' GROUP BY t.term", "SELECT t.term, count(*) AS members, CAST(sum(a.followers) AS BIGINT) AS reach FROM {terms} t JOIN {artists} a ON a.urn = t.urn WHERE t.kind = 'genre' GROUP BY t.term")
-same_sql("j9_terms_without_hubs", "SELECT t.term, count(*) AS n FROM {terms} t WHERE NOT EXISTS (SELECT 1 FROM {artists} a WHERE a.urn = t.urn AND a.account_kind = 'hub') GROUP BY t.term")
-same_sql("j11_either_end", "SELECT urn, count(*) AS ties FROM (SELECT src AS urn FROM {edges} UNION ALL SELECT dst FROM {edges} WHERE src <> dst) x GROUP BY urn")
-same_sql("j13_name_or_slug", "SELECT a.urn, coalesce(b.permalink, a.urn) AS name FROM {artists} a LEFT JOIN (SELECT urn, permalink FROM {artists} WHERE followers > 5000) b ON b.urn = a.urn")
-same_sql("x3_first_source_wins", "SELECT urn, place FROM (SELECT urn, place, row_number() OVER (PARTITION BY urn ORDER BY place) AS n FROM (SELECT src AS urn, 1 AS place FROM {edges} UNION ALL SELECT urn, 2 FROM {artists}) x) y WHERE n = 1")
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From typed edges to symmetric weighted ties."""

@@ -49,6 +49,11 @@ def engagement(tracks: DataFrame) -> DataFrame:
     )
 
 
+def crawlable(artists: DataFrame) -> DataFrame:
+    """The accounts that a crawl visits: those with a track."""
+    return artists.where(F.coalesce("track_count", F.lit(0)) >= 1)
+
+
 def crawl(edges: DataFrame, artists: DataFrame, seeds: list[str], max_depth: int) -> DataFrame:
     """(urn, depth): accounts with a track that edges (src, dst) reach from the seeds, at their least depth.
 
@@ -56,7 +61,7 @@ def crawl(edges: DataFrame, artists: DataFrame, seeds: list[str], max_depth: int
     from scenewright.operators.scenes import written
 
     spark = edges.sparkSession
-    can = artists.where(F.coalesce("track_count", F.lit(0)) >= 1).select("urn")
+    can = crawlable(artists).select("urn")
     seen = written(spark.createDataFrame([(s, 0) for s in seeds], "urn string, depth int").join(can, "urn", "left_semi"))
     frontier = seen
     for depth in range(1, max_depth + 1):

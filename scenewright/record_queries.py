@@ -233,3 +233,21 @@ def k5_k6_largest_scenes(spark, d):
     c = table(spark, d, "customer").select(F.concat_ws("/", "c_mktsegment", "c_nationkey").alias("scene"), "c_custkey")
     sizes = c.groupBy("scene").agg(F.count("*").alias("members"), F.min("c_custkey").alias("least"))
     return browse.foremost(sizes, 20, F.desc("members"), "least").select("scene", "members", "place")
+
+
+#: Permalinks: words of parts, some with an institution's word at their end or elsewhere.
+PERMALINKS = """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN concat(replace(p_name, ' ', ''), 'Recs') WHEN 1 THEN concat('label-', replace(p_name, ' ', '')) WHEN 2 THEN concat(replace(p_name, ' ', '-'), '-radio')
+  WHEN 3 THEN concat(replace(p_name, ' ', ''), 'media2') WHEN 4 THEN NULL WHEN 5 THEN concat(replace(p_name, ' ', ''), 'podcast') ELSE replace(p_name, ' ', '') END AS permalink FROM {part}"""
+
+
+@query("SELECT p_partkey, p_partkey % 7 IN (0, 2, 5) AS hub FROM part")
+def h3_permalink_rule(spark, d):
+    """Which permalinks end in an institution's word."""
+    return sql(spark, d, PERMALINKS, "part").select("p_partkey", hubs.permalink_of_hub(F.col("permalink")).alias("hub"))
+
+
+@query(f"""WITH t AS ({plain(TITLES)}), p AS (SELECT urn, CASE WHEN title LIKE 'Artist%' THEN lower(split_part(title, ' - ', 1)) ELSE lower(split_part(title, ' – ', 1)) END AS p FROM t WHERE title <> 'Song')
+  SELECT urn FROM p GROUP BY urn HAVING count(*) >= 10 AND count(DISTINCT p) >= 15 AND count(DISTINCT p) / count(*) >= 0.7""")
+def h4_title_shapes(spark, d):
+    """Channels by their titles, among accounts that name themselves, many others, or nobody."""
+    return hubs.channels_by_titles(spark.sql(spark_text(TITLES), orders=table(spark, d, "orders")))

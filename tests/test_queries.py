@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from scenewright import catalog, live_queries, pages, reads, record_queries, scene_queries  # noqa: F401  they add their queries to the catalog
+from scenewright import catalog, list_queries, live_queries, pages, reads, record_queries, scene_queries  # noqa: F401  they add their queries to the catalog
 
 DATA = "/root/testdata/sf0.001"
 
