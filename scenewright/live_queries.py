@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from scenewright.catalog import CITY, FOLD, MEMBERS, NOW, query, v
 from scenewright.functions import text as T
-from scenewright.operators import browse, cache, history, merge, rollup
+from scenewright.operators import browse, cache, extract, history, merge, rollup, tracks
 from scenewright.operators.tables import scratch
+from scenewright.sources import files
 from scenewright.sources.store import Store
 
 
@@ -216,3 +217,58 @@ def c7_seeded_lists(spark, d):
     lists = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("items"), F.max("o_orderkey").alias("at"))
     n = F.json_array_length(F.get_json_object("value", "$.collection")).cast("long")
     return cache.seeded(lists, "tracks", (5, 200)).select("key", n.alias("items"), F.col("ttl").cast("int").alias("ttl"))
+
+
+# --- sightings, stores and gates --------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT page_id % 50 AS urn, url FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ftp:' || url ELSE regexp_replace(url, '[?].*$', '') END AS url FROM pages) WHERE starts_with(url, 'http')")
+def u19_purchase_links(spark, d):
+    url = F.when(F.col("page_id") % 4 == 1, F.concat(F.lit("ftp:"), "url")).when(F.col("page_id") % 4 > 1, F.regexp_replace("url", "[?].*$", ""))
+    return extract.purchase_links(table(spark, d, "pages").select((F.col("page_id") % 50).alias("urn"), url.alias("purchase_url")))
+
+
+@query("""WITH v AS (SELECT urn, followers % 4 AS depth FROM artists WHERE followers % 3 = 0), f AS (SELECT src, dst, type, row_number() OVER (PARTITION BY src, type ORDER BY dst) AS n FROM edges)
+    SELECT dst AS urn, min(depth) + 1 AS depth FROM v JOIN f ON f.src = v.urn WHERE depth < 3 AND (type = 'repost' OR n <= 8) GROUP BY dst""")
+def u24_visit_policy(spark, d):
+    """What a round of visits puts into the queue."""
+    visited = v(spark, d, "artists").where("followers % 3 = 0").select("urn", (F.col("followers") % 4).alias("depth"))
+    return extract.next_visits(visited, v(spark, d, "edges"), 3, followings=8)
+
+
+@query(f"""WITH {MEMBERS}, r AS (SELECT last_upload_at AS t FROM m JOIN artists a ON a.urn = m.urn WHERE fold = 'brand12')
+    SELECT count(CASE WHEN t > TIMESTAMP '{NOW}' - INTERVAL 1 DAY THEN 1 END) AS day, count(CASE WHEN t > TIMESTAMP '{NOW}' - INTERVAL 7 DAY THEN 1 END) AS week FROM r""")
+def a3_activity_of_one(spark, d):
+    return rollup.activity_of(rollup.memberships(v(spark, d, "terms")), v(spark, d, "artists"), "fold", "brand12", F.lit(NOW).cast("timestamp"))
+
+
+@query(f"""WITH {MEMBERS}, {CITY}, n AS (SELECT city, count(*) AS artist_count FROM c GROUP BY city HAVING count(*) >= 2),
+    t AS (SELECT fold, c.city, count(DISTINCT m.urn) AS members FROM m JOIN c ON m.urn = c.urn GROUP BY 1, 2)
+    SELECT fold, t.city, members, artist_count FROM t JOIN n ON n.city = t.city""")
+def j3_genres_in_cities(spark, d):
+    """Every genre in every city that has a page, with the city's own size."""
+    a = v(spark, d, "artists")
+    tab = rollup.cross_tab(v(spark, d, "terms"), a).withColumnRenamed("artist_count", "members")
+    return tab.join(rollup.cities(a).select("city", "artist_count"), "city").select("fold", "city", "members", "artist_count")
+
+
+@query("""WITH s AS (SELECT c_mktsegment || '/' || c_nationkey AS scene, count(*) AS crawled FROM customer GROUP BY 1) SELECT scene AS name, crawled FROM s WHERE crawled >= 12""")
+def p6_named_only(spark, d):
+    """Scenes that have a name: those below the floor have theirs withheld and are read by no page."""
+    c = table(spark, d, "customer").select(F.concat_ws("/", "c_mktsegment", "c_nationkey").alias("name"))
+    return tracks.named_scenes(c.groupBy("name").agg(F.count("*").alias("crawled")), 12).where("name is not null").select("name", "crawled")
+
+
+@query("SELECT urn, permalink, followers FROM artists WHERE urn IN (SELECT 'customer:' || o_custkey FROM orders WHERE o_totalprice > 400000)")
+def p12_in_list(spark, d):
+    """The accounts of a list of urns, which may be long: it is joined, and sent along where it is small."""
+    urns = table(spark, d, "orders").where("o_totalprice > 400000").select(F.concat(F.lit("customer:"), "o_custkey").alias("urn"))
+    return v(spark, d, "artists").join(urns, "urn", "left_semi").select("urn", "permalink", "followers")
+
+
+@query("SELECT urn, permalink, followers, last_upload_at, CAST(NULL AS BIGINT) AS likes_total FROM artists WHERE followers % 2 = 0")
+def s6_snapshot_round_trip(spark, d):
+    """Accounts written as a run's snapshot and read back line by line, with a column that the store got later."""
+    path = files.write_snapshot({"artists": v(spark, d, "artists").where("followers % 2 = 0").select("urn", "permalink", "followers", "last_upload_at")}, scratch(spark), 1)
+    rows = files.read_lines(spark, f"{path}/artists.ndjson", "urn string, permalink string, followers long, last_upload_at timestamp_ntz", "urn")
+    return files.with_columns_of(rows, "urn string, likes_total bigint")

@@ -49,6 +49,18 @@ def engagement(tracks: DataFrame) -> DataFrame:
     )
 
 
+def next_visits(visited: DataFrame, edges: DataFrame, max_depth: int, followings: int = 600) -> DataFrame:
+    """(urn, depth) to enqueue after visits (urn, depth): whom the visited repost, and the first `followings` (by urn) whom
+    they follow, one step further, if that is not beyond max_depth. Each once, at its least depth."""
+    from pyspark.sql.window import Window
+
+    told = edges.join(visited.where(F.col("depth") < max_depth).select(F.col("urn").alias("src"), "depth"), "src")
+    turn = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    followed = told.where("type = 'follow'").withColumn("_n", turn).where(F.col("_n") <= followings).drop("_n")
+    both = told.where("type = 'repost'").select("dst", "depth").unionByName(followed.select("dst", "depth"))
+    return both.groupBy(F.col("dst").alias("urn")).agg((F.min("depth") + 1).alias("depth"))
+
+
 def crawlable(artists: DataFrame) -> DataFrame:
     """The accounts that a crawl visits: those with a track."""
     return artists.where(F.coalesce("track_count", F.lit(0)) >= 1)

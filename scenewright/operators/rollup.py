@@ -132,6 +132,13 @@ def related(terms: DataFrame, config: Config = Config()) -> DataFrame:
     return both.select("fold", "other", "shared", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("affinity"))
 
 
+def activity_of(members: DataFrame, artists: DataFrame, key: str, value, now) -> DataFrame:
+    """(day, week) of one group of members: one row, of zeros where nobody has uploaded."""
+    mine = members.where(F.col(key) == value)
+    told = activity(mine, artists, key, now)
+    return told.agg(F.coalesce(F.sum("day"), F.lit(0)).alias("day"), F.coalesce(F.sum("week"), F.lit(0)).alias("week"))
+
+
 REACH = ["followers", "impact", "plays"]
 
 

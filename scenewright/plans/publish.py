@@ -65,3 +65,12 @@ def publish(store: Store, tables: dict[str, tuple[DataFrame, list[str]]], bucket
     """Replace all the tables in one version of the store: run again, it makes equal tables; killed before its end, it
     leaves those before it."""
     return store.publish(tables, buckets)
+
+
+def previous_members(store: Store) -> DataFrame:
+    """(id, member) of the scenes that the store has, hidden ones included: what the next run's ids are matched with.
+    Empty where none was published yet."""
+    version = store.version()
+    if "scene_members" not in version.tables:
+        return store.spark.createDataFrame([], "id long, member string")
+    return store.read("scene_members", version).select(F.col("scene").alias("id"), F.col("urn").alias("member"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from scenewright.functions import text as T
 from scenewright.operators import browse, cache, merge, naming, rollup, scenes, search, weights
+from scenewright.plans import publish
+from scenewright.sources.store import Store
 from scenewright.streaming import ingest
 
 
@@ -235,15 +237,16 @@ def test_recent_counts(spark, late):
     assert sorted(r.n for r in ingest.recent_counts(df, late=late).collect()) == [1, 2]
 
 
-def test_scene_batch_names_two_scenes(spark):
+def test_scene_batch_names_two_scenes(spark, tmp_path):
     from scenewright.plans.scene_batch import compute_scenes
 
     genre = {0: "Dub Techno", 1: "Jungle", 2: "Noise"}
     urn = lambda g, i: f"{'abc'[g]}{i:02}"
     ties = [(urn(g, i), urn(g, j), "follow", 1.0) for g in range(3) for i in range(8) for j in range(8) if i != j] + [("a00", "b00", "follow", 1.0)]
     edges = spark.createDataFrame(ties, "src string, dst string, type string, weight double")
-    who = [(urn(g, i), f"name{g}{i}", ["Berlin", None, "Leeds"][g], "X", 0 if g == 2 else 3, "artist") for g in range(3) for i in range(8)]
-    artists = spark.createDataFrame(who, "urn string, permalink string, city_raw string, country string, track_count long, account_kind string")
+    who = [(urn(g, i), f"name{g}{i}", ["Berlin", None, "Leeds"][g], "X", 0 if g == 2 else 3, "artist", 5, 0, None, 0, None) for g in range(3) for i in range(8)]
+    counts = "followers long, plays long, likes long, comments long, last_upload_at string"
+    artists = spark.createDataFrame(who, f"urn string, permalink string, city_raw string, country string, track_count long, account_kind string, {counts}")
     terms = spark.createDataFrame([(urn(g, i), genre[g], "genre", 2) for g in range(3) for i in range(8)], "urn string, term string, kind string, evidence long")
     before = spark.createDataFrame([(7, urn(1, i)) for i in range(6)], "id long, member string")
     got = compute_scenes(edges, artists, terms, before, [1.0], dust=5, least_crawled=4)
@@ -256,3 +259,13 @@ def test_scene_batch_names_two_scenes(spark):
     assert rows[7].name is None and {r.slug for r in rows.values()} == {"berlin", None}
     assert {r.degree for r in got.members.where("urn = 'b01'").collect()} == {7.0}
     assert compute_scenes(edges.limit(0), artists, terms, before.limit(0)).scenes.count() == 0
+    # a run that is published hands its ids on to the next one, unnamed scenes included
+    store = Store(spark, f"file://{tmp_path}/store")
+    assert publish.previous_members(store).count() == 0
+    publish.publish(store, publish.scene_tables(got.scenes, got.members, artists, terms, 1.0, F.lit("2024-01-01").cast("timestamp")), 2)
+    again = compute_scenes(edges, artists, terms, publish.previous_members(store), [1.0], dust=5, least_crawled=4)
+    told = lambda df: sorted((r.scene, r.urn, r.degree) for r in df.select("scene", "urn", "degree").collect())
+    assert told(again.members) == told(got.members) == told(store.read("scene_members"))
+    shown = {r.scene: r for r in store.read("scenes").collect()}
+    assert [x.place for x in shown[7].roster] == list(range(1, 9)) and shown[7].hubs == [] and shown[7].total_count == 8
+    assert {x.connections for x in shown[7].roster} == {7.0, 8.0} or {x.connections for x in shown[7].roster} == {7.0}
