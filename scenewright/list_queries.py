@@ -132,3 +132,11 @@ def u14_counts(spark, d):
 @query("""SELECT urn FROM artists WHERE coalesce(track_count, 0) >= 1""")
 def u22_crawl_guard(spark, d):
     return extract.crawlable(v(spark, d, "artists")).select("urn")
+
+
+@query("""SELECT segment, CASE WHEN located < 5 OR CAST(located AS DOUBLE) / members < 0.12 THEN 'global' WHEN CAST(top AS DOUBLE) / located >= 0.33 THEN 'place'
+    WHEN CAST(top AS DOUBLE) / located >= 0.18 THEN 'tinted' ELSE 'global' END AS home FROM (SELECT segment, sum(n) AS members, sum(n) AS located, max(n) AS top
+      FROM (SELECT segment, country, count(*) AS n FROM artists WHERE segment IS NOT NULL GROUP BY segment, country) c GROUP BY segment) x""")
+def g18_scene_home(spark, d):
+    told = v(spark, d, "artists").where("segment is not null").select(F.col("segment").alias("scene"), F.col("country").alias("city"))
+    return browse.scene_homes(told).withColumnRenamed("scene", "segment")
