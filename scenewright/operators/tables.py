@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _own: list[str] = []
 _written: dict[str, SparkSession] = {}
@@ -54,6 +56,19 @@ def dropped(*tables: DataFrame | None) -> None:
                 delete(_written.pop(path), path)
 
 
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): the distinct keys of df, null left out, numbered from 0 in their order, however Spark deals them out:
+    each partition of the sorted keys counts for itself, and the counts before it, one row a partition, are added."""
+    dealt = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key)
+    dealt = written(dealt.select(key, F.monotonically_increasing_id().alias("m")))
+    part = F.shiftright("m", 33)
+    counts = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = counts.select("part", before.alias("first"))
+    in_part = F.col("m").bitwiseAND((1 << 33) - 1)
+    return dealt.withColumn("part", part).join(F.broadcast(first), "part").select(key, (F.col("first") + in_part).alias(name))
+
+
 @atexit.register
 def _clean() -> None:
     for path, spark in _written.items():
