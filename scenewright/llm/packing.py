@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scenewright.llm.common import cut, gapless
-from scenewright.llm.textbytes import releasing
+from scenewright.llm.textbytes import release, releasing
 
 #: A piece stays whole if it has so much of its class's share.
 FILL = 0.99
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 60_000
+REMEMBERED = 20_000
 #: The id that ends each document.
 END = 0
 
@@ -168,7 +168,9 @@ def _ranked(told: dict):
 def encoder(file: bytes) -> Ids:
     """The worker's encoder of this file: Spark's Python workers live on from task to task, and so does what it
     remembers."""
-    return Ids(file)
+    found = Ids(file)
+    release()  # what reading the file took
+    return found
 
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, ids binary"
