@@ -40,9 +40,9 @@ def entities(text: Column) -> Column:
     return F.transform(F.filter(told, lambda x, i: i % 2 == 1), one)
 
 
-def external_links(purchase: Column, download: Column, description: Column, duration: Column, own: Column) -> Column:
+def external_links(purchase: Column, download: Column, description: Column, duration: Column, own: Column, home: str = "Home") -> Column:
     """An array of (url, platform, action): the first address of each platform, in the order purchase, download, then
-    those of the description. A track longer than LONG_MS without any leads to its own page."""
+    those of the description. A track longer than LONG_MS without any leads to its own page, on the platform `home`."""
     urls = F.concat(F.array(purchase, download), F.regexp_extract_all(F.coalesce(description, F.lit("")), F.lit(f"({URL})"), 1))
 
     # an address belongs to the first platform that it names
@@ -52,7 +52,7 @@ def external_links(purchase: Column, download: Column, description: Column, dura
     hits = F.array(*[of(p) for _, p, _ in PLATFORMS])
     action = lambda p: F.coalesce(*[F.when(p == name, a) for _, name, a in PLATFORMS])
     found = F.transform(F.array_sort(F.filter(hits, lambda x: x.isNotNull())), lambda x: F.struct(x["url"].alias("url"), x["platform"].alias("platform"), action(x["platform"]).alias("action")))
-    page = F.array(F.struct(own.alias("url"), F.lit("SoundCloud").alias("platform"), F.lit("Listen").alias("action")))
+    page = F.array(F.struct(own.alias("url"), F.lit(home).alias("platform"), F.lit("Listen").alias("action")))
     return F.when((F.size(found) == 0) & F.coalesce(duration > LONG_MS, F.lit(False)), page).otherwise(found)
 
 

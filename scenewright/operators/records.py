@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 from scenewright.functions.text import urn_to_id
 
-# How accounts, tracks and playlists are named, what makes a playlist an album, and the fields that a raw
+# How accounts, tracks and playlists are named; fixed values: what makes a playlist an album, and the fields that a raw
 # record may have.
-PREFIX = {"user": "soundcloud:users:", "track": "soundcloud:tracks:", "playlist": "soundcloud:playlists:"}
+PREFIX = {"user": "user:", "track": "track:", "playlist": "playlist:"}
 ALBUMS = ["album", "ep", "compilation", "single"]
 USER = "struct<id:bigint,urn:string,username:string,permalink:string,permalink_url:string,avatar_url:string,followers_count:bigint,track_count:bigint,city:string,country:string>"
 TRACK = f"struct<id:bigint,urn:string,title:string,permalink_url:string,artwork_url:string,duration:bigint,playback_count:bigint,favoritings_count:bigint,comment_count:bigint,genre:string,tag_list:string,created_at:string,user:{USER}>"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scenewright.catalog import FOLD, query, v
-from scenewright.functions import text as T
 from scenewright.operators import browse, entities, hubs, records, rollup, search
 
 
@@ -50,7 +49,7 @@ SHOPS = """SELECT page_id, CASE page_id % 5 WHEN 0 THEN replace(url, 'example',
   p AS (SELECT *, CASE WHEN contains(lower(u), 'bandcamp.com') THEN 'Bandcamp' WHEN contains(lower(u), 'hypeddit.com') THEN 'Hypeddit' WHEN contains(lower(u), 'beatport.com') THEN 'Beatport' END AS platform FROM u),
   f AS (SELECT page_id, platform, u, pos FROM p WHERE platform IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id, platform ORDER BY pos) = 1),
   l AS (SELECT page_id, string_agg(platform || ' ' || u, ', ' ORDER BY pos) AS links FROM f GROUP BY page_id)
-  SELECT t.page_id, coalesce(links, CASE WHEN duration > 900000 THEN 'SoundCloud ' || url END, '') AS links FROM t LEFT JOIN l ON l.page_id = t.page_id""")
+  SELECT t.page_id, coalesce(links, CASE WHEN duration > 900000 THEN 'Home ' || url END, '') AS links FROM t LEFT JOIN l ON l.page_id = t.page_id""")
 def f18_link_platforms(spark, d):
     """The first address of each shop that a track leads to, over all pages."""
     t = sql(spark, d, spark_text(SHOPS), "pages")
@@ -134,7 +133,7 @@ def raw_playlists(spark, d):
     )
     kind = F.when(F.startswith("o_orderpriority", F.lit("1")), "ALBUM").when(F.startswith("o_orderpriority", F.lit("2")), "Ep").when(F.startswith("o_orderpriority", F.lit("3")), "PLAYLIST")
     lists = lines.groupBy("o_orderkey", kind.alias("playlist_type")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", one.alias("t")))).alias("t"))
-    return lines, lists.select(F.to_json(F.struct(F.concat(F.lit("soundcloud:playlists:"), "o_orderkey").alias("urn"), "playlist_type", F.transform("t", lambda x: x["t"]).alias("tracks"))).alias("value"))
+    return lines, lists.select(F.to_json(F.struct(F.concat(F.lit("playlist:"), "o_orderkey").alias("urn"), "playlist_type", F.transform("t", lambda x: x["t"]).alias("tracks"))).alias("value"))
 
 
 @query("""WITH t AS (SELECT o_orderkey, l_linenumber, l_partkey, o_orderpriority, CAST(l_quantity AS BIGINT) AS plays, CASE WHEN l_linenumber % 2 = 0 AND l_partkey % 5 = 0 THEN NULL ELSE p_name END AS title FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
@@ -162,7 +161,7 @@ def a21_album_plays(spark, d):
     return lists.where("is_album").select("id", records.total_plays(F.col("tracks")).alias("plays"))
 
 
-@query("""SELECT 'soundcloud:users:' || o_custkey AS urn, CAST(sum(o_orderkey % 100) AS BIGINT) AS plays, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 2 END) AS BIGINT) AS likes, CAST(0 AS BIGINT) AS comments
+@query("""SELECT 'user:' || o_custkey AS urn, CAST(sum(o_orderkey % 100) AS BIGINT) AS plays, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 2 END) AS BIGINT) AS likes, CAST(0 AS BIGINT) AS comments
     FROM orders WHERE o_custkey % 2 = 0 AND o_orderkey <> 0 GROUP BY 1""")
 def s15_cached_engagement(spark, d):
     """Engagement of half of the accounts from retained cache rows, which repeat tracks."""

@@ -60,7 +60,7 @@ def test_links_to_shops(spark):
         ("https://A.Bandcamp.com/x", "Bandcamp", "Buy"), ("http://beatport.com/1", "Beatport", "Buy"),
     ]
     assert links("https://shop", "http://hypeddit.com/bandcamp.com", None, 10**9, "o") == [("http://hypeddit.com/bandcamp.com", "Bandcamp", "Buy")]
-    assert links("", None, "none", 900_001, "own") == [("own", "SoundCloud", "Listen")] and links(None, None, None, 900_000, "own") == [] and links(None, None, None, None, "own") == []
+    assert links("", None, "none", 900_001, "own") == [("own", "Home", "Listen")] and links(None, None, None, 900_000, "own") == [] and links(None, None, None, None, "own") == []
 
 
 def test_embedded_objects(spark):

@@ -10,7 +10,7 @@ from scenewright.operators import rollup
 
 def test_raw_records_with_gaps(spark):
     raw = [
-        '{"urn": "soundcloud:users:9", "username": null, "followers_count": 4, "surprise": [1]}', '{"id": 3, "urn": "soundcloud:users:9", "city": "Rome"}', "{}", "not json", None,
+        '{"urn": "user:9", "username": null, "followers_count": 4, "surprise": [1]}', '{"id": 3, "urn": "user:9", "city": "Rome"}', "{}", "not json", None,
     ]
     df = spark.createDataFrame(list(enumerate(raw)), "n long, value string").withColumn("r", R.read_json(F.col("value"), "user"))
     got = {r.n: r.u and (r.u.id, r.u.username, r.u.followers_count, r.u.city) for r in df.select("n", F.when(F.col("r").isNotNull(), R.user(F.col("r"))).alias("u")).collect()}
