@@ -37,8 +37,6 @@ LEAST = 1
 MOST_LANGUAGES = 1 << 16
 #: Grams whose costs are broadcast, at most.
 HEAD = 1 << 21
-#: Distinct grams that a task holds before it gives their counts out.
-COUNTED = 600_000
 #: Labelled good documents that may lie below the band, and above it, and how many of its own weigh as much in a
 #: language's band as those of all languages.
 LOST, OTHERS = 0.01, 200
@@ -96,7 +94,7 @@ def count_grams(df: DataFrame, text: str, language: str, languages: dict[str, in
     """(key, n) of all grams of all texts: counted in each task, then added up by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(COUNTED)
+        counts = Counts()
         out = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["key", "n"])
         for batch in batches:
             of = _language_keys(batch.column(1), languages)

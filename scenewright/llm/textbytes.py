@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once. A longer text is a piece of its own.
-PIECE = 1 << 18
+PIECE = 1 << 19
 
 #: A-Z lower-cased, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
