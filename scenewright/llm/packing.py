@@ -21,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -211,17 +210,18 @@ def pieces(df: DataFrame, keys: list[str], text: str, tokenizer: bytes, capacity
 
 
 def _common(capacity: int):
-    def fill(rest: pd.DataFrame) -> pd.DataFrame:
+    def fill(rest: pa.Table) -> pa.Table:
         """First fit of the pieces, the longest first."""
-        rest = rest.sort_values(["length", *[c for c in rest.columns if c != "length"]], ascending=False, kind="stable")
-        room = np.full(len(rest), capacity)
+        others = [(c, "descending") for c in rest.column_names if c != "length"]
+        rest = rest.sort_by([("length", "descending"), *others])
+        room = np.full(rest.num_rows, capacity)
         place, offset = [], []
-        for n in rest["length"]:
+        for n in rest.column("length").to_pylist():
             k = int(np.argmax(room >= n))
             place.append(k)
-            offset.append(capacity - room[k])
+            offset.append(capacity - int(room[k]))
             room[k] -= n
-        return rest.assign(sequence_id=np.array(place, "int64"), offset=np.array(offset, "int64"))
+        return rest.append_column("sequence_id", pa.array(place, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     return fill
 
@@ -251,6 +251,6 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     rest = numbered.where("_bin >= _full").select(*names)
-    rest = rest.groupBy().applyInPandas(_common(capacity), f"{schema}, sequence_id long, offset long")
+    rest = rest.groupBy().applyInArrow(_common(capacity), f"{schema}, sequence_id long, offset long")
     rest = rest.withColumn("sequence_id", F.col("sequence_id") + F.lit(int(told[1])))
     return filled.select(*names, "sequence_id", "offset").unionByName(rest)
