@@ -23,3 +23,17 @@ def test_view_is_dealt_in_more_parts_as_it_grows(spark, name, monkeypatch):
     monkeypatch.setattr(atlas, "PART_ROWS", 100)
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
     assert atlas.view(spark, DATA, name).rdd.getNumPartitions() >= lines / 100
+
+
+def scans(df, column="l_orderkey"):
+    """How often the line items are read in a frame's plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(f"{column}#") and df._jdf.queryExecution().sparkPlan().toString().count(f"FileScan parquet [{column}")
+
+
+def test_artist_queue_is_dealt_by_account_and_read_once(spark, monkeypatch):
+    from scenewright import pages
+
+    monkeypatch.setattr(atlas, "PART_ROWS", 100)
+    queue = pages.q14_artist_queue(spark, DATA)
+    assert queue.rdd.getNumPartitions() >= spark.read.parquet(f"{DATA}/lineitem.parquet").count() / 100
+    assert scans(queue) == 1
