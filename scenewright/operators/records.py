@@ -75,14 +75,18 @@ def completed(playlists: DataFrame, known: DataFrame) -> DataFrame:
     tracks that repeat an id, the least counts. A null list stays null, an empty one empty. Ids of playlists are
     distinct."""
     once = known.groupBy(F.col("id").alias("_id")).agg(F.min("track").alias("_known"))
-    each = playlists.select(F.col("id").alias("_of"), F.posexplode("tracks").alias("_at", "_track"))
+    rest = [c for c in playlists.columns if c != "tracks"]
+    row = F.struct(F.col("tracks").isNotNull().alias("_list"), *rest)
+    each = playlists.select(F.col("id").alias("_of"), row.alias("_row"), F.posexplode_outer("tracks").alias("_at", "_track"))
+    each = each.withColumn("_row", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_row")))  # goes with the first track
     told = each.join(once, F.col("_track.id") == F.col("_id"), "left")
     better = F.when(_lacking(F.col("_track")), F.coalesce("_known", "_track")).otherwise(F.col("_track"))
-    told = told.withColumn("_track", better).where("_track.title != '' and _track.id != 0")
-    again = told.groupBy("_of").agg(F.array_sort(F.collect_list(F.struct("_at", "_track"))).alias("_tracks"))
-    out = playlists.join(again, F.col("id") == F.col("_of"), "left")
-    full = F.when(F.col("tracks").isNotNull(), F.coalesce(F.transform("_tracks", lambda x: x["_track"]), F.array_compact(F.slice("tracks", 1, 0))))
-    return out.withColumn("tracks", full).drop("_of", "_tracks")
+    told = told.withColumn("_track", better)
+    good = F.when((F.col("_track.title") != "") & (F.col("_track.id") != 0), F.struct("_at", "_track"))
+    again = told.groupBy("_of").agg(F.collect_list("_row").alias("_row"), F.array_sort(F.collect_list(good)).alias("_tracks"))
+    again = again.withColumn("_row", F.explode("_row"))
+    full = F.when(F.col("_row._list"), F.transform("_tracks", lambda x: x["_track"])).alias("tracks")
+    return again.select(*[full if c == "tracks" else F.col("_row")[c].alias(c) for c in playlists.columns])
 
 
 def valid_tracks(tracks: Column) -> Column:
