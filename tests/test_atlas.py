@@ -37,3 +37,17 @@ def test_artist_queue_is_dealt_by_account_and_read_once(spark, monkeypatch):
     queue = pages.q14_artist_queue(spark, DATA)
     assert queue.rdd.getNumPartitions() >= spark.read.parquet(f"{DATA}/lineitem.parquet").count() / 100
     assert scans(queue) == 1
+
+
+@pytest.mark.parametrize("name", ["ag19_report", "ag16_other_genres", "u26_completed_playlists"])
+def test_line_items_are_read_once(spark, name):
+    from scenewright import catalog, pages, reads, record_queries  # noqa: F401
+
+    column = "l_orderkey"
+    assert scans(catalog.QUERIES[name](spark, DATA), column) == (0 if name == "ag16_other_genres" else 1)
+
+
+def test_labels_read_tables_that_were_worked_out_before(spark):
+    from scenewright import scene_queries
+
+    assert [scans(df) for df in scene_queries.labelled(spark, DATA)] == [0, 0, 0, 0]
