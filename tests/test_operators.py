@@ -148,6 +148,36 @@ def test_modularity_never_falls_and_planted_groups_are_found(spark):
     assert apart and len(touched) == len(set(touched))
 
 
+def test_a_round_shuffles_its_ways_once(spark):
+    """And what it says of the moves before is what they bring, by the changed ways and by modularity."""
+    draw = random.Random(5)
+    ties = [(a, b, 1.0 + draw.random()) for a in range(30) for b in range(a) if draw.random() < 0.3]
+    e = spark.createDataFrame(ties, "u long, v long, weight double")
+    both = e.toDF("a", "b", "w").union(e.select("v", "u", "weight"))
+    total = sum(w for *_, w in ties)
+    degree = both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumns({"rate": F.lit(1 / (2 * total)), "g": F.lit(0).cast("long"), "m": F.lit(total)})
+    labels = both.select(F.col("a").alias("node"), F.col("a").alias("c")).distinct()
+    ways = both.repartition(3, "b").persist()
+    ways.count()
+    first = scenes._seen(ways, scenes._start(labels, degree), 3)
+    plan = first._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    at = next(i for i, x in enumerate(plan) if "InMemoryTableScan" in x)
+    path, least = [], depth(plan[at])
+    for line in reversed(plan[:at]):  # what stands above the ways
+        if depth(line) < least:
+            path, least = [*path, line], depth(line)
+    assert sum("Exchange" in x for x in path) == 1
+    goes = F.col("to").isNotNull() & (F.col("node") % 2 == 0)
+    moved = first.select("node", "g", "k", "rate", "m", F.when(goes, F.col("to")).otherwise(F.col("c")).alias("c"), goes.alias("moved"), F.lit(True).alias("wished"))
+    worth = scenes._worth(scenes._seen(ways, moved, 3), scenes._worth(first)).first()
+    gained = scenes._gained(both, labels, degree, scenes._wishes(both, labels, degree).where("node % 2 = 0")).first().gained
+    rise = [x[1.0] for x in scenes.sweep_modularities(e, [f.select(F.lit(1.0).alias("resolution"), "node", F.col("c").alias("community")) for f in (labels, moved)])]
+    assert math.isclose(worth.gained, gained, abs_tol=1e-9) and math.isclose((rise[1] - rise[0]) * total, gained, abs_tol=1e-9)
+    assert math.isclose(rise[1], scenes.modularity(e, moved.select("node", F.col("c").alias("community"))), abs_tol=1e-12)
+    ways.unpersist()
+
+
 def test_naming(spark):
     pick = lambda rows: spark.createDataFrame([(rows,)], "r array<struct<score:double,term:string>>").select(scenes.picked(F.col("r"))).first()[0]
     assert pick([(1.0, "dub techno"), (0.9, "techno"), (0.8, "ambient"), (0.4, "noise")]) == ["dub techno", "ambient"]
