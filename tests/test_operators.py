@@ -178,6 +178,47 @@ def test_a_round_shuffles_its_ways_once(spark):
     ways.unpersist()
 
 
+def test_ways_stay_in_their_parts(spark, monkeypatch):
+    """A round shuffles what nodes say, no ways, and says what the plain one says; in many parts or one, rounds end alike."""
+    from scenewright.operators import ways as W
+
+    draw = random.Random(4)
+    ties = [(a, b, 1.0 + draw.random()) for a in range(90) for b in range(a) if draw.random() < (0.5 if a % 3 == b % 3 else 0.05)]
+    e = spark.createDataFrame(ties, "u long, v long, weight double")
+    both, total = e.toDF("a", "b", "w").union(e.select("v", "u", "weight")), sum(w for *_, w in ties)
+    degree = both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumns({"rate": F.lit(1 / (2 * total)), "g": F.lit(0).cast("long"), "m": F.lit(total)})
+    labels = both.select(F.col("a").alias("node"), (F.col("a") % 10).alias("c")).distinct()
+    start = scenes._start(labels, degree).withColumn("inside", F.lit(None).cast("double"))
+    volume = start.groupBy("c").agg(F.sum("k").alias("volume"))
+    monkeypatch.setattr(W, "FEW_WAYS", 200)
+    dealt = W.deal(both)
+    assert dealt.parts == 4
+    seen = W.seen(dealt, start.join(volume, "c"))
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    held = plan.splitlines().index(next(x for x in plan.splitlines() if "InMemoryTableScan" in x and "weights" in x))
+    assert "Exchange" not in plan.splitlines()[held - 1]
+    want = {r.node: r for r in scenes._seen(both, scenes._start(labels, degree), 3).collect()}
+    got = {r.node: r for r in seen.collect()}
+    assert got.keys() == want.keys() and any(r.to is not None for r in want.values())
+    assert all((r.to, r.gain, r.c) == (want[n].to, want[n].gain, want[n].c) and math.isclose(r.inside, want[n].inside, abs_tol=1e-9) for n, r in got.items())
+    joined = {(r.ca, r.cb): r.w for r in W.between(dealt, labels).collect()}
+    plain = {}
+    for a, b, w in [*ties, *[(b, a, w) for a, b, w in ties]]:
+        plain[a % 10, b % 10] = plain.get((a % 10, b % 10), 0.0) + w
+    assert joined.keys() == plain.keys() and all(math.isclose(joined[x], plain[x]) for x in plain)
+    dealt.close()
+    found = {}
+    for few in (200, 200_000):
+        monkeypatch.setattr(W, "FEW_WAYS", few)
+        levels = []
+        swept = scenes.sweep(e, [1.0, 0.5], levels=levels)
+        risen = scenes.sweep_modularities(e, levels)
+        assert all(b[x] >= a[x] - 1e-9 for a, b in zip(risen, risen[1:]) for x in a)
+        found[few] = {(r.node, r.community) for r in swept.where("resolution = 1.0").collect()}
+        assert all(least == min(n for n, c in found[few] if c == least) for _, least in found[few])
+    assert found[200] == found[200_000] == {(n, n % 3) for n in range(90)}
+
+
 def test_naming(spark):
     pick = lambda rows: spark.createDataFrame([(rows,)], "r array<struct<score:double,term:string>>").select(scenes.picked(F.col("r"))).first()[0]
     assert pick([(1.0, "dub techno"), (0.9, "techno"), (0.8, "ambient"), (0.4, "noise")]) == ["dub techno", "ambient"]
